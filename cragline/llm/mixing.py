@@ -53,7 +53,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
     capped = F.coalesce(F.sum("__cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     free = F.sum("__w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.withColumn("__level", (F.sum("source_size").over(everything) * F.lit(float(share)) - capped) / free)
-    rows = rows.withColumn("__level", F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))).over(everything))
+    fits = F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level"))
+    rows = rows.withColumn("__level", F.first(fits, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.least("__cap", F.coalesce(F.col("__level") * F.col("__w"), F.col("__cap")))
     return rows.select("source", "source_size", "n_docs", "src", target.alias("target"))
 
