@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.llm import ann, mixing, pieces, quality_rules, shards, simhash, substring, token_files, url_lists
+from cragline.llm import ann, mixing, pieces, quality_model, quality_rules, shards, simhash, substring, token_files, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_ids=False)
 
@@ -96,7 +100,7 @@ def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_groups, op2_one_bit_codes, op3_substring_dedup, op5_sentencepiece, op6_token_files, op7_rendezvous_shards,
+    found = (op1_simhash_groups, op2_one_bit_codes, op3_substring_dedup, op4_quality_model, op5_sentencepiece, op6_token_files, op7_rendezvous_shards,
              op8_quality_rules, op9_dated_url_lists, op10_mixed_sources)
     return {f.__name__: f for f in found}
 
