@@ -1,6 +1,6 @@
 """All registered queries of the terrain operators."""
 
-from cragline.plans import evaluation, graphs, projections, rasters  # noqa: F401
+from cragline.plans import evaluation, graphs, listings, projections, rasters  # noqa: F401
 from cragline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
