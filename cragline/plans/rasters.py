@@ -190,3 +190,11 @@ def a31_rotation(spark: SparkSession, d: str) -> DataFrame:
  JOIN pixel p ON p.y = t.py AND p.x = t.px GROUP BY tile, t.y, t.x""", "pixel"))
 def a34_bilinear_resize(spark: SparkSession, d: str) -> DataFrame:
     return raster.resized(pixels(spark, d), 16, 32).select("tile", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), r(F.col("v")).alias("v"))
+
+
+@query(with_tables(f"""WITH {BUNDLE}, blocks AS (SELECT tile, CAST(floor(y / 4) AS INT) AS by, CAST(floor(x / 4) AS INT) AS bx, round(avg(h), 5) AS c FROM bundle GROUP BY 1, 2, 3)
+ SELECT tile, CASE WHEN c < 0.25 THEN 0 WHEN c > 0.60 THEN 2 ELSE 1 END AS tier, count(*) AS blocks FROM blocks GROUP BY 1, 2""", "pixel"))
+def flagship_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Image tiles to physics maps, block complexity and the number of blocks of each tier."""
+    complexity = raster.block_mean(physics_bundle(_image(spark, d)), 4, "h_physics", 16)
+    return complexity.groupBy("tile", hz.tier(F.round("mean", 5)).alias("tier")).agg(F.count(F.lit(1)).alias("blocks"))
