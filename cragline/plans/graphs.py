@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from cragline.functions import hazard as hz
 from cragline.operators import graph as g
 from cragline.operators import neural, planning, segment
-from cragline.plans.fixtures import elevation, nodes, pixels, with_tables
-from cragline.plans.rasters import TILE, _image
+from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
+from cragline.plans.rasters import _image
 from cragline.plans.registry import query, r
 
 DIAGONAL = math.sqrt(2 * 16**2)
@@ -76,7 +76,7 @@ def sparse(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
     near = g.knn_edges(n, ["px", "py"], PHYS, 1, DIAGONAL)
     # the first neighbour of the chosen nodes alone: recomputed one way, then made symmetric
-    pairs = g._paired(n.withColumn("spread", sum((F.pow(F.max(c).over(TILE) - F.min(c).over(TILE), 2) for c in PHYS), F.lit(0.0))), ["px", "py", *PHYS, "spread"]).where("src <> dst AND src % 3 = 0")
+    pairs = g._paired(n.withColumn("spread", sum((F.pow(F.max(c).over(by_tile()) - F.min(c).over(by_tile()), 2) for c in PHYS), F.lit(0.0))), ["px", "py", *PHYS, "spread"]).where("src <> dst AND src % 3 = 0")
     d2 = F.round(0.5 * g._squares(["px", "py"]) / DIAGONAL**2 + 0.5 * g._squares(PHYS) / F.col("a_spread"), 12)
     first = pairs.groupBy("tile", "src").agg(F.min_by("dst", F.struct(d2, "dst")).alias("dst"))
     return near.join(g.symmetric(first), ["tile", "src", "dst"], "left_semi")
@@ -299,8 +299,8 @@ def g02_refinement_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def o07_route_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Elevation tiles to the least-risk route over their blocks: slope, hazard, blocks as nodes, edges, costs, route, trajectory."""
-    rows = elevation(spark, d).select("tile", "y", "x", hz.filled(F.col("z"), TILE).alias("v"))
-    image = rows.withColumn("v", hz.minmax(F.col("v"), TILE)).withColumn("seg", hz.block(F.col("y"), 4) * 4 + hz.block(F.col("x"), 4))
+    rows = elevation(spark, d).select("tile", "y", "x", hz.filled(F.col("z"), by_tile()).alias("v"))
+    image = rows.withColumn("v", hz.minmax(F.col("v"), by_tile())).withColumn("seg", hz.block(F.col("y"), 4) * 4 + hz.block(F.col("x"), 4))
     f = g.node_features(image, "seg", "v", 16, 4)
     n = f.select("tile", F.col("id").cast("long").alias("id"), (F.col("f0") * 15).alias("px"), (F.col("f1") * 15).alias("py"), F.col("f11").alias("s"), "f7", F.col("f7").alias("h"), F.col("f11").alias("r"), F.col("f7").alias("d"), F.lit(0.0).alias("u"))
     edges = g.symmetric(g.adjacency(image, "seg").select("tile", F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst")))

@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.functions import hazard as hz
 from cragline.operators import raster
-from cragline.plans.fixtures import elevation, nodes, pixels, samples, scores, table, with_tables
+from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, samples, scores, table, with_tables
 from cragline.plans.registry import query, r
 
-TILE = Window.partitionBy("tile")
 W = "OVER (PARTITION BY tile)"
 
 
 @query(with_tables(f"SELECT tile, y, x, round((v - min(v) {W}) / (max(v) {W} - min(v) {W} + 1e-8), 6) AS v FROM pixel", "pixel"))
 def a01_minmax(spark: SparkSession, d: str) -> DataFrame:
-    return pixels(spark, d).select("tile", "y", "x", r(hz.minmax(F.col("v"), TILE)).alias("v"))
+    return pixels(spark, d).select("tile", "y", "x", r(hz.minmax(F.col("v"), by_tile())).alias("v"))
 
 
 @query(with_tables(f"SELECT tile, y, x, round(CASE WHEN max(v) {W} - min(v) {W} < 1e-6 THEN 0 ELSE (v - min(v) {W}) / (max(v) {W} - min(v) {W}) END, 6) AS v FROM (SELECT tile, y, x, CASE WHEN tile % 3 = 0 THEN 7.0 ELSE v END AS v FROM pixel)", "pixel"))
 def a02_minmax_or_zero(spark: SparkSession, d: str) -> DataFrame:
     rows = pixels(spark, d).withColumn("v", F.when(F.col("tile") % 3 == 0, F.lit(7.0)).otherwise(F.col("v")))
-    return rows.select("tile", "y", "x", r(hz.minmax_or_zero(F.col("v"), TILE)).alias("v"))
+    return rows.select("tile", "y", "x", r(hz.minmax_or_zero(F.col("v"), by_tile())).alias("v"))
 
 
 @query(with_tables(f"SELECT tile, y, x, round((v - avg(v) {W}) / (stddev_pop(v) {W} + 1e-8), 6) AS v FROM pixel", "pixel"))
 def a03_zscore(spark: SparkSession, d: str) -> DataFrame:
-    return pixels(spark, d).select("tile", "y", "x", r(hz.zscore(F.col("v"), TILE)).alias("v"))
+    return pixels(spark, d).select("tile", "y", "x", r(hz.zscore(F.col("v"), by_tile())).alias("v"))
 
 
 @query("SELECT vec_id, CAST(3 AS INT) AS channels, round(CAST(embedding[1] AS DOUBLE), 6) AS gray, round((CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) + CAST(embedding[3] AS DOUBLE)) / 3, 6) AS mean FROM embeddings")
@@ -41,7 +40,7 @@ def a04_channels(spark: SparkSession, d: str) -> DataFrame:
  CASE WHEN 1 - avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) > 0.10 THEN 'nodata' WHEN avg(CASE WHEN n >= 0.95 THEN 1.0 ELSE 0.0 END) > 0.30 THEN 'saturated' ELSE 'accepted' END AS verdict
  FROM (SELECT tile, z IS NOT NULL AS ok, (z - min(z) OVER (PARTITION BY tile)) / (max(z) OVER (PARTITION BY tile) - min(z) OVER (PARTITION BY tile) + 1e-8) AS n FROM elevation) GROUP BY tile""", "elevation"))
 def a05_a06_tile_gates(spark: SparkSession, d: str) -> DataFrame:
-    rows = elevation(spark, d).select("tile", F.col("z").isNotNull().alias("ok"), hz.minmax(F.col("z"), TILE).alias("n"))
+    rows = elevation(spark, d).select("tile", F.col("z").isNotNull().alias("ok"), hz.minmax(F.col("z"), by_tile()).alias("n"))
     return raster.tile_gates(rows, "tile", "ok", "n")
 
 
@@ -60,7 +59,7 @@ def a08_valid_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("SELECT tile, y, x, round(coalesce(z, avg(z) OVER (PARTITION BY tile), 0), 6) AS z FROM elevation", "elevation"))
 def a09_mean_fill(spark: SparkSession, d: str) -> DataFrame:
-    return elevation(spark, d).select("tile", "y", "x", r(hz.filled(F.col("z"), TILE)).alias("z"))
+    return elevation(spark, d).select("tile", "y", "x", r(hz.filled(F.col("z"), by_tile())).alias("z"))
 
 
 LABELS_SQL = """SELECT l_orderkey, l_linenumber, round(CASE WHEN ok THEN least(greatest(greatest(least(greatest(slope / {sl}, 0), 1), least(greatest(rough / {rl}, 0), 1)), 0.05), 0.95) END, 6) AS risk,
@@ -150,13 +149,13 @@ def a30_flips(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_tables("SELECT tile, y, x, round(least(greatest((v + 0.1 - m - 0.1) * 1.2 + m + 0.1, 0), 1), 6) AS v FROM (SELECT *, avg(v) OVER (PARTITION BY tile) AS m FROM (SELECT tile, y, x, (v - min(v) OVER (PARTITION BY tile)) / (max(v) OVER (PARTITION BY tile) - min(v) OVER (PARTITION BY tile) + 1e-8) AS v FROM pixel))", "pixel"))
 def a32_brightness_contrast(spark: SparkSession, d: str) -> DataFrame:
-    rows = pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), TILE))
-    return rows.select("tile", "y", "x", r(raster.contrast(F.col("v") + 0.1, TILE, 1.2)).alias("v"))
+    rows = pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), by_tile()))
+    return rows.select("tile", "y", "x", r(raster.contrast(F.col("v") + 0.1, by_tile(), 1.2)).alias("v"))
 
 
 def a33_augmented(spark: SparkSession, d: str) -> DataFrame:
     """Seeded flips, brightness, contrast and noise: one draw for each tile, the same for image and labels."""
-    return raster.augmented(pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), TILE)), 16, seed=3)
+    return raster.augmented(pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), by_tile())), 16, seed=3)
 
 
 query()(a33_augmented)

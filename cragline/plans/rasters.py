@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.functions import hazard as hz
 from cragline.operators import raster
-from cragline.plans.fixtures import elevation, nodes, pixels, with_tables
+from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
 from cragline.plans.registry import query, r
 
-TILE = Window.partitionBy("tile")
 FOLD = {"reflect": "15 - abs(15 - abs({c} + k.d{c}))", "symmetric": "CASE WHEN {c} + k.d{c} < 0 THEN -({c} + k.d{c}) - 1 WHEN {c} + k.d{c} >= 16 THEN 31 - ({c} + k.d{c}) ELSE {c} + k.d{c} END"}
 
 
@@ -37,7 +36,7 @@ D_SQL = f"d AS (SELECT tile, y, x, {TO_MAX} AS d FROM (SELECT tile, y, x, abs(a)
 
 
 def _image(spark: SparkSession, d: str) -> DataFrame:
-    return pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), TILE))
+    return pixels(spark, d).withColumn("v", hz.minmax(F.col("v"), by_tile()))
 
 
 @query(with_tables(f"WITH {IMAGE}, {SOBEL}, {S_SQL} SELECT tile, y, x, round(s, 6) AS slope FROM s", "pixel"))
@@ -76,7 +75,7 @@ GRAD = """g AS (SELECT tile, y, x, ok, v, CASE WHEN lag(v) OVER ys IS NULL THEN
 
 
 def filled_elevation(spark: SparkSession, d: str) -> DataFrame:
-    return elevation(spark, d).select("tile", "y", "x", F.col("z").isNotNull().alias("ok"), hz.filled(F.col("z"), TILE).alias("v"))
+    return elevation(spark, d).select("tile", "y", "x", F.col("z").isNotNull().alias("ok"), hz.filled(F.col("z"), by_tile()).alias("v"))
 
 
 @query(with_tables(f"WITH {FILLED}, {GRAD} SELECT tile, y, x, round(slope, 6) AS slope FROM slope", "elevation"))

@@ -16,24 +16,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cragline.operators.planning import Graph, Replanner
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on ``ts`` (which may come without a zone); a batch as it is."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def windowed(rows: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count and mean of ``value`` by event type in tumbling or sliding windows of ``ts``; rows later than ``late`` are dropped by a stream."""
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    rows = _timed(rows, late)
     out = rows.groupBy(span, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
 def sessions(rows: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: rows less than ``gap`` apart."""
-    rows = rows.withWatermark("ts", late) if rows.isStreaming else rows
+    rows = _timed(rows, late)
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def deduplicated(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """First row of each event id."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else rows.dropDuplicates(["event_id"])
+    return _timed(rows, late).dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else rows.dropDuplicates(["event_id"])
 
 
 ROUTE = "mission long, found boolean, cost double, path array<long>"
