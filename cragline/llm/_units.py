@@ -14,7 +14,7 @@ import numpy as np
 from cragline.llm._words import binary, flat, gather
 
 #: Text bytes whose units are encoded together.
-SLICE = 10 << 20
+SLICE = 4 << 20
 
 
 def by_unit(data: np.ndarray, cuts: np.ndarray, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -62,12 +62,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The given spans of ``data`` one after another, and their offsets."""
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The given spans of ``data`` one after another, and their offsets; indexes are made for ``chunk`` items at a time."""
     offsets = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=offsets[1:])
-    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
-    return data[index], offsets
+    out = np.empty(offsets[-1], data.dtype)
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + chunk, "right")) - 1)
+        out[offsets[a] : offsets[b]] = data[np.arange(offsets[a], offsets[b]) + np.repeat(starts[a:b] - offsets[a:b], lengths[a:b])]
+        a = b
+    return out, offsets
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,11 +114,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS[:n], INVERSES[:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span by prefix sums: equal bytes give equal hashes. For routing and features, not for equality."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers, inverses = _powers(max(len(data), 1))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:], dtype=np.uint64)
-    return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each span by prefix sums: equal bytes give equal hashes. For routing and features, not for equality.
+
+    Starts ascend and spans don't overlap; sums are made over about ``chunk`` bytes at a time.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + chunk, "right")))
+        low, high = starts[a], ends[b - 1]
+        powers, inverses = _powers(int(high - low) + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=sums[1:], dtype=np.uint64)
+        at, to = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mixed((sums[to] - sums[at]) * inverses[at] + (to - at).astype(np.uint64))
+        a = b
+    return out
