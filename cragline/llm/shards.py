@@ -47,7 +47,7 @@ def sharded(docs: DataFrame, weights: list[float], extra: float = 1.0, text: str
                        F.pmod(F.xxhash64("key", "size", "crc"), F.lit(runs)).cast("int").alias("run"))
     counts = rows.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("shard", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
+    begins = pinned(counts.select("shard", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin")))  # a few numbers for each run
     place = Window.partitionBy("shard", "run").orderBy("key", "size", "crc")
     rows = rows.withColumn("place", F.row_number().over(place) - 1).join(begins, ["shard", "run"])
     return rows.select("key", "size", "crc", "shard", (F.col("begin") + F.col("place")).cast("long").alias("slot"), "grown").toDF(
