@@ -27,7 +27,7 @@ def apportioned(parties: DataFrame, within: list[str], name: str, votes: str, se
     without votes get none.
     """
     group = Window.partitionBy(*within)
-    share = F.col(votes) / F.col("__all")
+    share = F.col(votes) / F.nullif(F.col("__all"), F.lit(0.0))
     rows = parties.withColumn("__all", F.sum(votes).over(group).cast("double")).withColumn("__n", F.count(F.lit(1)).over(group))
     rows = rows.withColumn("__exact", F.coalesce(share * F.col(seats), F.lit(0.0))).withColumn("__slack", F.coalesce(F.ceil(share * F.col("__n") / 2), F.lit(0)) + 2)
     rows = rows.withColumn("__low", F.greatest(F.floor("__exact") - F.col("__slack"), F.lit(0)).cast("long"))
@@ -69,14 +69,16 @@ def _spread(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17, carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` (default doc_id), size, source_size, target, taken and the numbers that say which words were taken.
+FOUND = ("size", "source_size", "target", "taken", "passes", "start", "blocks", "picked", "shift")
+
+
+def placed_words(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """Columns ``carry`` as c0, c1, ..., and those of ``FOUND``.
 
     One row for each row of ``docs``. ``passes``: how often the whole text is taken; besides, word i of the text is
     taken where block (start + i) div ``block`` of its shard's stream is chosen (see ``chosen``). Null texts have no words. A null
     doc_id has a place of its own in the order; rows of one id lie side by side, the larger first.
     """
-    carry = ["doc_id"] if carry is None else carry
     mine = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carry)]
     names = [f"c{i}" for i in range(len(carry))]
     sized = docs.select(docs["doc_id"].alias("id"), docs["source"].alias("source"), words("text").alias("size"), *mine)
@@ -101,8 +103,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     rest = F.when(F.col("passes") >= int(most), 0).otherwise(F.expr(f"round((quota * {block} - passes * length) / {block}.0D)"))
     placed = placed.withColumn("picked", F.least(F.col("blocks"), rest.cast("long"))).withColumn("shift", 1 + F.pmod(_spread(seed + 1, F.col("src"), F.col("shard")), "blocks"))
     taken = F.expr(f"passes * size + {_before('start + size', block)} - {_before('start', block)}").cast("long")
-    out = placed.select(*names, "size", "source_size", "target", taken.alias("taken"), "passes", "start", "blocks", "picked", "shift")
-    return out.toDF(*carry, "size", "source_size", "target", "taken", "passes", "start", "blocks", "picked", "shift")
+    return placed.select(*names, *[taken.alias(c) if c == "taken" else F.col(c) for c in FOUND])
+
+
+def mixed(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
+    """Columns ``carry`` (default doc_id), size, source_size, target, taken and the numbers that say which words were taken; see ``placed_words``."""
+    carry = ["doc_id"] if carry is None else carry
+    return placed_words(docs, carry, **options).toDF(*carry, *FOUND)
 
 
 def chosen(at: str) -> str:
@@ -123,16 +130,17 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     A whole text stays as it is; words chosen from one are joined by one space; n_chars follows. Texts the mix takes
     nothing from leave.
     """
-    out = mixed(docs, carry=docs.columns, block=block, **options).select(*docs.columns, "passes", "start", "blocks", "picked", "shift", F.col("size").alias("__size"))
-    some = F.expr(f"{_before('start + __size', block)} - {_before('start', block)}")
-    out = out.withColumn("__part", some)
-    copies = F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("long"), F.col("passes"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(copies, F.when(F.col("__part") > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("__copy", F.explode(copies))
-    split = F.split(F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM text)"), "[\\x20\\x09-\\x0D]+")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, chars = (names[docs.columns.index(c)] for c in ("text", "n_chars"))
+    out = placed_words(docs, docs.columns, block=block, **options)
+    out = out.withColumn("part", F.expr(f"{_before('start + size', block)} - {_before('start', block)}"))
+    none = F.array().cast("array<bigint>")
+    copies = F.when(F.col("passes") > 0, F.sequence(F.lit(1).cast("long"), F.col("passes"))).otherwise(none)
+    copies = F.concat(copies, F.when(F.col("part") > 0, F.array(F.lit(0).cast("long"))).otherwise(none))
+    out = out.withColumn("copy", F.explode(copies))
+    split = F.split(F.expr(f"trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM {text})"), "[\\x20\\x09-\\x0D]+")
     part = F.array_join(F.filter(split, lambda w, i: F.pmod((F.floor((F.col("start") + i) / block) + F.col("shift")) * F.col("picked"), F.col("blocks")) < F.col("picked")), " ")
-    whole = (F.col("__copy") > 0) | (F.col("__part") == F.col("__size"))
-    text = F.when(whole, F.col("text")).otherwise(part)
-    n_chars = F.when(whole, F.col("n_chars")).otherwise(F.length("text"))
-    out = out.withColumn("text", text).withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    whole = (F.col("copy") > 0) | (F.col("part") == F.col("size"))
+    out = out.withColumn("whole", whole).withColumn(text, F.when(whole, F.col(text)).otherwise(part))
+    n_chars = F.when(F.col("whole"), F.col(chars)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn(chars, n_chars).select(*names).toDF(*docs.columns)
