@@ -144,3 +144,31 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     out = out.withColumn("whole", whole).withColumn(text, F.when(whole, F.col(text)).otherwise(part))
     n_chars = F.when(F.col("whole"), F.col(chars)).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
     return out.withColumn(chars, n_chars).select(*names).toDF(*docs.columns)
+
+
+def duck_sql(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = BLOCK, seed: int = 17) -> str:
+    """The operator in DuckDB's SQL; there every quotient of every party is made and ranked, instead of the few near its share."""
+    def spread(seed: int, *parts: str) -> str:
+        return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f'coalesce(CAST({p} AS VARCHAR), chr(45))' for p in parts)})), 1, 8) AS BIGINT)"
+
+    def before(place: str) -> str:
+        number = f"(({place}) // {block})"
+        return (f"({block} * ((({number} + shift - 1) * picked) // blocks - ((shift - 1) * picked) // blocks)"
+                f" + CASE WHEN (({number} + shift) * picked) % blocks < picked THEN ({place}) % {block} ELSE 0 END)")
+
+    return f"""WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, sum(size) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM sized GROUP BY source),
+weighed AS (SELECT *, ([{', '.join(map(str, weights))}])[1 + src % {len(weights)}] AS w, source_size * {float(most)}::DOUBLE AS cap FROM sources),
+levels AS (SELECT *, (sum(source_size) OVER () * {share}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+aimed AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, (cap / w, src)) FROM levels WHERE level * w <= cap) * w, cap)) AS target FROM levels),
+seats AS (SELECT CAST(round(sum(target) / {block}) AS BIGINT) AS t, greatest({SHARD_ROWS}, CAST(floor(sqrt(sum(n))) AS BIGINT)) AS per FROM aimed),
+won AS (SELECT src, count(*) AS quota FROM (SELECT src, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, src, k) AS r, t FROM (SELECT src, target, t, unnest(range(0, t)) AS k FROM aimed, seats WHERE target > 0)) WHERE r <= t GROUP BY src),
+dealt AS (SELECT a.*, coalesce(won.quota, 0) AS source_quota, CAST(ceil(n / per::DOUBLE) AS BIGINT) AS shards FROM aimed a CROSS JOIN seats LEFT JOIN won USING (src)),
+placed AS (SELECT s.doc_id, s.size, d.src, d.source_size, d.target, d.source_quota, {spread(seed, 's.doc_id')} % d.shards AS shard, md5(concat_ws(':', '{seed}', coalesce(CAST(s.doc_id AS VARCHAR), '-'))) AS h FROM sized s JOIN dealt d ON s.source IS NOT DISTINCT FROM d.source),
+parts AS (SELECT src, shard, sum(size) AS length, max(source_quota) AS q FROM placed GROUP BY src, shard),
+shares AS (SELECT src, shard, count(*) AS quota FROM (SELECT src, shard, q, row_number() OVER (PARTITION BY src ORDER BY CAST(length AS DOUBLE) / (2 * k + 1) DESC, shard, k) AS r FROM (SELECT src, shard, length, q, unnest(range(0, q)) AS k FROM parts WHERE length > 0)) WHERE r <= q GROUP BY src, shard),
+filled AS (SELECT src, shard, CAST(length AS BIGINT) AS length, coalesce(quota, 0) AS quota FROM parts LEFT JOIN shares USING (src, shard)),
+turns AS (SELECT *, least({most}, coalesce((quota * {block}) // nullif(length, 0), 0)) AS passes, greatest(CAST(ceil(length / {block}::DOUBLE) AS BIGINT), 1) AS blocks FROM filled),
+picks AS (SELECT *, least(blocks, CASE WHEN passes >= {most} THEN 0 ELSE CAST(round((quota * {block} - passes * length) / {block}::DOUBLE) AS BIGINT) END) AS picked, 1 + {spread(seed + 1, 'src', 'shard')} % blocks AS shift FROM turns),
+spots AS (SELECT doc_id, size, source_size, target, src, shard, CAST(sum(size) OVER (PARTITION BY src, shard ORDER BY h, doc_id, size DESC ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM placed)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(passes * size + {before('start + size')} - {before('start')} AS BIGINT) AS taken FROM spots JOIN picks USING (src, shard)"""

@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.duck_sql(), "op9_dated_url_lists": OP9_SQL}
+    return {"op8_quality_rules": quality_rules.duck_sql(), "op9_dated_url_lists": OP9_SQL, "op10_mixed_sources": mixing.duck_sql()}
