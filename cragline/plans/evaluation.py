@@ -154,13 +154,21 @@ def m19_split_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("split").agg(r(F.avg("mae")).alias("mae"), F.count(F.lit(1)).alias("n_tiles"), r(F.avg(F.col("mae").isNotNull().cast("double"))).alias("success_rate"))
 
 
-@query()
+_PARTS = (SEG.replace("round(", "(").replace(", 6)", ")"), COUNTS.format(k="true"))
+
+
+@query(with_tables(f"""WITH {EDGES}, seg AS (SELECT tile, {_PARTS[0]} FROM (SELECT tile, {_PARTS[1]} FROM score GROUP BY tile)), err AS (SELECT tile, avg(abs(p - t)) AS mae, count(*) AS total FROM score GROUP BY tile),
+ roc AS (SELECT tile, CASE WHEN np = 0 OR nn = 0 THEN 0 ELSE (s - np * (np + 1) / 2) / (np * nn) END AS auc FROM (SELECT tile, sum(CASE WHEN t > 0.7 THEN 1.0 ELSE 0.0 END) AS np, sum(CASE WHEN t > 0.7 THEN 0.0 ELSE 1.0 END) AS nn,
+ sum(CASE WHEN t > 0.7 THEN rk ELSE 0 END) AS s FROM (SELECT *, rank() OVER (PARTITION BY tile ORDER BY p) + (count(*) OVER (PARTITION BY tile, p) - 1) / 2.0 AS rk FROM score) GROUP BY tile)),
+ cal AS (SELECT tile, sum(n * gap) AS g, max(gap) AS mce FROM (SELECT tile, k, count(*) AS n, abs(avg(p) - avg(CASE WHEN t > 0.7 THEN 1.0 ELSE 0.0 END)) AS gap FROM score JOIN edges ON p >= lo AND p < hi GROUP BY tile, k) GROUP BY tile),
+ wide AS (SELECT tile, CAST(recall AS DOUBLE) AS recall, CAST(precision AS DOUBLE) AS precision, CAST(f1 AS DOUBLE) AS f1, CAST(miou AS DOUBLE) AS miou, CAST(safe_recall AS DOUBLE) AS safe_recall, mae, CAST(auc AS DOUBLE) AS auc, g / total AS ece, mce FROM seg JOIN err USING (tile) JOIN roc USING (tile) JOIN cal USING (tile))
+ SELECT tile, metric, round(value, 6) AS value FROM (UNPIVOT wide ON recall, precision, f1, miou, safe_recall, mae, auc, ece, mce INTO NAME metric VALUE value)""", "score"))
 def m20_tile_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """All tile metrics in long form (tile, metric, value): one aggregate for the counts, one ranking, one binning."""
     rows = scores(spark, d)
     wide = rows.groupBy("tile").agg(*[c.alias(n) for n, c in m.segmentation(m.confusion(F.col("p"), F.col("t"))).items()], F.avg(F.abs(F.col("p") - F.col("t"))).alias("mae"))
     wide = wide.join(m.auc(rows, ["tile"], "p", F.col("t") > 0.7), "tile").join(m.calibration(rows, ["tile"], F.col("p"), F.col("t") > 0.7), "tile")
-    return wide.unpivot("tile", [c for c in wide.columns if c != "tile"], "metric", "value")
+    return wide.unpivot("tile", [c for c in wide.columns if c != "tile"], "metric", "value").withColumn("value", r(F.col("value")))
 
 
 @query("""SELECT lang, round(avg(CASE WHEN (risk > 0.7) = (mean > 0.1) THEN 1.0 ELSE 0.0 END), 6) AS class_accuracy, count(*) AS n FROM (SELECT lang, CASE doc_id % 8 WHEN 0 THEN 0.15 WHEN 1 THEN 0.90 WHEN 2 THEN 0.85 WHEN 3 THEN 0.80 WHEN 4 THEN 0.50 WHEN 5 THEN 0.55 WHEN 6 THEN 0.85 ELSE 0.45 END AS risk,

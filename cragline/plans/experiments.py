@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.operators import metrics as m
-from cragline.plans.fixtures import scores
+from cragline.plans.fixtures import scores, with_tables
 from cragline.plans.registry import query, r
 
 
@@ -69,7 +69,11 @@ def o01_split_assignment(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(found.items()), "alias string, split string")
 
 
-@query()
+@query(with_tables("""WITH c AS (SELECT split, seed, sum(CASE WHEN p > 0.5 AND t > 0.7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS tp, sum(CASE WHEN p > 0.5 AND NOT t > 0.7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS fp, sum(CASE WHEN NOT p > 0.5 AND t > 0.7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS fn,
+ sum(CASE WHEN NOT p > 0.5 AND NOT t > 0.7 THEN 1.0 ELSE 0.0 END)::DOUBLE AS tn, avg(abs(p - t)) AS mae FROM score GROUP BY split, seed), wide AS (SELECT split, seed, tp / (tp + fn + 1e-6) AS recall, tp / (tp + fp + 1e-6) AS precision, 2 * tp / (2 * tp + fp + fn + 1e-6) AS f1,
+ (tp / (tp + fp + fn + 1e-6) + tn / (tn + fp + fn + 1e-6)) / 2 AS miou, tn / (tn + fp + 1e-6) AS safe_recall, mae FROM c), long AS (UNPIVOT wide ON recall, precision, f1, miou, safe_recall, mae INTO NAME metric VALUE value)
+ SELECT metric, round(avg(value) FILTER (split = 'F'), 6) AS "F_mean", round(stddev_pop(value) FILTER (split = 'F'), 6) AS "F_std", round(avg(value) FILTER (split = 'O'), 6) AS "O_mean", round(stddev_pop(value) FILTER (split = 'O'), 6) AS "O_std",
+ round(avg(value) FILTER (split = 'F') - avg(value) FILTER (split = 'O'), 6) AS gap FROM long GROUP BY metric""", "score"))
 def o06_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Mean and deviation over seeds of every metric of every split, with the gap between the splits."""
     per = evaluated(scores(spark, d), ["split", "seed"])
