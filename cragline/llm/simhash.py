@@ -66,16 +66,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): a row for each row of ``docs``; null and blank texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id", counted: bool = False) -> DataFrame:
+    """(key, fp, n): a row for each row of ``docs``; null and blank texts have fingerprint 0. n: different shingles (0 unless ``counted``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                fp = np.fromiter((fingerprint(h) for h in shingle_hashes(part.column("t"), words)), np.int64, part.num_rows)
-                yield pa.record_batch([part.column("k"), pa.array(fp)], names=["key", "fp"])
+                made = [(fingerprint(h), len(np.unique(h)) if counted else 0) for h in shingle_hashes(part.column("t"), words)]
+                fp, n = np.array(made, np.int64).T
+                yield pa.record_batch([part.column("k"), pa.array(fp), pa.array(n)], names=["key", "fp", "n"])
 
-    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, fp long")
+    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, fp long, n long")
 
 
 def masks(radius: int, members: int) -> list[int]:
@@ -147,7 +148,8 @@ class Forest:
                 if sum(len(x[0]) for x in found) > 4 * most:
                     yield tuple(np.concatenate(x) for x in zip(*found))
                     found = []
-            yield tuple(np.concatenate(x) for x in zip(*found))
+            if found:
+                yield tuple(np.concatenate(x) for x in zip(*found))
 
 
 def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -164,10 +166,10 @@ def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _links(fp: np.ndarray, shard: np.ndarray, radius: int, verify: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a task's shards: a spanning forest of all links, or (to be verified) those to the nearest earlier members."""
+def _links(fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a task's shards: a spanning forest of all links, or those to the nearest earlier members whose numbers of shingles allow ``share``."""
     forest = Forest(fp, shard)
-    if not verify:
+    if share is None:
         parent = np.arange(len(fp))
         for q, hit, _ in forest.within(radius):
             merged(parent, q, hit)
@@ -176,7 +178,7 @@ def _links(fp: np.ndarray, shard: np.ndarray, radius: int, verify: bool) -> tupl
         return fp[far], fp[parent[far]]
     out = []
     for q, hit, apart in forest.within(radius):
-        keep = hit < q
+        keep = (hit < q) & (n[hit] >= share * n[q]) & (n[q] >= share * n[hit])
         q, hit, apart = q[keep], hit[keep], apart[keep]
         order = np.lexsort((hit, apart, q))
         q, hit = q[order], hit[order]
@@ -188,20 +190,20 @@ def _links(fp: np.ndarray, shard: np.ndarray, radius: int, verify: bool) -> tupl
     return a, b
 
 
-def candidate_links(distinct: DataFrame, radius: int, tables: list[int], verify: bool = False) -> DataFrame:
-    """(a, b) longs: links between the fingerprints of ``distinct`` (fp, least key) found by the shards' BK-trees."""
-    rows = distinct.select("fp", "least", F.explode(F.array(*[
+def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share: float | None = None) -> DataFrame:
+    """(a, b) longs: links between the fingerprints of ``distinct`` (fp, least key, n) found by the shards' BK-trees."""
+    rows = distinct.select("fp", "least", "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits"))
         for i, m in enumerate(tables)
-    ])).alias("s")).select("fp", "least", "s.table", "s.bits")
+    ])).alias("s")).select("fp", "least", "n", "s.table", "s.bits")
     crowds = (
-        rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > CROWD).withColumn("chunks", F.ceil(F.col("n") / CROWD).cast("int")).drop("n")
+        rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("many"))
+        .where(F.col("many") > CROWD).withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int")).drop("many")
     )
     rows = rows.join(crowds, ["table", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "fp", "least", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
+        "fp", "least", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -209,7 +211,7 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], verify:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             fp = table["fp"].to_numpy().view(np.uint64)
-            a, b = _links(fp, table["tree"].to_numpy(), radius, verify)
+            a, b = _links(fp, table["tree"].to_numpy(), table["n"].to_numpy(), radius, share)
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
             return pa.record_batch([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], schema=schema)
 
@@ -234,21 +236,21 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], verify:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, radius: int = 4, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    docs: DataFrame, words: int = 4, radius: int = 4, share: float | None = None,
     tables: Callable[[int], list[int]] | None = None, text: str = "text", key: str = "doc_id",
 ) -> DataFrame:
     """(key, fp, component): one row for each row of ``docs``; component is the least key reachable over links.
 
-    Fingerprints link at ``radius`` or fewer differing bits. By default no link is lost. ``tables`` gives other
-    masks for a number of distinct fingerprints, and ``verify`` then keeps the real ones of the links found.
+    Fingerprints link at ``radius`` or fewer differing bits. By default no link is lost. ``tables`` gives other masks for
+    a number of distinct fingerprints. With ``share``, links are only those found between texts that share it of their shingles.
     Repeated keys share what their rows have; a null key is never the least one while another is reachable;
     an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    marked = pinned(fingerprints(docs, words, text, key))
-    distinct = pinned(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    found = candidate_links(distinct, radius, (tables or (lambda n: masks(radius, n)))(distinct.count()), verify is not None)
-    if verify is not None:
-        found = verify(found.distinct(), marked)
+    marked = pinned(fingerprints(docs, words, text, key, share is not None))
+    distinct = pinned(marked.groupBy("fp").agg(F.min("key").alias("least"), F.min("n").alias("n")))
+    found = candidate_links(distinct, radius, (tables or (lambda n: masks(radius, n)))(distinct.count()), share)
+    if share is not None:
+        found = same_shingles(docs, words, share, found.distinct(), marked, text, key)
     roots = components(found)
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -256,8 +258,8 @@ def near_duplicates(
     return marked.join(named, marked["fp"] == named["of"]).select("key", "fp", "component")
 
 
-def same_shingles(docs: DataFrame, words: int, share: float, text: str = "text", key: str = "doc_id") -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Keeps the links between texts whose shingle sets have a Jaccard similarity of ``share`` or more, counted exactly.
+def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, marked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more, counted on 32-bit hashes.
 
     Each fingerprint is represented by a text of its least key; one that only rows with a null key have gets no links.
     """
@@ -268,40 +270,37 @@ def same_shingles(docs: DataFrame, words: int, share: float, text: str = "text",
                 fps, held = [], []
                 for h in shingle_hashes(part.column("t"), words):
                     fps.append(fingerprint(h))
-                    held.append(np.unique(h).tobytes())
+                    held.append(np.unique(h.astype(np.uint32)).tobytes())
                 yield pa.record_batch([pa.array(fps, pa.int64()), pa.array(held, pa.binary())], names=["fp", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verify(links: DataFrame, marked: DataFrame) -> DataFrame:
-        links = pinned(links)
-        ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-        least = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("k")).select("k")
-        chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(least, "k", "left_semi")
-        held = chosen.mapInArrow(sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-        met = links.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-        met = met.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return met.mapInArrow(compare, "a long, b long")
+    links = pinned(links)
+    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    least = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("k")).select("k")
+    chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(least, "k", "left_semi")
+    held = chosen.mapInArrow(sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    met = links.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    met = met.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return met.mapInArrow(compare, "a long, b long")
 
-    return verify
 
-
-def one_of_each_group(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int = 16, recall: float = 0.97) -> DataFrame:
+def one_of_each_group(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int = 18, recall: float = 0.995) -> DataFrame:
     """``docs`` without near copies: of each group the rows with the least doc_id stay (all rows with a null one, too).
 
     Two texts that share ``share`` of their shingles differ in about arccos(2 share / (1 + share)) / pi of the
-    fingerprint's bits; ``radius`` lies two standard deviations above that, and the shards find such a pair with
+    fingerprint's bits; ``radius`` lies nearly three standard deviations above that, and the shards find such a pair with
     probability ``recall``. What they find is verified. All columns are kept as they are.
     """
     apart = math.acos(2 * share / (1 + share)) / math.pi
-    found = near_duplicates(docs, words, radius, same_shingles(docs, words, share), lambda n: sampled_masks(apart, n, recall))
+    found = near_duplicates(docs, words, radius, share, lambda n: sampled_masks(apart, n, recall))
     stay = found.where(F.col("key") == F.col("component")).select(F.col("key").alias("__stay")).distinct()
     kept = docs.join(stay, docs["doc_id"].cast("long") == stay["__stay"], "left_semi")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))
