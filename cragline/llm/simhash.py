@@ -66,17 +66,28 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
+def set_hash(different: np.ndarray) -> int:
+    """XXH64 of a sorted set of hashes, as a signed integer."""
+    return xxhash.xxh64_intdigest(different.tobytes(), 1) - (1 << 63)
+
+
 def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id", counted: bool = False) -> DataFrame:
-    """(key, fp, n): a row for each row of ``docs``; null and blank texts have fingerprint 0. n: different shingles (0 unless ``counted``)."""
+    """(key, node, fp, n): a row for each row of ``docs``; null and blank texts have fingerprint 0.
+
+    With ``counted``, n is the number of different shingles and node a hash of their set, else n is 0 and node the fingerprint.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                made = [(fingerprint(h), len(np.unique(h)) if counted else 0) for h in shingle_hashes(part.column("t"), words)]
-                fp, n = np.array(made, np.int64).T
-                yield pa.record_batch([part.column("k"), pa.array(fp), pa.array(n)], names=["key", "fp", "n"])
+                made = []
+                for h in shingle_hashes(part.column("t"), words):
+                    fp, different = fingerprint(h), np.unique(h) if counted else h[:0]
+                    made.append((set_hash(different) if counted else fp, fp, len(different)))
+                made = np.array(made, np.int64)
+                yield pa.record_batch([part.column("k"), *(pa.array(made[:, i].copy()) for i in range(3))], names=["key", "node", "fp", "n"])
 
-    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, fp long, n long")
+    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, node long, fp long, n long")
 
 
 def masks(radius: int, members: int) -> list[int]:
@@ -166,8 +177,8 @@ def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _links(fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a task's shards: a spanning forest of all links, or those to the nearest earlier members whose numbers of shingles allow ``share``."""
+def _links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the nodes of a task's shards: a spanning forest of all links, or those to the nearest earlier members whose numbers of shingles allow ``share``."""
     forest = Forest(fp, shard)
     if share is None:
         parent = np.arange(len(fp))
@@ -175,7 +186,7 @@ def _links(fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share:
             merged(parent, q, hit)
         merged(parent, np.arange(len(fp)), parent.copy())
         far = np.flatnonzero(parent != np.arange(len(fp)))
-        return fp[far], fp[parent[far]]
+        return node[far], node[parent[far]]
     out = []
     for q, hit, apart in forest.within(radius):
         keep = (hit < q) & (n[hit] >= share * n[q]) & (n[q] >= share * n[hit])
@@ -185,25 +196,25 @@ def _links(fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share:
         first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
         rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
         keep = rank < NEAREST
-        out.append((fp[q[keep]], fp[hit[keep]]))
-    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2
+        out.append((node[q[keep]], node[hit[keep]]))
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
     return a, b
 
 
 def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share: float | None = None) -> DataFrame:
-    """(a, b) longs: links between the fingerprints of ``distinct`` (fp, least key, n) found by the shards' BK-trees."""
-    rows = distinct.select("fp", "least", "n", F.explode(F.array(*[
+    """(a, b): links between the nodes of ``distinct`` (node, fp, least key, n) found by the shards' BK-trees."""
+    rows = distinct.select("node", "fp", "least", "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits"))
         for i, m in enumerate(tables)
-    ])).alias("s")).select("fp", "least", "n", "s.table", "s.bits")
+    ])).alias("s")).select("node", "fp", "least", "n", "s.table", "s.bits")
     crowds = (
         rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("many"))
         .where(F.col("many") > CROWD).withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int")).drop("many")
     )
     rows = rows.join(crowds, ["table", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "fp", "least", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
+        "node", "fp", "least", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -211,9 +222,9 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share:
 
         def done(table: pa.Table) -> pa.RecordBatch:
             fp = table["fp"].to_numpy().view(np.uint64)
-            a, b = _links(fp, table["tree"].to_numpy(), table["n"].to_numpy(), radius, share)
-            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-            return pa.record_batch([pa.array(pairs[:, i].copy().view(np.int64)) for i in (0, 1)], schema=schema)
+            a, b = _links(table["node"].to_numpy(), fp, table["tree"].to_numpy(), table["n"].to_numpy(), radius, share)
+            pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            return pa.record_batch([pa.array(pairs[:, i].copy()) for i in (0, 1)], schema=schema)
 
         rows_held = 0
         for batch in batches:
@@ -231,7 +242,7 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share:
         if rows_held:
             yield done(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("tree").sortWithinPartitions("tree", "least", "fp")
+    dealt = rows.repartition("tree").sortWithinPartitions("tree", "least", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -242,36 +253,39 @@ def near_duplicates(
     """(key, fp, component): one row for each row of ``docs``; component is the least key reachable over links.
 
     Fingerprints link at ``radius`` or fewer differing bits. By default no link is lost. ``tables`` gives other masks for
-    a number of distinct fingerprints. With ``share``, links are only those found between texts that share it of their shingles.
+    a number of distinct fingerprints. With ``share``, different sets of
+    shingles are told apart even where their fingerprints are equal, and links are only those found between texts that share it of their shingles.
     Repeated keys share what their rows have; a null key is never the least one while another is reachable;
     an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     marked = pinned(fingerprints(docs, words, text, key, share is not None))
-    distinct = pinned(marked.groupBy("fp").agg(F.min("key").alias("least"), F.min("n").alias("n")))
+    distinct = pinned(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("least"), F.min("n").alias("n")))
     found = candidate_links(distinct, radius, (tables or (lambda n: masks(radius, n)))(distinct.count()), share)
     if share is not None:
         found = same_shingles(docs, words, share, found.distinct(), marked, text, key)
     roots = components(found)
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], "least", F.coalesce("root", "fp").alias("root"))
+    roots = roots.withColumnRenamed("node", "linked")
+    named = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select(F.col("fp").alias("of"), "component")
-    return marked.join(named, marked["fp"] == named["of"]).select("key", "fp", "component")
+    named = named.join(least, "root").select(F.col("node").alias("of"), "component")
+    return marked.join(named, marked["node"] == named["of"]).select("key", "fp", "component")
 
 
 def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, marked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more, counted on 32-bit hashes.
 
-    Each fingerprint is represented by a text of its least key; one that only rows with a null key have gets no links.
+    Each set is represented by a text of its least key; one that only rows with a null key have gets no links.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                fps, held = [], []
+                made, held = [], []
                 for h in shingle_hashes(part.column("t"), words):
-                    fps.append(fingerprint(h))
-                    held.append(np.unique(h.astype(np.uint32)).tobytes())
-                yield pa.record_batch([pa.array(fps, pa.int64()), pa.array(held, pa.binary())], names=["fp", "shingles"])
+                    different = np.unique(h)
+                    made.append(set_hash(different))
+                    held.append(np.unique(different.astype(np.uint32)).tobytes())
+                yield pa.record_batch([pa.array(made, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,12 +297,12 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, m
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = pinned(links)
-    ends = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
-    least = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("key").alias("k")).select("k")
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    least = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("k")).select("k")
     chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(least, "k", "left_semi")
-    held = chosen.mapInArrow(sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
-    met = links.join(held.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    met = met.join(held.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    held = chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    met = links.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    met = met.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(compare, "a long, b long")
 
 

@@ -84,8 +84,8 @@ def test_masks_lose_no_pair(members):
 
 def test_a_crowded_shard_is_cut(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
-    fps = [(int(x), int(x), 0) for x in {(1 << a) | (1 << b) for a in range(10) for b in range(10)}]
-    distinct = spark.createDataFrame(fps, "fp long, least long, n long")
+    fps = [(int(x), int(x), int(x), 0) for x in {(1 << a) | (1 << b) for a in range(10) for b in range(10)}]
+    distinct = spark.createDataFrame(fps, "node long, fp long, least long, n long")
     roots = comp.components(simhash.candidate_links(distinct, 4, simhash.masks(4, len(fps))))
     assert {r.node for r in roots.collect()} == {f for f, *_ in fps} and roots.select("root").distinct().count() == 1
 
@@ -99,6 +99,8 @@ def test_near_copies_by_shingles(spark):
         if len(texts) % 3 == 0:
             words[int(draw.integers(0, len(words)))] = "changed"
             texts.append(" ".join(words))
+    # two texts ruled by one repeated shingle have one fingerprint and little in common
+    texts += ["same " * 200 + " ".join(f"{c}{i}" for i in range(30)) for c in "xy"]
     docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(None, "lone text", 9)], "doc_id long, text string, n_chars long")
     sets = {i: set(shingles(t, 5)) for i, t in enumerate(texts)}
     want = groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
