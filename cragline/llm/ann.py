@@ -5,8 +5,8 @@ rotation; the signs are the code, one bit a dimension. With the length of the re
 a query's inner product is estimated from the packed bits, and an error bound for it follows. A query keeps
 the vectors whose upper bound reaches the k-th largest lower bound, and only those are compared exactly.
 
-Cells are the nearest of a few centres fitted on a bounded sample; every vector is indexed. A query visits the ``PROBED``
-nearest cells. Cells are cut into blocks of vectors and of queries, so no cell meets in one task.
+Cells are the nearest of a few centres fitted on a bounded sample; every vector is indexed. A query visits the nearest
+ones, a share that keeps the recall above 0.9 even on vectors without structure. Cells are cut into blocks of vectors and of queries, so no cell meets in one task.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from cragline.llm._spark import pinned
 
-#: Vectors in a cell on average, cells a query visits, rows in the sample that centres are fitted on, queries in a block.
-CELL, PROBED, SAMPLE, QUERIES = 16_384, 24, 20_000, 2048
+#: Vectors in a cell on average, share of the cells that a query visits and their least number, rows in the sample that centres are fitted on, queries in a block.
+CELL, PROBED, LEAST_PROBED, SAMPLE, QUERIES = 16_384, 0.6, 24, 20_000, 2048
 #: Standard deviations of the estimate's error in its bounds.
 SURE = 2.0
 SEED = 11
@@ -98,7 +98,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
-def searched(table: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL, probed: int = PROBED) -> DataFrame:
+def searched(table: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL, probed: int | None = None) -> DataFrame:
     """query_id, rank, key and score: for each row that the SQL ``is_query`` (on ``key``) selects, its ``k`` nearest other rows by cosine.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
@@ -119,6 +119,8 @@ def searched(table: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
     sample = unit(np.stack(taken.to_list())) if len(taken) else np.zeros((0, dims))
     middle = centres(sample, max(1, min(4096, -(-total // cell_rows))))
 
+    probed = max(LEAST_PROBED, -(-int(100 * PROBED) * len(middle) // 100)) if probed is None else probed
+
     def assign(many: int, names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
