@@ -27,7 +27,7 @@ from cragline.llm._spark import carried, parallelism, text_volume
 from cragline.llm._words import ODD, binary, flat, gather, joined, mixed, span_hashes, word_spans
 
 #: Words of the grams that minimisers are chosen from; windows in one packed string at most.
-GRAM, LONGEST = 4, 64
+GRAM, LONGEST = 3, 64
 #: Text bytes in a group of documents and in a bucket.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 NULL_KEY = np.iinfo(np.int64).max
@@ -38,7 +38,7 @@ BACK = "grp int, bucket int, raw long, blob binary"
 def _pack(*parts: bytes) -> tuple[int, bytes]:
     """Parts with their lengths before them, compressed; (size before, bytes)."""
     raw = b"".join([np.array([len(parts), *map(len, parts)], np.int64).tobytes(), *parts])
-    return len(raw), zstandard.compress(raw, 1)
+    return len(raw), zstandard.compress(raw, 5)
 
 
 def _unpack(size: int, blob: bytes) -> list[bytes]:
