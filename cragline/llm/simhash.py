@@ -31,6 +31,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Members of one tree; larger shards are cut into chunks.
 CROWD = 4096
+#: Crowded shards that are broadcast at most.
+FEW = 20_000
 #: Links kept of a member to earlier ones where links still have to be verified.
 NEAREST = 4
 
@@ -202,19 +204,22 @@ def _links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, n: np.ndarray, r
 
 
 def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share: float | None = None) -> DataFrame:
-    """(a, b): links between the nodes of ``distinct`` (node, fp, least key, n) found by the shards' BK-trees."""
-    rows = distinct.select("node", "fp", "least", "n", F.explode(F.array(*[
+    """(a, b): links between the nodes of ``distinct`` (node, fp, n) found by the shards' BK-trees."""
+    rows = distinct.select("node", "fp", "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits"))
         for i, m in enumerate(tables)
-    ])).alias("s")).select("node", "fp", "least", "n", "s.table", "s.bits")
+    ])).alias("s")).select("node", "fp", "n", "s.table", "s.bits")
     crowds = (
         rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("many"))
         .where(F.col("many") > CROWD).withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int")).drop("many")
     )
+    crowds = pinned(crowds)
+    if crowds.count() <= FEW:  # else they meet by a shuffle
+        crowds = F.broadcast(crowds)
     rows = rows.join(crowds, ["table", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "node", "fp", "least", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
+        "node", "fp", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -242,7 +247,7 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share:
         if rows_held:
             yield done(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("tree").sortWithinPartitions("tree", "least", "node")
+    dealt = rows.repartition("tree").sortWithinPartitions("tree", "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
