@@ -76,7 +76,8 @@ def set_hash(different: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id", counted: bool = False) -> DataFrame:
     """(key, node, fp, n): a row for each row of ``docs``; null and blank texts have fingerprint 0.
 
-    With ``counted``, n is the number of different shingles and node a hash of their set, else n is 0 and node the fingerprint.
+    With ``counted``, n is the number of different shingles, node a hash of their set and fp the vote of each different
+    shingle once, so that it is a function of node; else n is 0 and node the fingerprint, in which repeats count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,8 @@ def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "do
             for part in pieces(batch, "t"):
                 made = []
                 for h in shingle_hashes(part.column("t"), words):
-                    fp, different = fingerprint(h), np.unique(h) if counted else h[:0]
+                    different = np.unique(h) if counted else h[:0]
+                    fp = fingerprint(different if counted else h)
                     made.append((set_hash(different) if counted else fp, fp, len(different)))
                 made = np.array(made, np.int64)
                 yield pa.record_batch([part.column("k"), *(pa.array(made[:, i].copy()) for i in range(3))], names=["key", "node", "fp", "n"])

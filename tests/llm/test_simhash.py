@@ -122,3 +122,11 @@ def test_components(spark, pairs):
 def test_a_long_chain(spark):
     links = spark.range(400).selectExpr("id AS a", "id + 1 AS b")
     assert {r.root for r in comp.components(links).collect()} == {0}
+
+
+def test_repeats_do_not_move_the_fingerprint_of_a_set(spark):
+    words, line = " ".join(f"w{i}" for i in range(300)), " ".join(f"line{i}" for i in range(10))
+    docs = spark.createDataFrame([(n, f"{words} {(line + ' ') * n}") for n in (2, 3, 15, 40)], "doc_id long, text string")
+    got = simhash.fingerprints(docs, 5, counted=True).collect()
+    assert len({r.node for r in got}) == 1 and len({r.fp for r in got}) == 1
+    assert len({r.fp for r in simhash.fingerprints(docs, 5).collect()}) > 1  # op1 counts repeats
