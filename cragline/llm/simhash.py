@@ -4,7 +4,8 @@ Fingerprints are 64-bit majority votes over the XXH64 hashes of word shingles. C
 *distinct* fingerprints by masked bits, builds one BK-tree per shard (children keyed by their integer Hamming
 distance to the parent) and, for each fingerprint routed to the shard, follows only the edges within the radius.
 For a small radius the masks come from the pigeonhole rule, so no link is lost; for a large radius they are
-seeded bit samples, enough of them for the stated recall, and links are then verified on exact shingle sets.
+seeded bit samples, and links are then verified on shingle sets. Such trees lose pairs, so they are only a first
+round: a prefix filter over the shingles then gives every pair that can still join two components.
 
 The trees of a corpus have no size bound, so they are not broadcast: a shard's tree is built in the task that
 its members are shuffled to, and a shard over ``CROWD`` members is cut into chunks whose pairs are trees of
@@ -33,8 +34,14 @@ LOWER[65:91] += 32
 CROWD = 4096
 #: Crowded shards that are broadcast at most.
 FEW = 20_000
-#: Links kept of a member to earlier ones where links still have to be verified.
+#: Links of a member to earlier ones that the first round verifies; the prefix filter gives what it leaves.
 NEAREST = 4
+#: One in so many texts at most is counted to order shingles by frequency, and so many frequent ones are known at most (both only order).
+SAMPLED, FREQUENT = 16, 200_000
+#: Shingles in several components that are broadcast at most.
+SHARED = 500_000
+#: Allowance for rounding where shares of whole numbers are compared.
+TINY = 1e-9
 
 
 def shingle_hashes(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -261,7 +268,8 @@ def near_duplicates(
 
     Fingerprints link at ``radius`` or fewer differing bits. By default no link is lost. ``tables`` gives other masks for
     a number of distinct fingerprints. With ``share``, different sets of
-    shingles are told apart even where their fingerprints are equal, and links are only those found between texts that share it of their shingles.
+    shingles are told apart even where their fingerprints are equal, and links are those between texts that share it of their shingles: first what
+    the trees find, then all pairs of the prefix filter that are not yet in one component. Components are those of all such links.
     Repeated keys share what their rows have; a null key is never the least one while another is reachable;
     an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
@@ -269,7 +277,13 @@ def near_duplicates(
     distinct = pinned(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("least"), F.min("n").alias("n")))
     found = candidate_links(distinct, radius, (tables or (lambda n: masks(radius, n)))(distinct.count()), share)
     if share is not None:
-        found = same_shingles(docs, words, share, found.distinct(), marked, text, key)
+        found = pinned(same_shingles(docs, words, share, found.distinct(), marked, text, key))
+        rows = pinned(shared_firsts(docs, words, share, distinct, components(found), text, key))
+        for pairs in (hub_pairs, all_pairs):
+            met = same_shingles(docs, words, share, pairs(rows, share), marked, text, key)
+            found = pinned(found.union(met))
+            if pairs is hub_pairs:
+                rows = pinned(rerooted(rows, components(found)))
     roots = components(found)
     roots = roots.withColumnRenamed("node", "linked")
     named = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -278,6 +292,98 @@ def near_duplicates(
     return marked.join(named, marked["node"] == named["of"]).select("key", "fp", "component")
 
 
+def frequent_shingles(docs: DataFrame, words: int, nodes: int, text: str, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold (ascending), and how many do. For an order of shingles only."""
+    one_in = max(1, min(SAMPLED, nodes // 4096))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                for h in shingle_hashes(part.column("t"), words):
+                    yield pa.record_batch([pa.array(np.unique(h).view(np.int64))], names=["shingle"])
+
+    taken = docs.where(F.pmod(F.xxhash64(docs[key].cast("long")), F.lit(one_in)) == 0).select(docs[text].alias("t"))
+    counted = taken.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where("many > 2")
+    rows = counted.orderBy(F.desc("many"), "shingle").limit(FREQUENT).collect()
+    known = np.array([(r["shingle"], r["many"]) for r in rows], np.int64).reshape(-1, 2)
+    known = known[np.argsort(known[:, 0].copy().view(np.uint64))]
+    return known[:, 0].copy().view(np.uint64), known[:, 1].copy()
+
+
+def first_shingles(different: np.ndarray, share: float, known: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets that share ``share`` of their shingles have one of these in common.
+
+    They share at least that part of each set, so not all of their common shingles can lie beyond the first of each.
+    """
+    times = np.zeros(len(different), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, different), len(known) - 1)
+        times = np.where(known[at] == different, many[at], 0)
+    order = np.lexsort((different, times))
+    return different[order[: len(different) - math.ceil(share * len(different) - TINY) + 1]]
+
+
+def shared_firsts(docs: DataFrame, words: int, share: float, distinct: DataFrame, roots: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, root, n, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs."""
+    known, many = frequent_shingles(docs, words, distinct.count(), text, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t"):
+                made, held = [], []
+                for h in shingle_hashes(part.column("t"), words):
+                    different = np.unique(h)
+                    made.append(set_hash(different))
+                    held.append(first_shingles(different, share, known, many).view(np.int64))
+                ends = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
+                firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                yield pa.record_batch([part.column("k"), pa.array(made, pa.int64()), firsts], names=["k", "of", "firsts"])
+
+    nodes = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
+    made = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "k long, of long, firsts array<long>")
+    made = pinned(made.join(nodes, (made["of"] == nodes["node"]) & (made["k"] == nodes["least"])).select("node", "root", "n", "firsts"))
+    rows = made.select("node", "root", "n", F.posexplode("firsts").alias("pos", "shingle"))
+    several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
+    if several.count() <= SHARED:  # else they meet by a shuffle
+        several = F.broadcast(several)
+    return rows.join(several, "shingle", "left_semi")
+
+
+def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with each node's root of ``roots``."""
+    roots = roots.select(F.col("node").alias("linked"), F.col("root").alias("now"))
+    return rows.join(roots, rows["node"] == roots["linked"], "left").select("node", F.coalesce("now", "root").alias("root"), "n", "pos", "shingle")
+
+
+def fitting(pairs: DataFrame, share: float) -> DataFrame:
+    """(a, b): pairs (x, y) of rows with different roots whose numbers of shingles, and of those from the common one on, allow ``share``."""
+    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + TINY
+    fits = (
+        (F.col("x.root") != F.col("y.root")) & (rest >= share / (1 + share) * (F.col("x.n") + F.col("y.n")))
+        & (F.col("y.n") + TINY >= share * F.col("x.n")) & (F.col("x.n") + TINY >= share * F.col("y.n"))
+    )
+    return pairs.where(fits).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def hub_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b): for each shingle one node of each component and the least of all."""
+    one = rows.groupBy("shingle", "root").agg(F.min(F.struct("node", "n", "pos")).alias("e")).select("shingle", "root", "e.*")
+    hub = one.groupBy("shingle").agg(F.min(F.struct("node", "root", "n", "pos")).alias("e")).select("shingle", "e.*")
+    return fitting(one.alias("x").join(hub.alias("y"), F.col("x.shingle") == F.col("y.shingle")), share)
+
+
+def all_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different components that have a shingle in common.
+
+    For each shingle only nodes outside its largest component meet the others.
+    """
+    top = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle")
+    top = top.agg(F.max(F.struct("c", "root")).alias("e"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", F.col("e.root").alias("top"))
+    near = rows.join(top, "shingle")
+    pairs = near.where("root <> top").alias("x").join(near.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
+    return fitting(pairs.where("y.root = y.top OR x.node < y.node"), share)
+
+
 def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, marked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more, counted on 32-bit hashes.
 
@@ -317,8 +423,9 @@ def one_of_each_group(docs: DataFrame, words: int = 5, share: float = 0.8, radiu
     """``docs`` without near copies: of each group the rows with the least doc_id stay (all rows with a null one, too).
 
     Two texts that share ``share`` of their shingles differ in about arccos(2 share / (1 + share)) / pi of the
-    fingerprint's bits; ``radius`` lies nearly three standard deviations above that, and the shards find such a pair with
-    probability ``recall``. What they find is verified. All columns are kept as they are.
+    fingerprint's bits; ``radius`` lies nearly three standard deviations above that, and the shards of the first round find a pair
+    at the mean distance with probability ``recall`` (fewer of all pairs, as distances vary). The prefix filter gives all
+    others. What is found is verified. All columns are kept as they are.
     """
     apart = math.acos(2 * share / (1 + share)) / math.pi
     found = near_duplicates(docs, words, radius, share, lambda n: sampled_masks(apart, n, recall))

@@ -130,3 +130,52 @@ def test_repeats_do_not_move_the_fingerprint_of_a_set(spark):
     got = simhash.fingerprints(docs, 5, counted=True).collect()
     assert len({r.node for r in got}) == 1 and len({r.fp for r in got}) == 1
     assert len({r.fp for r in simhash.fingerprints(docs, 5).collect()}) > 1  # op1 counts repeats
+
+
+def kept_ids(docs):
+    return sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect())
+
+
+def test_the_nearest_of_a_family_do_not_hide_the_partner(spark, monkeypatch):
+    draw = np.random.default_rng(11)
+    frame = [f"frame{i}" for i in range(240)]
+    texts = [" ".join(frame + [f"t{k}w{i}" for i in range(40)]) for k in range(80)]  # 0.74 of their shingles in common
+    for k in range(40, 60):  # 0.82 in common with one text: its frame, and half of what is its own
+        texts.append(" ".join(frame + [f"t{k}w{i}" for i in range(14)] + [f"own{k}w{i}" for i in range(26)]))
+    order = draw.permutation(len(texts)).tolist()
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = groups(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len({*want.values()}) == 80
+    monkeypatch.setattr(simhash, "FREQUENT", 50, raising=False)  # the order of shingles never decides what is found
+    assert kept_ids(docs) == sorted({*want.values()})
+
+
+def test_pairs_that_no_table_brings_together_are_found(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(80):
+        words = [f"v{x}" for x in draw.integers(0, 50000, 200)]
+        other = list(words)
+        for at in draw.choice(np.arange(2, 40) * 5, int(draw.integers(2, 6)), replace=False):
+            other[at] = f"new{at}"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = groups(list(range(len(texts))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    monkeypatch.setattr(simhash, "sampled_masks", lambda *_: [(1 << 64) - 1])
+    assert 80 <= len({*want.values()}) < 160 and kept_ids(docs) == sorted({*want.values()})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
+def test_first_shingles_meet(seed, share):
+    draw = np.random.default_rng(seed)
+    x = np.unique(draw.integers(0, 2**63, int(draw.integers(1, 60)), dtype=np.uint64))
+    y = np.unique(np.r_[draw.permutation(x)[: max(1, int(len(x) * draw.uniform(share, 1)))], draw.integers(0, 2**63, int(draw.integers(0, 6)), dtype=np.uint64)])
+    known = np.sort(draw.permutation(x)[: len(x) // 2])
+    many = draw.integers(1, 9, len(known))
+    both = len(np.intersect1d(x, y))
+    met = np.intersect1d(*(simhash.first_shingles(z, share, known, many) for z in (x, y)))
+    assert len(met) or both < share * (len(x) + len(y) - both)
