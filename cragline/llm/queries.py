@@ -40,7 +40,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
-    token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"))
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, _tokenizer("byte_bpe_50k.json"), added=True)
     return token_files.read_digests(spark, folder)
 
 

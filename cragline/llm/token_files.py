@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,17 +34,18 @@ UNSAFE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE file of the tokenizers library. Strings of special tokens in a text are ordinary text.
+    """Ids of a byte-level BPE file of the tokenizers library. Strings of special tokens in a text are ordinary text, or with ``added`` (as in the library) those tokens.
 
     The pre-tokenizer always splits between a character and a single space that another word follows, so
     texts fall into units there; distinct units that such splits bound are encoded as one string.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -110,7 +112,20 @@ class ByteTokenizer:
         return gather(np.concatenate([*ids, np.zeros(0, np.int32)]), starts, many)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the offsets of each text's ids."""
+        """Flat ids of all texts and the offsets of each text's ids. Texts that hold an added token are encoded whole."""
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode(column)
+        ids, offsets = self._encode(pc.if_else(pa.array(whole), pa.scalar("", column.type), column))
+        found = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(column.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        starts, many = offsets[:-1].copy(), np.diff(offsets)
+        many[whole] = list(map(len, found))
+        starts[whole] = len(ids) + np.cumsum(many[whole]) - many[whole]
+        return gather(np.concatenate([ids, *found]), starts, many)
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = flat(column)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -120,14 +135,14 @@ class ByteTokenizer:
 
 
 @lru_cache(maxsize=2)
-def byte_tokenizer(path: str) -> ByteTokenizer:
+def byte_tokenizer(path: str, added: bool = False) -> ByteTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores already
-    return ByteTokenizer(path)
+    return ByteTokenizer(path, added)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, text: str = "text", key: str = "doc_id") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, text: str = "text", key: str = "doc_id", added: bool = False) -> None:
     """Writes doc_id, file, start (in its file), n_tokens and tokens (with ``end_id``) as Parquet, ascending by key.
 
     Null texts are empty: they hold the end id alone. Null keys come last; rows of one key ascend by text.
@@ -137,7 +152,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     files = max(parallelism(docs.sparkSession), -(-volume // FILE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, file, start = byte_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokenizer, file, start = byte_tokenizer(tokenizer_path, added), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in pieces(batch, "t", SLICE):
                 ids, offsets = tokenizer.encode(part.column("t"))

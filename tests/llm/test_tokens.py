@@ -81,3 +81,22 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_empty_table_of_tokens(spark, tmp_path):
     token_files.write_tokens(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/none", FILE)
     assert token_files.read_digests(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_added_tokens_equal_the_unaltered_library():
+    mine, library = token_files.byte_tokenizer(FILE, True), Tokenizer.from_file(FILE)
+    rows = texts() + [a + "<|endoftext|>" + b for a in ("", "x", "x ", "x  ", "é\n") for b in ("", "y", " y z", "  ", "<|endoftext|> don't")]
+    for _ in range(2):
+        ids, offsets = mine.encode(pa.array(rows, pa.string()))
+        for k, t in enumerate(rows):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    assert 50256 in ids
+
+
+def test_the_query_encodes_added_tokens(spark, tmp_path):
+    from cragline.llm import queries
+
+    spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    ids = [*Tokenizer.from_file(FILE).encode("a <|endoftext|> b", add_special_tokens=False).ids, 2]
+    got = {r.doc_id: r for r in queries.op6_token_files(spark, f"file://{tmp_path}").collect()}
+    assert (got[1].n_tokens, got[1].ids_crc32, got[2].start) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), len(ids))
