@@ -48,11 +48,13 @@ def evaluated(captures: DataFrame, history: DataFrame, url: str, fetched: str, k
     """
     month = lambda c: F.year(c) * 12 + F.month(c)
     spans = intervals(history)
-    last = F.least(F.col("valid_to"), F.lit("2100-01-01 00:00:00").cast("timestamp"))
-    spans = spans.withColumn("month", F.explode(F.sequence(month(F.col("valid_from")), F.greatest(month(last), month(F.col("valid_from"))))))
     rows = captures.select(captures[key].alias("k"), captures[url].alias("u"), captures[fetched].alias("f")).withColumn("h", host_of(F.col("u")))
     # one lookup for each distinct host and time: a host of a third of all rows is looked up once a time
     asked = rows.where("h <> '' AND f IS NOT NULL").select("h", "f").distinct()
+    # an interval is looked up in the months of captures only
+    ends = asked.agg(month(F.min("f")).alias("early"), month(F.max("f")).alias("late"))
+    spans = spans.join(F.broadcast(ends), (month(F.col("valid_from")) <= F.col("late")) & (month(F.col("valid_to")) >= F.col("early")))
+    spans = spans.withColumn("month", F.explode(F.sequence(F.greatest(month(F.col("valid_from")), F.col("early")), F.least(month(F.col("valid_to")), F.col("late"))))).drop("early", "late")
     looked = asked.withColumn("d", F.explode(domains_of(F.col("h")))).withColumn("m", month(F.col("f")))
     met = looked.join(spans, (looked["d"] == spans["domain"]) & (looked["m"] == spans["month"]) & (looked["f"] >= spans["valid_from"]) & (looked["f"] < spans["valid_to"]))
     first = F.min(F.struct((-F.length("d")).alias("l"), F.col("list"), F.col("d").alias("entry"), F.col("valid_from")))

@@ -169,3 +169,11 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, docs.limit(0), SF)
         assert empty.columns == docs.columns and empty.count() == 0, name
+
+
+def test_captures_after_2100_meet_open_entries(spark):
+    history = spark.createDataFrame([("spam", "bad.com", datetime(2024, 1, 2), "add"), ("spam", "late.com", datetime(2150, 3, 1), "add")], "list string, domain string, at timestamp, action string")
+    seen = [("http://bad.com/", datetime(2024, 1, 1)), ("http://bad.com/", datetime(2101, 5, 1)), ("http://late.com/", datetime(2150, 2, 1)), ("http://late.com/", datetime(2160, 1, 1)), ("http://bad.com/", datetime(2024, 1, 3))]
+    rows = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(seen)], "page_id long, url string, at timestamp")
+    got = {r.page_id: r.allowed for r in url_lists.evaluated(rows, history, "url", "at", "page_id").collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: False}
