@@ -49,7 +49,10 @@ def _unpack(size: int, blob: bytes) -> list[bytes]:
 
 
 class Packed:
-    """The super-k-mers of a group of documents: distinct strings by bucket, and where each occurs."""
+    """The super-k-mers of a group of documents: distinct strings by bucket, and where each occurs.
+
+    Strings are numbered in the order of their bytes, so the numbers don't depend on the order of the rows.
+    """
 
     def __init__(self, texts: pa.ChunkedArray, keys: np.ndarray, width: int, buckets: int):
         self.data, offsets = flat(texts)
@@ -82,9 +85,12 @@ class Packed:
         begin = np.flatnonzero(place % LONGEST == 0)
         many = np.diff(np.r_[begin, len(window)])
         self.occurs, self.row = window[begin], row[window[begin]]
-        raw, number = text.tobytes(), {}
-        of = [number.setdefault(raw[a:b], len(number)) for a, b in zip(at[self.occurs].tolist(), to[self.occurs + many + width - 2].tolist())]
-        self.of, self.strings = np.array(of, np.int64), list(number)
+        raw = text.tobytes()
+        sent = [raw[a:b] for a, b in zip(at[self.occurs].tolist(), to[self.occurs + many + width - 2].tolist())]
+        # numbered by content: the rows of a group come in another order each time they are shuffled, and answers name strings by number
+        self.strings = sorted(set(sent))
+        number = dict(zip(self.strings, range(len(self.strings))))
+        self.of = np.fromiter(map(number.__getitem__, sent), np.int64, len(sent))
         self.windows, self.bucket = np.zeros(len(number), np.int64), np.zeros(len(number), np.int32)
         self.windows[self.of] = many
         self.bucket[self.of] = (mixed(low[begin]) % np.uint64(buckets)).astype(np.int32)

@@ -1,7 +1,13 @@
 import hashlib
+import json
+import os
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cragline.llm import substring
@@ -71,3 +77,52 @@ def test_texts_and_empty_table(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in substring.texts_without_repeats(docs).collect()}
     assert got == {1: (text, len(text)), 2: ("new words", 9), 3: ("kept  as is", 11), 4: (None, None)}
     assert substring.texts_without_repeats(docs.limit(0)).count() == 0
+
+
+def test_answers_hold_for_rows_in_any_order():
+    rows = [r for r in rows_of(3) if r[0] is not None]
+    halves = [pa.table({"k": pa.array([k for k, _ in part], pa.int64()), "t": pa.array([t for _, t in part], pa.string())}) for part in (rows[::2], rows[1::2])]
+    halves = [h.append_column("c0", h["k"]) for h in halves]
+    sent = [substring._send(13, 7)((pa.scalar(g),), h) for g, h in enumerate(halves)]
+    met = pa.concat_tables([substring._meet(13)(x) for x in _by(pa.concat_tables(sent), "bucket")])
+    draw, got = np.random.default_rng(0), []
+    for g, half in enumerate(halves):
+        back = met.filter(pa.compute.equal(met["grp"], g))
+        plain = substring._remove(13, 7, ["c0"], True)(half, back).sort_by("c0")
+        for _ in range(5):
+            mixed = half.take(draw.permutation(len(half)))
+            again = substring._remove(13, 7, ["c0"], True)(mixed, back.take(draw.permutation(len(back))))
+            assert again.sort_by([("c0", "ascending"), ("kept", "ascending")]) == plain.sort_by([("c0", "ascending"), ("kept", "ascending")])
+        got += [tuple(r.values()) for r in plain.to_pylist()]
+    assert sorted(got, key=str) == brute(rows, 13)
+
+
+def _by(table, column):
+    return [table.filter(pa.compute.equal(table[column], x)) for x in pa.compute.unique(table[column])]
+
+
+CLUSTER = """
+import json, sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = (SparkSession.builder.master("local-cluster[3,1,1024]").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "12").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", sys.argv[2]).config("spark.driver.host", "127.0.0.1").getOrCreate())
+for _ in range(2):
+    rows = __spark_entry__.queries()["op3_substring_dedup"](spark, sys.argv[1]).collect()
+    print("ROWS", json.dumps([[r.doc_id, r.n_words, r.n_removed, r.kept_sha256] for r in rows]))
+"""
+
+
+def test_on_three_executors(spark, tmp_path):
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10_000 + k, t) for k, t in rows_of(2) if k is not None]
+    folder, repo = tmp_path / "in", Path(__file__).resolve().parents[2]
+    spark.createDataFrame([tuple(r) for r in docs], "doc_id long, text string").repartition(24).write.parquet(f"file://{folder}/documents.parquet")
+    env = os.environ | {"PYTHONPATH": str(repo), "SPARK_WORKER_DIR": str(tmp_path / "work"), "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
+    for name in [x for x in env if x.startswith(("PYSPARK_GATEWAY", "PYSPARK_SUBMIT"))]:
+        del env[name]
+    run = subprocess.run([sys.executable, "-c", CLUSTER, f"file://{folder}", f"file://{tmp_path}/shared"], env=env, cwd=repo, capture_output=True, text=True, timeout=300)
+    found = [sorted(map(tuple, json.loads(x[5:]))) for x in run.stdout.splitlines() if x.startswith("ROWS ")]
+    want = sorted((k, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for k, n, gone, kept in brute([tuple(r) for r in docs], 13))
+    assert len(found) == 2, run.stderr[-2000:]
+    assert found == [want, want]
