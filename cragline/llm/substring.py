@@ -8,7 +8,8 @@ back to the group of documents that sent it.
 Documents are dealt into groups of a few MB by a hash of their id. A group sends each distinct packed
 string once, with the least doc_id it has there: a passage that a third of all documents share reaches its
 bucket once from each group, however many documents hold it. Only windows that some other group holds with a
-smaller doc_id come back.
+smaller doc_id come back. A minimiser that very many different passages hold would fill one bucket; the windows of
+such ones are dealt by all their words.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cragline.llm._spark import carried, parallelism, text_volume
-from cragline.llm._words import ODD, binary, flat, gather, joined, mixed, span_hashes, word_spans
+from cragline.llm._words import ODD, binary, flat, gather, joined, mixed, pieces, span_hashes, word_spans
 
 #: Words of the grams that minimisers are chosen from; windows in one packed string at most.
 GRAM, LONGEST = 3, 64
 #: Text bytes in a group of documents and in a bucket.
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+#: One in so many rows is read to find hot minimisers, and so many of them are told to the tasks at most.
+SAMPLED, HOTTEST = 16, 100_000
 NULL_KEY = np.iinfo(np.int64).max
 SENT = "grp int, bucket int, raw long, blob binary"
 BACK = "grp int, bucket int, raw long, blob binary"
@@ -54,7 +57,7 @@ class Packed:
     Strings are numbered in the order of their bytes, so the numbers don't depend on the order of the rows.
     """
 
-    def __init__(self, texts: pa.ChunkedArray, keys: np.ndarray, width: int, buckets: int):
+    def __init__(self, texts: pa.ChunkedArray, keys: np.ndarray, width: int, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)):
         self.data, offsets = flat(texts)
         self.starts, self.ends, self.first = word_spans(self.data, offsets)
         text, at, to = joined(self.data, self.starts, self.ends)
@@ -66,6 +69,7 @@ class Packed:
         self.strings: list[bytes] = []
         self.bucket = np.zeros(0, np.int32)
         self.least = np.zeros(0, np.int64)
+        self.minimiser = np.zeros(0, np.uint64)
         if not len(window):
             return
         word = span_hashes(text, at, to)
@@ -79,10 +83,16 @@ class Packed:
             low = np.minimum(low[:-step], low[step:])
             span += step
         low = low[window]
-        new = np.r_[True, (low[1:] != low[:-1]) | (window[1:] != window[:-1] + 1) | (row[window][1:] != row[window][:-1])]
+        alone = np.isin(low, hot)
+        new = alone | np.r_[True, (low[1:] != low[:-1]) | (window[1:] != window[:-1] + 1) | (row[window][1:] != row[window][:-1])]
         begin = np.flatnonzero(new)
         place = np.arange(len(window)) - np.repeat(begin, np.diff(np.r_[begin, len(window)]))
         begin = np.flatnonzero(place % LONGEST == 0)
+        route = low.copy()
+        if alone.any():  # a window of a hot minimiser goes where its words say
+            route[alone] = 0
+            for k in range(width):
+                route[alone] = route[alone] * np.uint64(ODD) + word[window[alone] + k]
         many = np.diff(np.r_[begin, len(window)])
         self.occurs, self.row = window[begin], row[window[begin]]
         raw = text.tobytes()
@@ -93,7 +103,9 @@ class Packed:
         self.of = np.fromiter(map(number.__getitem__, sent), np.int64, len(sent))
         self.windows, self.bucket = np.zeros(len(number), np.int64), np.zeros(len(number), np.int32)
         self.windows[self.of] = many
-        self.bucket[self.of] = (mixed(low[begin]) % np.uint64(buckets)).astype(np.int32)
+        self.bucket[self.of] = (mixed(route[begin]) % np.uint64(buckets)).astype(np.int32)
+        self.minimiser = np.zeros(len(number), np.uint64)
+        self.minimiser[self.of] = low[begin]
         self.least = np.full(len(number), NULL_KEY)
         np.minimum.at(self.least, self.of, keys[self.row])
 
@@ -109,9 +121,29 @@ def _keys(table: pa.Table) -> np.ndarray:
     return pc.fill_null(table["k"], int(NULL_KEY)).to_numpy()
 
 
-def _send(width: int, buckets: int):
+def hot_minimisers(docs: DataFrame, width: int, text: str, key: str) -> np.ndarray:
+    """Minimisers whose different strings alone would overfill a bucket, estimated on one in ``SAMPLED`` rows.
+
+    Their windows are dealt by a hash of all their words instead, each as a string of its own: equal windows still meet, so this only
+    decides where the work is done. There is at most one for each half bucket of strings; the ``HOTTEST`` largest are used.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "t", GROUP_BYTES):
+                group = Packed(part.column("t"), np.zeros(part.num_rows, np.int64), width, 1)
+                low, of = np.unique(group.minimiser, return_inverse=True)
+                yield pa.record_batch([pa.array(low.view(np.int64)), pa.array(np.bincount(of, list(map(len, group.strings)), len(low)).astype(np.int64))], names=["low", "size"])
+
+    taken = docs.where(F.pmod(F.xxhash64(docs[key].cast("long"), F.octet_length(docs[text])), F.lit(SAMPLED)) == 0).select(docs[text].alias("t"))
+    found = taken.mapInArrow(run, "low long, size long").groupBy("low").agg(F.sum("size").alias("size")).where(F.col("size") * SAMPLED > BUCKET_BYTES // 2)
+    rows = found.orderBy(F.desc("size"), "low").limit(HOTTEST).collect()
+    return np.sort(np.array([r["low"] for r in rows], np.int64).view(np.uint64))
+
+
+def _send(width: int, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        group = Packed(table["t"], _keys(table), width, buckets)
+        group = Packed(table["t"], _keys(table), width, buckets, hot)
         rows = [(b, *_pack(group.least[part].tobytes(), b"\n".join([group.strings[i] for i in part.tolist()]))) for b, part in group.by_bucket()]
         bucket, raw, blob = zip(*rows) if rows else ((), (), ())
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array(bucket, pa.int32()), pa.array(raw, pa.int64()), pa.array(blob, pa.binary())], names=["grp", "bucket", "raw", "blob"])
@@ -174,10 +206,10 @@ def _meet(width: int):
     return run
 
 
-def _remove(width: int, buckets: int, names: list[str], with_text: bool):
+def _remove(width: int, buckets: int, names: list[str], with_text: bool, hot: np.ndarray = np.zeros(0, np.uint64)):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = _keys(left)
-        group = Packed(left["t"], keys, width, buckets)
+        group = Packed(left["t"], keys, width, buckets, hot)
         offsets = np.r_[0, np.cumsum(group.windows)]
         low = np.repeat(group.least, group.windows)
         parts = dict(group.by_bucket())
@@ -218,6 +250,7 @@ def without_repeats(docs: DataFrame, width: int = 13, carry: list[str] | None =
     rows, volume = text_volume(docs, text)
     groups = max(2 * parallelism(docs.sparkSession), -(-volume // GROUP_BYTES))
     buckets = max(2 * parallelism(docs.sparkSession), -(-volume // (BUCKET_BYTES // 3)))
+    hot = hot_minimisers(docs, width, text, key)
     carry = [key] if carry is None else carry
     columns, names = carried(docs, carry)
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
@@ -225,10 +258,10 @@ def without_repeats(docs: DataFrame, width: int = 13, carry: list[str] | None =
         F.pmod(F.xxhash64(docs[key].cast("long"), F.octet_length(docs[text])), F.lit(groups)).cast("int").alias("grp"),
         docs[key].cast("long").alias("k"), docs[text].alias("t"), *columns,
     )
-    sent = dealt.groupBy("grp").applyInArrow(_send(width, buckets), SENT)
+    sent = dealt.groupBy("grp").applyInArrow(_send(width, buckets, hot), SENT)
     back = sent.groupBy("bucket").applyInArrow(_meet(width), BACK)
     out = dealt.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(
-        _remove(width, buckets, names, with_text), f"{kinds}{', ' if kinds else ''}n_words long, n_removed long, kept string")
+        _remove(width, buckets, names, with_text, hot), f"{kinds}{', ' if kinds else ''}n_words long, n_removed long, kept string")
     return out.toDF(*carry, "n_words", "n_removed", "kept")
 
 

@@ -64,6 +64,17 @@ def test_many_groups_and_buckets(spark, monkeypatch):
     assert sorted((tuple(r) for r in substring.without_repeats(docs).collect()), key=str) == brute(rows, 13)
 
 
+def test_hot_minimisers(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(k, " ".join([*(f"a{x}" for x in draw.integers(0, 40, 11)), "one", "hot", "phrase", *(f"b{x}" for x in draw.integers(0, 40, 11))])) for k in range(60)]
+    rows += [(100 + k, t) for k, t in rows[::7]] + rows_of(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring, "SAMPLED", 1)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 600)
+    assert len(substring.hot_minimisers(docs, 13, "text", "doc_id"))
+    assert sorted((tuple(r) for r in substring.without_repeats(docs).collect()), key=str) == brute(rows, 13)
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring, "mixed", lambda x: x * np.uint64(0))  # every window has one hash
     ids = np.array([1, 2, 3, 1, 2, 3, 9, 1, 2, 3])
