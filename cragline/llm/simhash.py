@@ -3,9 +3,11 @@
 Fingerprints are 64-bit majority votes over the XXH64 hashes of word shingles. Candidate search shards the
 *distinct* fingerprints by masked bits, builds one BK-tree per shard (children keyed by their integer Hamming
 distance to the parent) and, for each fingerprint routed to the shard, follows only the edges within the radius.
-For a small radius the masks come from the pigeonhole rule, so no link is lost; for a large radius they are
-seeded bit samples, and links are then verified on shingle sets. Such trees lose pairs, so they are only a first
-round: a prefix filter over the shingles then gives every pair that can still join two components.
+
+``near_duplicates`` links fingerprints within a small radius: its masks come from the pigeonhole rule, so no link is lost.
+``near_copies`` links texts by the share of common shingles: its masks are seeded bit samples, a second fingerprint goes with each
+member and drops most chance meetings inside the tree, and links are verified on the shingle sets. Such trees lose some pairs, so a
+prefix filter over the shingles then gives every pair that can still join two components.
 
 The trees of a corpus have no size bound, so they are not broadcast: a shard's tree is built in the task that
 its members are shuffled to, and a shard over ``CROWD`` members is cut into chunks whose pairs are trees of
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cragline.llm._spark import pinned
-from cragline.llm._words import flat, joined, pieces, word_spans
+from cragline.llm._words import flat, joined, mixed, pieces, word_spans
 from cragline.llm.components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,8 +36,8 @@ LOWER[65:91] += 32
 CROWD = 4096
 #: Crowded shards that are broadcast at most.
 FEW = 20_000
-#: Links of a member to earlier ones that the first round verifies; the prefix filter gives what it leaves.
-NEAREST = 4
+#: Keys, and groups, that are broadcast at most.
+FEW_KEYS = 1_000_000
 #: One in so many texts at most is counted to order shingles by frequency, and so many frequent ones are known at most (both only order).
 SAMPLED, FREQUENT = 16, 200_000
 #: Shingles in several components that are broadcast at most.
@@ -80,25 +82,15 @@ def set_hash(different: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(different.tobytes(), 1) - (1 << 63)
 
 
-def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id", counted: bool = False) -> DataFrame:
-    """(key, node, fp, n): a row for each row of ``docs``; null and blank texts have fingerprint 0.
-
-    With ``counted``, n is the number of different shingles, node a hash of their set and fp the vote of each different
-    shingle once, so that it is a function of node; else n is 0 and node the fingerprint, in which repeats count.
-    """
+def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, node): a row for each row of ``docs``; node is the fingerprint, in which repeats count. Null and blank texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                made = []
-                for h in shingle_hashes(part.column("t"), words):
-                    different = np.unique(h) if counted else h[:0]
-                    fp = fingerprint(different if counted else h)
-                    made.append((set_hash(different) if counted else fp, fp, len(different)))
-                made = np.array(made, np.int64)
-                yield pa.record_batch([part.column("k"), *(pa.array(made[:, i].copy()) for i in range(3))], names=["key", "node", "fp", "n"])
+                yield pa.record_batch([part.column("k"), pa.array([fingerprint(h) for h in shingle_hashes(part.column("t"), words)], pa.int64())], names=["key", "node"])
 
-    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, node long, fp long, n long")
+    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, node long")
 
 
 def masks(radius: int, members: int) -> list[int]:
@@ -188,36 +180,37 @@ def merged(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _links(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, n: np.ndarray, radius: int, share: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the nodes of a task's shards: a spanning forest of all links, or those to the nearest earlier members whose numbers of shingles allow ``share``."""
-    forest = Forest(fp, shard)
-    if share is None:
-        parent = np.arange(len(fp))
-        for q, hit, _ in forest.within(radius):
-            merged(parent, q, hit)
-        merged(parent, np.arange(len(fp)), parent.copy())
-        far = np.flatnonzero(parent != np.arange(len(fp)))
-        return node[far], node[parent[far]]
-    out = []
+def forest_links(members: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links within the radius between the members of each tree."""
+    node, forest = members["node"].to_numpy(), Forest(members["fp"].to_numpy().view(np.uint64), members["tree"].to_numpy())
+    parent = np.arange(len(node))
+    for q, hit, _ in forest.within(radius):
+        merged(parent, q, hit)
+    merged(parent, np.arange(len(node)), parent.copy())
+    far = np.flatnonzero(parent != np.arange(len(node)))
+    return node[far], node[parent[far]]
+
+
+def nearest_links(members: pa.Table, radius: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each member the nearest earlier one of its tree that both fingerprints and the numbers of shingles allow: at most one link a member and tree."""
+    node, n, second = (members[c].to_numpy() for c in ("node", "n", "second"))
+    forest, second = Forest(members["fp"].to_numpy().view(np.uint64), members["tree"].to_numpy()), second.view(np.uint64)
+    best = np.full(len(node), 1 << 40)  # distance, then place
     for q, hit, apart in forest.within(radius):
-        keep = (hit < q) & (n[hit] >= share * n[q]) & (n[q] >= share * n[hit])
-        q, hit, apart = q[keep], hit[keep], apart[keep]
-        order = np.lexsort((hit, apart, q))
-        q, hit = q[order], hit[order]
-        first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-        keep = rank < NEAREST
-        out.append((node[q[keep]], node[hit[keep]]))
-    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-    return a, b
-
-
-def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share: float | None = None) -> DataFrame:
-    """(a, b): links between the nodes of ``distinct`` (node, fp, n) found by the shards' BK-trees."""
-    rows = distinct.select("node", "fp", "n", F.explode(F.array(*[
+        also = np.bitwise_count(second[q] ^ second[hit]).astype(np.int64)
+        keep = (hit < q) & (also <= radius) & (n[hit] >= share * n[q]) & (n[q] >= share * n[hit])
+        np.minimum.at(best, q[keep], (apart + also)[keep] << 32 | hit[keep])
+    found = np.flatnonzero(best < 1 << 40)
+    return node[found], node[best[found] & 0xFFFFFFFF]
+
+
+def candidate_links(distinct: DataFrame, tables: list[int], links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): links between the nodes of ``distinct`` (node, fp, ...) that ``links`` finds among the members of a task's trees."""
+    columns = distinct.columns
+    rows = distinct.select(*columns, F.explode(F.array(*[
         F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits"))
         for i, m in enumerate(tables)
-    ])).alias("s")).select("node", "fp", "n", "s.table", "s.bits")
+    ])).alias("s")).select(*columns, "s.table", "s.bits")
     crowds = (
         rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("many"))
         .where(F.col("many") > CROWD).withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int")).drop("many")
@@ -228,15 +221,14 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share:
     rows = rows.join(crowds, ["table", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(
-        "node", "fp", "n", F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
+        *columns, F.xxhash64("table", "bits", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tree"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def done(table: pa.Table) -> pa.RecordBatch:
-            fp = table["fp"].to_numpy().view(np.uint64)
-            a, b = _links(table["node"].to_numpy(), fp, table["tree"].to_numpy(), table["n"].to_numpy(), radius, share)
+            a, b = links(table)
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             return pa.record_batch([pa.array(pairs[:, i].copy()) for i in (0, 1)], schema=schema)
 
@@ -260,54 +252,47 @@ def candidate_links(distinct: DataFrame, radius: int, tables: list[int], share:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, words: int = 4, radius: int = 4, share: float | None = None,
-    tables: Callable[[int], list[int]] | None = None, text: str = "text", key: str = "doc_id",
-) -> DataFrame:
+def named(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, fp, component): each row of ``marked`` (key, node, fp) with the least key (``least`` of ``distinct``) that its node reaches."""
+    roots = components(links).withColumnRenamed("node", "linked")
+    linked = pinned(distinct.join(roots, distinct["node"] == roots["linked"]).select("linked", "least", "root"))
+    least = pinned(linked.groupBy("root").agg(F.min("least").alias("component")))
+    if least.count() <= FEW_KEYS:  # else they meet by a shuffle
+        least = F.broadcast(least)
+    linked = linked.join(least, "root").select("linked", "component")
+    every = distinct.join(linked, distinct["node"] == linked["linked"], "left").select(F.col("node").alias("of"), F.coalesce("component", "least").alias("component"))
+    return marked.join(every, marked["node"] == every["of"]).select("key", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component): one row for each row of ``docs``; component is the least key reachable over links.
 
-    Fingerprints link at ``radius`` or fewer differing bits. By default no link is lost. ``tables`` gives other masks for
-    a number of distinct fingerprints. With ``share``, different sets of
-    shingles are told apart even where their fingerprints are equal, and links are those between texts that share it of their shingles: first what
-    the trees find, then all pairs of the prefix filter that are not yet in one component. Components are those of all such links.
-    Repeated keys share what their rows have; a null key is never the least one while another is reachable;
-    an empty table gives an empty result. Other columns of ``docs`` are not read.
+    Fingerprints link at ``radius`` or fewer differing bits; no link is lost. Repeated keys share what their rows have; a null key is never the
+    least one while another is reachable; an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
-    marked = pinned(fingerprints(docs, words, text, key, share is not None))
-    distinct = pinned(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("least"), F.min("n").alias("n")))
-    found = candidate_links(distinct, radius, (tables or (lambda n: masks(radius, n)))(distinct.count()), share)
-    if share is not None:
-        found = pinned(same_shingles(docs, words, share, found.distinct(), marked, text, key))
-        rows = pinned(shared_firsts(docs, words, share, distinct, components(found), text, key))
-        for pairs in (hub_pairs, all_pairs):
-            met = same_shingles(docs, words, share, pairs(rows, share), marked, text, key)
-            found = pinned(found.union(met))
-            if pairs is hub_pairs:
-                rows = pinned(rerooted(rows, components(found)))
-    roots = components(found)
-    roots = roots.withColumnRenamed("node", "linked")
-    named = distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select(F.col("node").alias("of"), "component")
-    return marked.join(named, marked["node"] == named["of"]).select("key", "fp", "component")
+    marked = pinned(fingerprints(docs, words, text, key))
+    distinct = pinned(marked.groupBy("node").agg(F.min("key").alias("least")))
+    members = distinct.select("node", F.col("node").alias("fp"))
+    found = candidate_links(members, masks(radius, distinct.count()), lambda members: forest_links(members, radius))
+    return named(marked.withColumn("fp", F.col("node")), distinct, found)
 
 
-def frequent_shingles(docs: DataFrame, words: int, nodes: int, text: str, key: str) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, words: int, text: str, key: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold (ascending), and how many do. For an order of shingles only."""
-    one_in = max(1, min(SAMPLED, nodes // 4096))
+    one_in = max(1, min(SAMPLED, docs.count() // 4096))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "t"):
-                for h in shingle_hashes(part.column("t"), words):
-                    yield pa.record_batch([pa.array(np.unique(h).view(np.int64))], names=["shingle"])
+                found = [np.unique(h) for h in shingle_hashes(part.column("t"), words)]
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
     taken = docs.where(F.pmod(F.xxhash64(docs[key].cast("long")), F.lit(one_in)) == 0).select(docs[text].alias("t"))
     counted = taken.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where("many > 2")
-    rows = counted.orderBy(F.desc("many"), "shingle").limit(FREQUENT).collect()
-    known = np.array([(r["shingle"], r["many"]) for r in rows], np.int64).reshape(-1, 2)
-    known = known[np.argsort(known[:, 0].copy().view(np.uint64))]
-    return known[:, 0].copy().view(np.uint64), known[:, 1].copy()
+    rows = counted.orderBy(F.desc("many"), "shingle").limit(FREQUENT).toPandas()
+    known, many = rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["many"].to_numpy(np.int64)
+    order = np.argsort(known)
+    return known[order], many[order]
 
 
 def first_shingles(different: np.ndarray, share: float, known: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -323,9 +308,10 @@ def first_shingles(different: np.ndarray, share: float, known: np.ndarray, many:
     return different[order[: len(different) - math.ceil(share * len(different) - TINY) + 1]]
 
 
-def shared_firsts(docs: DataFrame, words: int, share: float, distinct: DataFrame, roots: DataFrame, text: str, key: str) -> DataFrame:
-    """(node, root, n, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs."""
-    known, many = frequent_shingles(docs, words, distinct.count(), text, key)
+def shingled(docs: DataFrame, words: int, share: float, text: str, key: str) -> DataFrame:
+    """(key, node, fp, second, n, firsts) of each row: a hash of the set of its shingles, two fingerprints to which each different shingle gives one vote
+    (of its hash and of a mix of it), the number of different shingles, and the first ones of the prefix filter. All but the key are functions of node."""
+    known, many = frequent_shingles(docs, words, text, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,16 +319,43 @@ def shared_firsts(docs: DataFrame, words: int, share: float, distinct: DataFrame
                 made, held = [], []
                 for h in shingle_hashes(part.column("t"), words):
                     different = np.unique(h)
-                    made.append(set_hash(different))
+                    made.append((set_hash(different), fingerprint(different), fingerprint(mixed(different)), len(different)))
                     held.append(first_shingles(different, share, known, many).view(np.int64))
+                made = np.array(made, np.int64)
                 ends = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
                 firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
-                yield pa.record_batch([part.column("k"), pa.array(made, pa.int64()), firsts], names=["k", "of", "firsts"])
+                yield pa.record_batch([part.column("k"), *(pa.array(made[:, i].copy()) for i in range(4)), firsts], names=["key", "node", "fp", "second", "n", "firsts"])
+
+    return docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "key long, node long, fp long, second long, n long, firsts array<long>")
+
+
+def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int = 18, recall: float = 0.95, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fp, component): one row for each row of ``docs``; component is the least key reachable over links between texts that have ``share`` of their different shingles in common.
 
-    nodes = distinct.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"))
-    made = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).mapInArrow(run, "k long, of long, firsts array<long>")
-    made = pinned(made.join(nodes, (made["of"] == nodes["node"]) & (made["k"] == nodes["least"])).select("node", "root", "n", "firsts"))
-    rows = made.select("node", "root", "n", F.posexplode("firsts").alias("pos", "shingle"))
+    Two such texts differ in about arccos(2 share / (1 + share)) / pi of a fingerprint's bits; ``radius`` lies nearly three standard deviations above
+    that, and the trees hold a pair at the mean distance together with probability ``recall``. Each member's nearest is verified, then all pairs of the prefix
+    filter that aren't yet in one component; so up to equal hashes no link is missed, and none below ``share`` is made. Sets are those
+    of a text of their least key: what only rows with a null key hold gets no links. Otherwise as ``near_duplicates``.
+    """
+    marked = pinned(shingled(docs, words, share, text, key))
+    distinct = pinned(marked.groupBy("node").agg(F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("fp", "second", "n", "firsts"))))
+    apart = math.acos(2 * share / (1 + share)) / math.pi
+    found = candidate_links(distinct.select("node", "fp", "second", "n"), sampled_masks(apart, distinct.count(), recall), lambda members: nearest_links(members, radius, share))
+    found = pinned(same_shingles(docs, words, share, found.distinct(), distinct, text, key))
+    rows = pinned(shared_firsts(distinct, components(found)))
+    for pairs in (hub_pairs, all_pairs):
+        met = same_shingles(docs, words, share, pairs(rows, share), distinct, text, key)
+        found = pinned(found.union(met))
+        if pairs is hub_pairs:
+            rows = pinned(rerooted(rows, components(found)))
+    return named(marked.select("key", "node", "fp"), distinct.select("node", "least"), found)
+
+
+def shared_firsts(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root, n, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs."""
+    roots = roots.withColumnRenamed("node", "linked")
+    nodes = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "n", F.coalesce("root", "node").alias("root"), "firsts")
+    rows = pinned(nodes).select("node", "root", "n", F.posexplode("firsts").alias("pos", "shingle"))
     several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     if several.count() <= SHARED:  # else they meet by a shuffle
         several = F.broadcast(several)
@@ -356,24 +369,30 @@ def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def fitting(pairs: DataFrame, share: float) -> DataFrame:
-    """(a, b): pairs (x, y) of rows with different roots whose numbers of shingles, and of those from the common one on, allow ``share``."""
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + TINY
-    fits = (
-        (F.col("x.root") != F.col("y.root")) & (rest >= share / (1 + share) * (F.col("x.n") + F.col("y.n")))
-        & (F.col("y.n") + TINY >= share * F.col("x.n")) & (F.col("x.n") + TINY >= share * F.col("y.n"))
-    )
-    return pairs.where(fits).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    """(a, b, c, need): pairs (x, y) of rows with different roots whose numbers of shingles, and of those from the first common one on, allow ``share``.
+
+    c is the number of rows that a pair has. ``need`` is what c must be if it is the number of all first shingles that both have:
+    beyond the first ones of the set whose last one comes earlier, no more can be common than that set still has.
+    """
+    least = F.lit(share / (1 + share)) * (F.col("x.n") + F.col("y.n")) - TINY
+    sizes = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") + TINY >= share * F.col("x.n")) & (F.col("x.n") + TINY >= share * F.col("y.n"))
+    beyond = F.ceil(share * F.greatest("x.n", "y.n") - TINY) - 1
+    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - least
+    met = pairs.where(sizes).groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.max(least - beyond).alias("need"), F.max(room).alias("room"))
+    return met.where("room >= 0").drop("room")
 
 
 def hub_pairs(rows: DataFrame, share: float) -> DataFrame:
-    """(a, b): for each shingle one node of each component and the least of all."""
+    """(a, b): for each shingle one node of each component meets the least of all; of these each node's pair with the most meetings."""
     one = rows.groupBy("shingle", "root").agg(F.min(F.struct("node", "n", "pos")).alias("e")).select("shingle", "root", "e.*")
     hub = one.groupBy("shingle").agg(F.min(F.struct("node", "root", "n", "pos")).alias("e")).select("shingle", "e.*")
-    return fitting(one.alias("x").join(hub.alias("y"), F.col("x.shingle") == F.col("y.shingle")), share)
+    met = fitting(one.alias("x").join(hub.alias("y"), F.col("x.shingle") == F.col("y.shingle")), share)
+    return met.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
 def all_pairs(rows: DataFrame, share: float) -> DataFrame:
-    """(a, b): all pairs of nodes of different components that have a shingle in common.
+    """(a, b): all pairs of nodes of different components that have enough first shingles in common to be links.
 
     For each shingle only nodes outside its largest component meet the others.
     """
@@ -381,11 +400,11 @@ def all_pairs(rows: DataFrame, share: float) -> DataFrame:
     top = top.agg(F.max(F.struct("c", "root")).alias("e"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", F.col("e.root").alias("top"))
     near = rows.join(top, "shingle")
     pairs = near.where("root <> top").alias("x").join(near.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-    return fitting(pairs.where("y.root = y.top OR x.node < y.node"), share)
+    return fitting(pairs.where("y.root = y.top OR x.node < y.node"), share).where("c >= need").select("a", "b")
 
 
-def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, marked: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more, counted on 32-bit hashes.
+def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, distinct: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more.
 
     Each set is represented by a text of its least key; one that only rows with a null key have gets no links.
     """
@@ -397,21 +416,23 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, m
                 for h in shingle_hashes(part.column("t"), words):
                     different = np.unique(h)
                     made.append(set_hash(different))
-                    held.append(np.unique(different.astype(np.uint32)).tobytes())
+                    held.append(different.tobytes())
                 yield pa.record_batch([pa.array(made, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= share * (len(x) + len(y) - both))
+                keep.append(both + TINY >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = pinned(links)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    least = marked.join(ends, "node", "left_semi").groupBy("node").agg(F.min("key").alias("k")).select("k")
+    least = pinned(distinct.join(ends, "node", "left_semi").select(F.col("least").alias("k")))
+    if least.count() <= FEW_KEYS:  # else they meet by a shuffle
+        least = F.broadcast(least)
     chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(least, "k", "left_semi")
     held = chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     met = links.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -419,16 +440,9 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, m
     return met.mapInArrow(compare, "a long, b long")
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int = 18, recall: float = 0.995) -> DataFrame:
-    """``docs`` without near copies: of each group the rows with the least doc_id stay (all rows with a null one, too).
-
-    Two texts that share ``share`` of their shingles differ in about arccos(2 share / (1 + share)) / pi of the
-    fingerprint's bits; ``radius`` lies nearly three standard deviations above that, and the shards of the first round find a pair
-    at the mean distance with probability ``recall`` (fewer of all pairs, as distances vary). The prefix filter gives all
-    others. What is found is verified. All columns are kept as they are.
-    """
-    apart = math.acos(2 * share / (1 + share)) / math.pi
-    found = near_duplicates(docs, words, radius, share, lambda n: sampled_masks(apart, n, recall))
+def one_of_each_group(docs: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:
+    """``docs`` without near copies (``near_copies``): of each group the rows with the least doc_id stay (all rows with a null one, too). All columns are kept as they are."""
+    found = near_copies(docs, words, share)
     stay = found.where(F.col("key") == F.col("component")).select(F.col("key").alias("__stay")).distinct()
     kept = docs.join(stay, docs["doc_id"].cast("long") == stay["__stay"], "left_semi")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))

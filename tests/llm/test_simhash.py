@@ -84,10 +84,10 @@ def test_masks_lose_no_pair(members):
 
 def test_a_crowded_shard_is_cut(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", 8)
-    fps = [(int(x), int(x), int(x), 0) for x in {(1 << a) | (1 << b) for a in range(10) for b in range(10)}]
-    distinct = spark.createDataFrame(fps, "node long, fp long, least long, n long")
-    roots = comp.components(simhash.candidate_links(distinct, 4, simhash.masks(4, len(fps))))
-    assert {r.node for r in roots.collect()} == {f for f, *_ in fps} and roots.select("root").distinct().count() == 1
+    fps = [(int(x), int(x)) for x in {(1 << a) | (1 << b) for a in range(10) for b in range(10)}]
+    distinct = spark.createDataFrame(fps, "node long, fp long")
+    roots = comp.components(simhash.candidate_links(distinct, simhash.masks(4, len(fps)), lambda members: simhash.forest_links(members, 4)))
+    assert {r.node for r in roots.collect()} == {f for f, _ in fps} and roots.select("root").distinct().count() == 1
 
 
 def test_near_copies_by_shingles(spark):
@@ -127,9 +127,9 @@ def test_a_long_chain(spark):
 def test_repeats_do_not_move_the_fingerprint_of_a_set(spark):
     words, line = " ".join(f"w{i}" for i in range(300)), " ".join(f"line{i}" for i in range(10))
     docs = spark.createDataFrame([(n, f"{words} {(line + ' ') * n}") for n in (2, 3, 15, 40)], "doc_id long, text string")
-    got = simhash.fingerprints(docs, 5, counted=True).collect()
-    assert len({r.node for r in got}) == 1 and len({r.fp for r in got}) == 1
-    assert len({r.fp for r in simhash.fingerprints(docs, 5).collect()}) > 1  # op1 counts repeats
+    got = simhash.shingled(docs, 5, 0.8, "text", "doc_id").collect()
+    assert len({(r.node, r.fp, r.second, r.n, *r.firsts) for r in got}) == 1
+    assert len({r.node for r in simhash.fingerprints(docs, 5).collect()}) > 1  # op1 counts repeats
 
 
 def kept_ids(docs):
@@ -168,6 +168,23 @@ def test_pairs_that_no_table_brings_together_are_found(spark, monkeypatch):
     assert 80 <= len({*want.values()}) < 160 and kept_ids(docs) == sorted({*want.values()})
 
 
+def test_near_copies_of_a_table_by_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    draw = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(r.doc_id, r.text) for r in docs] * 2  # every row twice
+    for k in range(120):  # one large group of near copies, many of them just at the share
+        words = list(base)
+        for at in draw.choice(150, int(draw.integers(1, 9)), replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((10_000 + k, " ".join(words)))
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    ids = sorted(sets)
+    want = groups(ids, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.key: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
 def test_first_shingles_meet(seed, share):
