@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cragline.llm._spark import pinned
-from cragline.llm._words import flat, joined, mixed, pieces, word_spans
+from cragline.llm._words import flat, gather, joined, mixed, pieces, word_spans
 from cragline.llm.components import components
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -36,8 +36,10 @@ LOWER[65:91] += 32
 CROWD = 4096
 #: Crowded shards that are broadcast at most.
 FEW = 20_000
-#: Keys, and groups, that are broadcast at most.
-FEW_KEYS = 1_000_000
+#: Keys or groups, and nodes with their numbers, that are broadcast at most.
+FEW_KEYS, FEW_NODES = 1_000_000, 300_000
+#: Nodes of a component that others meet as single pairs at most, and of one block where it has more.
+LARGE = 128
 #: One in so many texts at most is counted to order shingles by frequency, and so many frequent ones are known at most (both only order).
 SAMPLED, FREQUENT = 16, 200_000
 #: Shingles in several components that are broadcast at most.
@@ -338,36 +340,41 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int
     of a text of their least key: what only rows with a null key hold gets no links. Otherwise as ``near_duplicates``.
     """
     marked = pinned(shingled(docs, words, share, text, key))
-    distinct = pinned(marked.groupBy("node").agg(F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("fp", "second", "n", "firsts"))))
+    distinct = pinned(marked.groupBy("node").agg(*(F.min(c).alias(x) for c, x in (("key", "least"), ("fp", "fp"), ("second", "second"), ("n", "n")))))
     apart = math.acos(2 * share / (1 + share)) / math.pi
     found = candidate_links(distinct.select("node", "fp", "second", "n"), sampled_masks(apart, distinct.count(), recall), lambda members: nearest_links(members, radius, share))
     found = pinned(same_shingles(docs, words, share, found.distinct(), distinct, text, key))
-    rows = pinned(shared_firsts(distinct, components(found)))
-    for pairs in (hub_pairs, all_pairs):
-        met = same_shingles(docs, words, share, pairs(rows, share), distinct, text, key)
-        found = pinned(found.union(met))
-        if pairs is hub_pairs:
-            rows = pinned(rerooted(rows, components(found)))
+    nodes = pinned(rooted(distinct, components(found)))
+    rows = pinned(shared_firsts(marked, nodes))
+    found = found.union(same_shingles(docs, words, share, all_pairs(rows, share), distinct, text, key))
+    found = pinned(found.union(links_to_large(docs, words, share, rows, nodes, text, key)))
     return named(marked.select("key", "node", "fp"), distinct.select("node", "least"), found)
 
 
-def shared_firsts(distinct: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, n, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs."""
-    roots = roots.withColumnRenamed("node", "linked")
-    nodes = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "n", F.coalesce("root", "node").alias("root"), "firsts")
-    rows = pinned(nodes).select("node", "root", "n", F.posexplode("firsts").alias("pos", "shingle"))
+def rooted(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, least, n, root, size): each node with the root of its component and how many nodes that has."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    roots = pinned(roots.join(sizes, "root").withColumnRenamed("node", "linked"))
+    if roots.count() <= FEW_KEYS:  # else they meet by a shuffle
+        roots = F.broadcast(roots)
+    return distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
+def shared_firsts(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, root, size, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs.
+
+    Rows that repeat a key and a text repeat theirs; so counts of common shingles are never too small.
+    """
+    if nodes.count() <= FEW_NODES:  # else they meet by a shuffle
+        nodes = F.broadcast(nodes)
+    firsts = marked.select(F.col("node").alias("of"), "key", "firsts").join(nodes, (F.col("of") == F.col("node")) & (F.col("key") == F.col("least")))
+    rows = firsts.select("node", "n", "root", "size", F.posexplode("firsts").alias("pos", "shingle"))
     several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
     if several.count() <= SHARED:  # else they meet by a shuffle
         several = F.broadcast(several)
     return rows.join(several, "shingle", "left_semi")
 
 
-def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """``rows`` with each node's root of ``roots``."""
-    roots = roots.select(F.col("node").alias("linked"), F.col("root").alias("now"))
-    return rows.join(roots, rows["node"] == roots["linked"], "left").select("node", F.coalesce("now", "root").alias("root"), "n", "pos", "shingle")
-
-
 def fitting(pairs: DataFrame, share: float) -> DataFrame:
     """(a, b, c, need): pairs (x, y) of rows with different roots whose numbers of shingles, and of those from the first common one on, allow ``share``.
 
@@ -383,31 +390,65 @@ def fitting(pairs: DataFrame, share: float) -> DataFrame:
     return met.where("room >= 0").drop("room")
 
 
-def hub_pairs(rows: DataFrame, share: float) -> DataFrame:
-    """(a, b): for each shingle one node of each component meets the least of all; of these each node's pair with the most meetings."""
-    one = rows.groupBy("shingle", "root").agg(F.min(F.struct("node", "n", "pos")).alias("e")).select("shingle", "root", "e.*")
-    hub = one.groupBy("shingle").agg(F.min(F.struct("node", "root", "n", "pos")).alias("e")).select("shingle", "e.*")
-    met = fitting(one.alias("x").join(hub.alias("y"), F.col("x.shingle") == F.col("y.shingle")), share)
-    return met.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+def with_top(rows: DataFrame) -> DataFrame:
+    """``rows`` with the root, and the number of nodes, of the component that has the most nodes at each shingle."""
+    top = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")).groupBy("shingle")
+    return rows.join(top.agg(F.max(F.struct("c", "root", "size")).alias("e")).select("shingle", F.col("e.root").alias("top"), F.col("e.size").alias("top_size")), "shingle")
 
 
 def all_pairs(rows: DataFrame, share: float) -> DataFrame:
-    """(a, b): all pairs of nodes of different components that have enough first shingles in common to be links.
+    """(a, b): pairs of nodes of different components that have enough first shingles in common to be links.
 
-    For each shingle only nodes outside its largest component meet the others.
+    For each shingle only nodes outside its largest component meet others. Where that component has over ``LARGE`` nodes they
+    don't meet its nodes here but in ``links_to_large``; so no node meets more than ``LARGE`` of a component.
     """
-    top = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle")
-    top = top.agg(F.max(F.struct("c", "root")).alias("e"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("shingle", F.col("e.root").alias("top"))
-    near = rows.join(top, "shingle")
-    pairs = near.where("root <> top").alias("x").join(near.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
+    near = with_top(rows)
+    pairs = near.where("root <> top").alias("x").join(near.where(f"root <> top OR top_size <= {LARGE}").alias("y"), F.col("x.shingle") == F.col("y.shingle"))
     return fitting(pairs.where("y.root = y.top OR x.node < y.node"), share).where("c >= need").select("a", "b")
 
 
-def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, distinct: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more.
+def links_to_large(docs: DataFrame, words: int, share: float, rows: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
+    """(a, b): links between nodes and components of over ``LARGE`` nodes with which they have a first shingle in common.
 
-    Each set is represented by a text of its least key; one that only rows with a null key have gets no links.
+    A component's nodes are dealt into blocks and those that ask for it into parts; each block counts the common shingles of
+    all its pairs in one task, exactly, and gives one link for each node and block that has one.
     """
+    asked = pinned(with_top(rows).where(f"root <> top AND top_size > {LARGE}").select("node", "top").distinct())
+    sizes = asked.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / LARGE).cast("int").alias("parts"))
+    members = nodes.join(sizes, nodes["root"] == sizes["top"]).select("node", "top", F.ceil(F.col("size") / LARGE).cast("int").alias("blocks"), "parts")
+    members = pinned(members)
+    sizes = members.groupBy("top").agg(F.max("blocks").alias("blocks"), F.max("parts").alias("parts"))
+    chosen = nodes.join(asked.select("node").union(members.select("node")).distinct(), "node", "left_semi").select(F.col("least").alias("k"))
+    held = pinned(shingle_sets(docs, words, pinned(chosen), text, key))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if len(left) and len(right):
+            sets = [np.frombuffer(x, np.uint64) for x in left["shingles"].to_pylist()]
+            many = np.array(list(map(len, sets)))
+            every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), many)
+            order = np.argsort(every, kind="stable")
+            every, owner, ids = every[order], owner[order], left["node"].to_pylist()
+            for node, x in zip(right["node"].to_pylist(), right["shingles"].to_pylist()):
+                x = np.frombuffer(x, np.uint64)
+                low, high = np.searchsorted(every, x), np.searchsorted(every, x, "right")
+                at, _ = gather(owner, low, high - low)
+                both = np.bincount(at, minlength=len(sets))
+                linked = np.flatnonzero(both + TINY >= share * (len(x) + many - both))
+                if len(linked):
+                    found.append((node, ids[linked[0]]))
+        return pa.table([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    of = held.withColumnRenamed("node", "of")
+    blocks = members.join(of, F.col("node") == F.col("of")).select("node", "shingles", "top", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    askers = asked.join(sizes, "top").join(of, F.col("node") == F.col("of")).select("node", "shingles", "top", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    where = ["top", "block", "part"]
+    blocks, askers = (x.toDF("node", "shingles", *where) for x in (blocks, askers))
+    return blocks.groupBy(*where).cogroup(askers.groupBy(*where)).applyInArrow(meet, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, words: int, keys: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, shingles): the sets of the texts with the given keys ``k``, as sorted 64-bit hashes in one binary; one row for each set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -419,6 +460,18 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, d
                     held.append(different.tobytes())
                 yield pa.record_batch([pa.array(made, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
 
+    if keys.count() <= FEW_KEYS:  # else they meet by a shuffle
+        keys = F.broadcast(keys)
+    chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(keys, "k", "left_semi")
+    return chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, distinct: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The links between texts whose sets of shingles have a Jaccard similarity of ``share`` or more.
+
+    Each set is represented by a text of its least key; one that only rows with a null key have gets no links.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -430,11 +483,7 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, d
 
     links = pinned(links)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    least = pinned(distinct.join(ends, "node", "left_semi").select(F.col("least").alias("k")))
-    if least.count() <= FEW_KEYS:  # else they meet by a shuffle
-        least = F.broadcast(least)
-    chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(least, "k", "left_semi")
-    held = chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    held = shingle_sets(docs, words, pinned(distinct.join(ends, "node", "left_semi").select(F.col("least").alias("k"))), text, key)
     met = links.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(compare, "a long, b long")

@@ -1,9 +1,8 @@
 """URL filters with dated lists: a temporal as-of join of captures with list entries, in DataFrame functions only.
 
 A list's history holds dated actions on hosts. For each list and host, an action is in force until the
-next one, so the history becomes validity intervals. Captures meet the intervals of their host and of its parent domains by
-equality of the domain and of the month of their fetch time, and keep the interval that was active
-at that time.
+next one, so the history becomes validity intervals. Captures and the starts of intervals are put in one order of time for each
+domain and list; each capture takes the last interval that began at or before its fetch time and keeps it where it hasn't ended.
 """
 
 from __future__ import annotations
@@ -11,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Captures of a domain in one piece, about.
+PIECE = 1000
 END = "9999-12-31 00:00:00"
 
 
@@ -44,20 +45,25 @@ def evaluated(captures: DataFrame, history: DataFrame, url: str, fetched: str, k
 
     n_active: entries in force at fetch time on the host or a parent domain. Of these the most specific decides, then the
     least list name; list, entry and valid_from are its own. ``allowed`` is false where one is in force. A null URL or time
-    is allowed: nothing can be looked up. Rows of one key are judged each for itself.
+    is allowed: nothing can be looked up. Rows of one key are judged each for itself. Times of any year are looked up.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
     spans = intervals(history)
     rows = captures.select(captures[key].alias("k"), captures[url].alias("u"), captures[fetched].alias("f")).withColumn("h", host_of(F.col("u")))
     # one lookup for each distinct host and time: a host of a third of all rows is looked up once a time
     asked = rows.where("h <> '' AND f IS NOT NULL").select("h", "f").distinct()
-    # an interval is looked up in the months of captures only
-    ends = asked.agg(month(F.min("f")).alias("early"), month(F.max("f")).alias("late"))
-    spans = spans.join(F.broadcast(ends), (month(F.col("valid_from")) <= F.col("late")) & (month(F.col("valid_to")) >= F.col("early")))
-    spans = spans.withColumn("month", F.explode(F.sequence(F.greatest(month(F.col("valid_from")), F.col("early")), F.least(month(F.col("valid_to")), F.col("late"))))).drop("early", "late")
-    looked = asked.withColumn("d", F.explode(domains_of(F.col("h")))).withColumn("m", month(F.col("f")))
-    met = looked.join(spans, (looked["d"] == spans["domain"]) & (looked["m"] == spans["month"]) & (looked["f"] >= spans["valid_from"]) & (looked["f"] < spans["valid_to"]))
-    first = F.min(F.struct((-F.length("d")).alias("l"), F.col("list"), F.col("d").alias("entry"), F.col("valid_from")))
+    looked = asked.withColumn("domain", F.explode(domains_of(F.col("h")))).join(spans.select("domain").distinct(), "domain", "left_semi")
+    # a domain with many captures is dealt into pieces, and its entries go to each of them
+    crowds = looked.groupBy("domain").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+    entries = spans.join(crowds, "domain").select("domain", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), "list", "valid_from", "valid_to")
+    lists = entries.select("domain", "piece", "list").distinct()
+    looked = looked.join(crowds, "domain").withColumn("piece", F.pmod(F.xxhash64("h", "f"), "pieces").cast("int")).drop("pieces").join(lists, ["domain", "piece"])
+    # the as-of join: in the order of time, each capture takes the last interval that began at or before it
+    events = looked.select("domain", "piece", "list", F.col("f").alias("at"), "h", F.lit(None).cast("timestamp").alias("valid_to")).unionByName(
+        entries.select("domain", "piece", "list", F.col("valid_from").alias("at"), F.lit(None).cast("string").alias("h"), "valid_to"))
+    before = Window.partitionBy("domain", "piece", "list").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("h").isNull(), F.struct(F.col("at").alias("valid_from"), "valid_to")), ignorenulls=True).over(before)
+    met = events.withColumn("e", last).where("h IS NOT NULL AND at < e.valid_to").select("h", F.col("at").alias("f"), "domain", "list", "e.valid_from")
+    first = F.min(F.struct((-F.length("domain")).alias("l"), F.col("list"), F.col("domain").alias("entry"), F.col("valid_from")))
     found = met.groupBy(F.col("h").alias("ah"), F.col("f").alias("af")).agg(F.count(F.lit(1)).alias("n"), first.alias("e"))
     out = rows.join(found, (rows["h"] == found["ah"]) & (rows["f"] == found["af"]), "left")
     return out.select(F.col("k").alias(key), F.col("h").alias("host"), F.coalesce("n", F.lit(0)).cast("long").alias("n_active"),

@@ -168,7 +168,9 @@ def test_pairs_that_no_table_brings_together_are_found(spark, monkeypatch):
     assert 80 <= len({*want.values()}) < 160 and kept_ids(docs) == sorted({*want.values()})
 
 
-def test_near_copies_of_a_table_by_all_pairs(spark):
+@pytest.mark.parametrize("large", [128, 3])
+def test_near_copies_of_a_table_by_all_pairs(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)  # 3: most nodes meet components in blocks
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     draw = np.random.default_rng(2)
     base = [f"b{i}" for i in range(150)]
