@@ -1,4 +1,4 @@
-"""Region graphs as tables: nodes (tile, id, ...), edges (tile, src, dst). Tiles are independent and hold a few thousand nodes at most."""
+"""Region graphs as tables: nodes (tile, id, ...), edges (tile, src, dst). Tiles are independent."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Nodes of a tile that are compared with as many others in one task, about.
+BLOCK = 2048
+
+
 def _paired(nodes: DataFrame, columns: list[str]) -> DataFrame:
     a = nodes.select("tile", F.col("id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = nodes.select("tile", F.col("id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in columns])
@@ -24,17 +28,51 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
     """Each node's ``k`` nearest others in its tile, both ways: weighted squared distance in place (over the tile's diagonal) and physics (over
-    the diagonal of the tile's ranges). The node itself never counts; ties go to the smaller id. Distances are ranked as they come from the
-    join within a tile, of which only k rows a node leave.
+    the diagonal of the tile's ranges). The node itself never counts; ties go to the smaller id.
+
+    A tile's nodes are dealt into blocks of about ``BLOCK``; each pair of blocks is one group, of which ``k`` rows a node leave. So a tile of a few
+    thousand nodes moves each of them a few times, and no task holds more than two blocks, however many nodes a tile has.
     """
-    tile = Window.partitionBy("tile")
-    spread = sum((F.pow(F.max(c).over(tile) - F.min(c).over(tile), 2) for c in physics), F.lit(0.0))
-    nodes = nodes.withColumn("__spread", F.when(spread > 1e-16, spread).otherwise(F.lit(1.0)))
-    pairs = _paired(nodes, [*place, *physics, "__spread"]).where("src <> dst")
-    d2 = weight * _squares(place) / diagonal**2 + (1 - weight) * _squares(physics) / F.col("a___spread")
+    columns = [*place, *physics]
+    ranges = nodes.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), *[(F.max(c) - F.min(c)).alias(f"range_{c}") for c in physics])
+    spread = sum((F.pow(F.col(f"range_{c}"), 2) for c in physics), F.lit(0.0))
+    sizes = ranges.select("tile", "blocks", F.when(spread > 1e-16, spread).otherwise(F.lit(1.0)).alias("spread"))
+    dealt = nodes.select("tile", "id", *columns).join(sizes, "tile").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    asks = dealt.select("tile", F.col("own").alias("p"), every.alias("q"), "id", "spread", *columns)
+    held = dealt.select("tile", every.alias("p"), F.col("own").alias("q"), "id", *columns)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst, d2, tile = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        if len(left) and len(right):
+            tile, spread = left["tile"][0].as_py(), left["spread"][0].as_py()
+            right = right.sort_by("id")
+            a, b = ({c: t[c].to_numpy().astype(np.float64) for c in columns} for t in (left, right))
+            ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+
+            def squares(names: list[str], rows: slice) -> np.ndarray:
+                total = np.zeros((len(ids[rows]), len(others)))
+                for c in names:
+                    total += np.square(a[c][rows, None] - b[c][None, :])
+                return total
+
+            for at in range(0, len(ids), 256):
+                rows = slice(at, at + 256)
+                apart = np.round(weight * squares(place, rows) / diagonal**2 + (1 - weight) * squares(physics, rows) / spread, 12)
+                apart[ids[rows, None] == others[None, :]] = np.inf
+                near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                far = np.take_along_axis(apart, near, 1)
+                keep = np.isfinite(far)
+                src.append(np.repeat(ids[rows], keep.sum(1)))
+                dst.append(others[near[keep]])
+                d2.append(far[keep])
+        src, dst, d2 = map(np.concatenate, (src, dst, d2))
+        return pa.table([pa.array(np.full(len(src), tile, np.int64)), pa.array(src.astype(np.int64)), pa.array(dst.astype(np.int64)), pa.array(d2)], names=["tile", "src", "dst", "d2"])
+
+    asks, held = asks.toDF(*asks.columns), held.toDF(*held.columns)
+    found = asks.groupBy("tile", "p", "q").cogroup(held.groupBy("tile", "p", "q")).applyInArrow(run, "tile long, src long, dst long, d2 double")
     nearest = Window.partitionBy("tile", "src").orderBy("d2", "dst")
-    found = pairs.select("tile", "src", "dst", F.round(d2, 12).alias("d2")).withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= k)
-    return symmetric(found)
+    return symmetric(found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= k))
 
 
 def affinity(distance: Column, slope: Column, rough: Column, uncertain: Column, hidden: list[list[float]], output: list[float], bias: float) -> Column:

@@ -148,12 +148,14 @@ def routes(missions: DataFrame, costs: DataFrame, nodes: DataFrame, guided: bool
 
     ``guided`` follows the risk-weighted straight distance, which is fast and not optimal. Missions of a tile share its graph; tiles run apart.
     """
-    ends = nodes.select("tile", F.col("id").alias("src"), "px", "py", "f7", "s")
-    table = costs.join(ends, ["tile", "src"])
+    ends = nodes.select("tile", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("cost"), "px", "py", "f7", "s")
+    # edges and nodes of a tile in one table: a node without an edge out of it has a place, too
+    table = costs.select("tile", "src", "dst", "cost").unionByName(ends, allowMissingColumns=True)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        graph = Graph(right)
-        at = {int(i): (x, y, f, s) for i, x, y, f, s in right[["src", "px", "py", "f7", "s"]].drop_duplicates("src").itertuples(index=False)}
+        placed = right["dst"].isna()
+        graph = Graph(right[~placed].astype({"dst": "int64"}))
+        at = {int(i): (x, y, f, s) for i, x, y, f, s in right.loc[placed, ["src", "px", "py", "f7", "s"]].itertuples(index=False)}
         out = []
         for tile, start, goal in left[["tile", "start", "goal"]].itertuples(index=False):
             gx, gy = at.get(goal, (0, 0))[:2]

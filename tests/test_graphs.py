@@ -118,3 +118,33 @@ def test_stochastic_passes_agree_and_vary(spark):
     assert runs[0] == runs[1] and any(x[3] > 0 for x in runs[0])
     one = neural.stochastic_scores(nodes, edges, ["s", "r"], neural.seeded_network(2, 1), 1).collect()
     assert all(x.variance == 0 for x in one)
+
+
+def test_nearest_nodes_in_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from cragline.operators import graph
+
+    draw = np.random.default_rng(4)
+    rows = [(t, i, *map(float, draw.integers(0, 9, 4))) for t, n in ((1, 60), (2, 3), (3, 1)) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "tile long, id long, px double, py double, s double, r double")
+    want = set()
+    for t in (1, 2, 3):
+        own = [r for r in rows if r[0] == t]
+        spread = sum((max(r[c] for r in own) - min(r[c] for r in own)) ** 2 for c in (4, 5)) or 1.0
+        for x in own:
+            near = sorted((round(0.5 * sum((x[c] - y[c]) ** 2 for c in (2, 3)) / 100 + 0.5 * sum((x[c] - y[c]) ** 2 for c in (4, 5)) / spread, 12), y[1]) for y in own if y[1] != x[1])[:3]
+            want |= {(t, x[1], j) for _, j in near} | {(t, j, x[1]) for _, j in near}
+    for block in (2048, 7):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        assert {tuple(r) for r in graph.knn_edges(nodes, ["px", "py"], ["s", "r"], 3, 10.0).collect()} == want
+
+
+def test_a_goal_without_edges_out_of_it_has_its_place(spark):
+    from cragline.operators import planning
+
+    nodes = spark.createDataFrame([(1, 0, 50.0, 50.0, 0.0, 0.0), (1, 1, 99.0, 99.0, 0.0, 0.0), (1, 2, 10.0, 10.0, 0.0, 0.0), (1, 3, 100.0, 100.0, 0.0, 0.0)], "tile long, id long, px double, py double, f7 double, s double")
+    costs = spark.createDataFrame([(1, 0, 1, 1.0), (1, 0, 2, 1.0), (1, 1, 3, 1.0), (1, 2, 3, 1.0)], "tile long, src long, dst long, cost double")
+    missions = spark.createDataFrame([(1, 0, 3)], "tile long, start long, goal long")
+    steps = planning.routes(missions, costs, nodes, guided=True).orderBy("seq").collect()
+    assert [r.node for r in steps] == [0, 1, 3]
