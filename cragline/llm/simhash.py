@@ -344,9 +344,10 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int
     apart = math.acos(2 * share / (1 + share)) / math.pi
     found = candidate_links(distinct.select("node", "fp", "second", "n"), sampled_masks(apart, distinct.count(), recall), lambda members: nearest_links(members, radius, share))
     found = pinned(same_shingles(docs, words, share, found.distinct(), distinct, text, key))
-    nodes = pinned(rooted(distinct, components(found)))
+    roots = pinned(components(found))
+    nodes = pinned(rooted(distinct, roots))
     rows = pinned(shared_firsts(marked, nodes))
-    found = found.union(same_shingles(docs, words, share, all_pairs(rows, share), distinct, text, key))
+    found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same_shingles(docs, words, share, all_pairs(rows, share), distinct, text, key))
     found = pinned(found.union(links_to_large(docs, words, share, rows, nodes, text, key)))
     return named(marked.select("key", "node", "fp"), distinct.select("node", "least"), found)
 
