@@ -88,10 +88,20 @@ def m11_reliability_bins(spark: SparkSession, d: str) -> DataFrame:
     return m.reliability(scores(spark, d), F.col("p"), F.col("t") > 0.7).select("bin", "n", r(F.col("confidence")).alias("confidence"), r(F.col("accuracy")).alias("accuracy"))
 
 
-@query()
+def _temperature_sql(rounds: int = 12) -> str:
+    """Newton steps on the inverse temperature, one table a round."""
+    clipped = "least(greatest(p, 1e-7), 1 - 1e-7)"
+    steps = [f"z AS (SELECT ln({clipped} / (1 - {clipped})) AS z, CASE WHEN t > 0.7 THEN 1.0 ELSE 0.0 END AS y FROM score)", "b0 AS (SELECT 1 / 1.5 AS beta)"]
+    for i in range(rounds):
+        steps.append(f"b{i + 1} AS (SELECT CASE WHEN h = 0 THEN beta ELSE greatest(beta - g / h, beta / 4) END AS beta FROM (SELECT any_value(beta) AS beta, avg((q - y) * z) AS g, avg(q * (1 - q) * z * z) AS h "
+                     f"FROM (SELECT beta, z, y, 1 / (1 + exp(-z * beta)) AS q FROM z, b{i})))")
+    return f"WITH {', '.join(steps)} SELECT round(1 / beta, 6) AS temperature FROM b{rounds}"
+
+
+@query(with_tables(_temperature_sql(), "score"))
 def m12_temperature_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = scores(spark, d).select(hz.logit(F.col("p")).alias("z"), (F.col("t") > 0.7).alias("y"))
-    return spark.createDataFrame([(stats.fitted_temperature(rows, "z", "y"),)], "temperature double")
+    return spark.createDataFrame([(stats.fitted_temperature(rows, "z", "y"),)], "temperature double").select(r(F.col("temperature")).alias("temperature"))
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS v FROM customer GROUP BY 1), o AS (SELECT k % 5 AS g, v, row_number() OVER (PARTITION BY k % 5 ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY k % 5) AS n FROM c),
@@ -122,14 +132,30 @@ def m15_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
     return stats.wilcoxon(_pairs(spark, d), ["g"], "d")
 
 
-@query()
+#: Student's t by its finite sums for whole degrees of freedom (v), and the error function by its series; independent of the operator's continued fraction.
+SIGNIFICANCE = f"""WITH {PAIRS}, o AS (SELECT g, d AS v, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM pairs),
+ b AS (SELECT a.g, b, avg(o.v) AS mean FROM (SELECT g, b, (b * 7919 + i * 104729 + b * i * 31) % n AS i FROM o, range(0, 200) r(b)) a JOIN o ON o.g = a.g AND o.i = a.i GROUP BY a.g, b),
+ ends AS (SELECT g, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM b GROUP BY g),
+ t AS (SELECT g, avg(d) AS mean, atan(abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) / sqrt(count(*) - 1)) AS a, count(*) - 1 AS v FROM pairs GROUP BY g),
+ terms AS (SELECT g, a, v, CASE WHEN v % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(a), 2 * j) ELSE sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos(a), 2 * j + 1) END AS term
+  FROM t, range(0, 500) r(j) WHERE 2 * j <= v - 2 - v % 2),
+ p AS (SELECT t.g, 1 - CASE WHEN t.v % 2 = 0 THEN sin(t.a) * s ELSE 2 / pi() * (t.a + sin(t.a) * s) END AS p FROM t JOIN (SELECT g, sum(term) AS s FROM terms GROUP BY g) USING (g)),
+ w AS (SELECT g, abs(least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0) / sqrt(2) AS x
+  FROM (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2.0 AS rk FROM pairs WHERE d <> 0) GROUP BY g),
+ q AS (SELECT g, 1 - 2 / sqrt(pi()) * sum((CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(greatest(x, 1e-300)) - lgamma(j + 1)) / (2 * j + 1)) AS p_rank FROM w, range(0, 100) r(j) GROUP BY g)
+ SELECT CAST(t.g AS INT) AS g, round(mean, 4) AS mean, round(low, 4) AS low, round(high, 4) AS high, round(p, 6) AS p, round(p_rank, 6) AS p_rank,
+ CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars, printf('%.4f [%.4f, %.4f]', mean, low, high) AS text FROM t JOIN ends USING (g) JOIN p USING (g) JOIN q USING (g)"""
+
+
+@query(SIGNIFICANCE)
 def m16_significance_table(spark: SparkSession, d: str) -> DataFrame:
     """Mean difference, interval, p-values of both tests and stars for each condition."""
     pairs = _pairs(spark, d)
     t = stats.paired_t(F.col("d"))
     out = pairs.groupBy("g").agg(t["t"].alias("t"), t["df"].alias("df")).join(stats.bootstrap_interval(pairs, ["g"], "d", ["k"]), "g").join(stats.wilcoxon(pairs, ["g"], "d"), "g")
     out = out.withColumn("p", stats.t_p_value("t", "df")).withColumn("p_rank", stats.wilcoxon_p_value("w", "n"))
-    return out.select("g", "mean", "low", "high", "p", "p_rank", hz.stars(F.col("p")).alias("stars"), F.format_string("%.4f [%.4f, %.4f]", "mean", "low", "high").alias("text"))
+    return out.select("g", *[r(F.col(c), 4).alias(c) for c in ("mean", "low", "high")], r(F.col("p")).alias("p"), r(F.col("p_rank")).alias("p_rank"), hz.stars(F.col("p")).alias("stars"),
+                      F.format_string("%.4f [%.4f, %.4f]", "mean", "low", "high").alias("text"))
 
 
 @query(with_tables(f"WITH h AS (SELECT path % 2 AS g, avg({HIT}) AS hcr FROM waypoint GROUP BY 1) SELECT round(max(CASE WHEN g = 0 THEN hcr END) - max(CASE WHEN g = 1 THEN hcr END), 6) AS delta FROM h", "waypoint"))

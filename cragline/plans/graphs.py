@@ -87,7 +87,21 @@ def h01_components(spark: SparkSession, d: str) -> DataFrame:
     return g.components(nodes(spark, d), sparse(spark, d))
 
 
-@query()
+TOUCH = """touch AS (SELECT x.tile, x.id AS a, y.id AS b FROM node x JOIN node y ON x.tile = y.tile AND y.id = x.id + 70 AND x.tile % 2 = 0),
+ met AS (SELECT t.tile, a, b FROM touch t JOIN part u ON u.tile = t.tile AND u.id = a JOIN part v ON v.tile = t.tile AND v.id = b WHERE u.component <> v.component)"""
+#: Each component but the least meets all smaller ones by its nearest pair.
+FAR = """placed AS (SELECT n.tile, n.id, px, py, component FROM node n JOIN part p ON p.tile = n.tile AND p.id = n.id),
+ far AS (SELECT tile, mine, other FROM (SELECT o.tile, m.id AS mine, o.id AS other, row_number() OVER (PARTITION BY o.tile, o.component ORDER BY pow(o.px - m.px, 2) + pow(o.py - m.py, 2), o.id, m.id) AS k
+ FROM placed o JOIN placed m ON m.tile = o.tile AND m.component < o.component) WHERE k = 1)"""
+
+
+def recursive(sql: str, *names: str) -> str:
+    """``with_tables`` for common table expressions of which some are recursive."""
+    return with_tables(f"WITH {sql}", *names).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(f"""{SPARSE}, {REACH}, {TOUCH}, {FAR}, alone AS (SELECT tile FROM part WHERE tile NOT IN (SELECT tile FROM met) GROUP BY tile HAVING count(DISTINCT component) > 1)
+ SELECT tile, src, dst FROM edge UNION SELECT tile, a, b FROM met UNION SELECT tile, b, a FROM met UNION SELECT tile, mine, other FROM far JOIN alone USING (tile) UNION SELECT tile, other, mine FROM far JOIN alone USING (tile)""", "node"))
 def h02_connected_edges(spark: SparkSession, d: str) -> DataFrame:
     """Sparse edges with bridges: by adjacency where there is any between components, else between nearest nodes."""
     n = nodes(spark, d)
@@ -103,7 +117,7 @@ def j11_bridges(spark: SparkSession, d: str) -> DataFrame:
     return g.bridges(touching, g.components(n, sparse(spark, d)))
 
 
-@query()
+@query(recursive(f"{SPARSE}, {REACH}, {FAR} SELECT tile, mine AS src, other AS dst FROM far UNION ALL SELECT tile, other, mine FROM far", "node"))
 def j12_nearest_bridges(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
     return g.nearest_bridges(n, g.components(n, sparse(spark, d)))
@@ -138,7 +152,7 @@ def h05_j09_node_features(spark: SparkSession, d: str) -> DataFrame:
 def h06_built_graph(spark: SparkSession, d: str) -> DataFrame:
     """Tiles to segments, node features and weighted edges: the whole build in one plan, a row for each edge."""
     image = _image(spark, d).withColumnRenamed("user", "seg")
-    labelled = segment.segmented(image, 16, 24)
+    labelled = segment.segmented(image, 16)
     rows = g.node_features(labelled, "seg", "v", 16, 4)
     n = rows.select("tile", "id", (F.col("f0") * 15).alias("px"), (F.col("f1") * 15).alias("py"), F.col("f11").alias("s"), F.col("f9").alias("r"), F.col("f7").alias("d"), F.col("f7").alias("h"), "f7")
     edges = g.connected_edges(n, g.knn_edges(n, ["px", "py"], PHYS, K, DIAGONAL), g.adjacency(labelled, "seg"))
@@ -205,10 +219,25 @@ def h10_guided_routes(spark: SparkSession, d: str) -> DataFrame:
     return planning.routes(*_costs(spark, d), guided=True)
 
 
-@query()
+#: The cheapest route backwards from the goal, and what it amounts to.
+TRAJECTORY = """dist AS (SELECT tile, node, min(cost) AS cost FROM best GROUP BY tile, node),
+ back AS (SELECT m.tile, m.start, m.goal AS node, 0 AS k FROM mission m JOIN dist d ON d.tile = m.tile AND d.node = m.goal UNION ALL
+ SELECT tile, start, src, k + 1 FROM (SELECT b.tile, b.start, c.src, b.k, row_number() OVER (PARTITION BY b.tile ORDER BY d.cost + c.cost, c.src) AS o
+ FROM back b JOIN cost c ON c.tile = b.tile AND c.dst = b.node JOIN dist d ON d.tile = b.tile AND d.node = c.src WHERE b.node <> b.start AND b.k < 40) WHERE o = 1),
+ walk AS (SELECT b.tile, f7, sqrt(pow(px - lag(px) OVER w, 2) + pow(py - lag(py) OVER w, 2)) AS step FROM back b JOIN node n ON n.tile = b.tile AND n.id = b.node WINDOW w AS (PARTITION BY b.tile ORDER BY k)),
+ sums AS (SELECT tile, count(*) AS n, sum(coalesce(step, 0)) AS length, avg(CASE WHEN f7 > 0.7 THEN 1.0 ELSE 0.0 END) AS hcr FROM walk GROUP BY tile),
+ ends AS (SELECT m.tile, m.start, m.goal, d.cost, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS straight FROM mission m JOIN dist d ON d.tile = m.tile AND d.node = m.goal JOIN node a ON a.tile = m.tile AND a.id = m.start JOIN node b ON b.tile = m.tile AND b.id = m.goal)
+ SELECT tile, start, goal, round(cost, 6) AS cost, n, round(length, 6) AS length, round(straight, 6) AS straight, round(length / greatest(straight, 1e-6), 6) AS plr, round(hcr, 6) AS hcr FROM ends JOIN sums USING (tile)"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("tile", "start", "goal", "n", *[r(F.col(c)).alias(c) for c in ("cost", "length", "straight", "plr", "hcr")])
+
+
+@query(recursive(f"{KNN}, {COST}, {MISSION}, {RELAX}, {TRAJECTORY}", "node"))
 def h11_trajectories(spark: SparkSession, d: str) -> DataFrame:
     missions, costs, n = _costs(spark, d)
-    return planning.trajectories(planning.routes(missions, costs, n), n)
+    return _rounded(planning.trajectories(planning.routes(missions, costs, n), n))
 
 
 @query()
@@ -247,8 +276,12 @@ def _head(h: int) -> str:
 _LK = lambda e: f"CASE WHEN {e} > 0 THEN {e} ELSE 0.2 * {e} END"
 
 
-@query(with_tables(f"""WITH {KNN}, proj AS ({_head(0)} UNION ALL {_head(1)}), logit AS (SELECT e.tile, e.dst AS id, a.head, a.c0, a.c1, b.t0 * {_LK('b.c0')} + b.t1 * {_LK('b.c1')} + b.t2 * {_LK('a.c0')} + b.t3 * {_LK('a.c1')} + 0.1 * exp(-(abs(a.s - b.s) + abs(a.r - b.r))) AS l
- FROM edge e JOIN proj a ON a.tile = e.tile AND a.id = e.src JOIN proj b ON b.tile = e.tile AND b.id = e.dst AND b.head = a.head) SELECT tile, id, head, round(sum(exp(l) * c0) / sum(exp(l)), 6) AS c0, round(sum(exp(l) * c1) / sum(exp(l)), 6) AS c1 FROM logit GROUP BY tile, id, head""", "node"))
+ATTENDED = f"""proj AS ({_head(0)} UNION ALL {_head(1)}), logit AS (SELECT e.tile, e.dst AS id, a.head, a.c0, a.c1, b.t0 * {_LK('b.c0')} + b.t1 * {_LK('b.c1')} + b.t2 * {_LK('a.c0')} + b.t3 * {_LK('a.c1')} + 0.1 * exp(-(abs(a.s - b.s) + abs(a.r - b.r))) AS l
+ FROM edge e JOIN proj a ON a.tile = e.tile AND a.id = e.src JOIN proj b ON b.tile = e.tile AND b.id = e.dst AND b.head = a.head),
+ attended AS (SELECT tile, id, head, sum(exp(l) * c0) / sum(exp(l)) AS c0, sum(exp(l) * c1) / sum(exp(l)) AS c1 FROM logit GROUP BY tile, id, head)"""
+
+
+@query(with_tables(f"WITH {KNN}, {ATTENDED} SELECT tile, id, head, round(c0, 6) AS c0, round(c1, 6) AS c1 FROM attended", "node"))
 def n05_graph_attention(spark: SparkSession, d: str) -> DataFrame:
     out = g.attention(nodes(spark, d), knn(spark, d), PHYS, WEIGHTS, ATT, ["s", "r"], 0.1)
     return out.select("tile", "id", "head", r(F.col("c0")).alias("c0"), r(F.col("c1")).alias("c1"))
@@ -274,7 +307,13 @@ def n09_stochastic_passes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g01_g05_segments(spark: SparkSession, d: str) -> DataFrame:
-    return segment.segmented(_image(spark, d), 16, 24).select("tile", "y", "x", "seg")
+    """Superpixels whose number follows from each tile's budget."""
+    return segment.segmented(_image(spark, d), 16).select("tile", "y", "x", "seg")
+
+
+@query()
+def g05_segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    return segment.segment_stats(segment.segmented(_image(spark, d), 16))
 
 
 @query(with_tables("""SELECT tile, CAST(sum(CASE WHEN c < 0.25 THEN 1 ELSE 0 END) AS BIGINT) AS flat, CAST(sum(CASE WHEN c > 0.60 THEN 1 ELSE 0 END) AS BIGINT) AS hazard, CAST(sum(CAST(round_even(8 + 56 * pow(least(greatest(c, 0), 1), 1.5), 0) AS INT)) AS BIGINT) AS budget
@@ -296,7 +335,13 @@ def g02_refinement_candidates(spark: SparkSession, d: str) -> DataFrame:
     return segment.refinement_candidates(_image(spark, d).withColumnRenamed("user", "seg"), 4, 16, over=0.2, larger=1)
 
 
-@query()
+BLOCKS = """filled AS (SELECT tile, y, x, coalesce(z, avg(z) OVER (PARTITION BY tile), 0) AS v FROM elevation),
+ scaled AS (SELECT tile, y, x, CAST(y // 4 * 4 + x // 4 AS BIGINT) AS seg, (v - min(v) OVER (PARTITION BY tile)) / (max(v) OVER (PARTITION BY tile) - min(v) OVER (PARTITION BY tile) + 1e-8) AS v FROM filled),
+ node AS (SELECT tile, seg AS id, avg(x) AS px, avg(y) AS py, avg(v) AS f7, stddev_pop(v) AS s, 0.0 AS u FROM scaled GROUP BY tile, seg),
+ edge AS (SELECT a.tile, a.id AS src, b.id AS dst FROM node a JOIN node b ON a.tile = b.tile AND abs(a.id // 4 - b.id // 4) + abs(a.id % 4 - b.id % 4) = 1)"""
+
+
+@query(recursive(f"{BLOCKS}, {COST}, {MISSION}, {RELAX}, {TRAJECTORY}", "elevation"))
 def o07_route_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Elevation tiles to the least-risk route over their blocks: slope, hazard, blocks as nodes, edges, costs, route, trajectory."""
     rows = elevation(spark, d).select("tile", "y", "x", hz.filled(F.col("z"), by_tile()).alias("v"))
@@ -304,4 +349,4 @@ def o07_route_pipeline(spark: SparkSession, d: str) -> DataFrame:
     f = g.node_features(image, "seg", "v", 16, 4)
     n = f.select("tile", F.col("id").cast("long").alias("id"), (F.col("f0") * 15).alias("px"), (F.col("f1") * 15).alias("py"), F.col("f11").alias("s"), "f7", F.col("f7").alias("h"), F.col("f11").alias("r"), F.col("f7").alias("d"), F.lit(0.0).alias("u"))
     edges = g.symmetric(g.adjacency(image, "seg").select("tile", F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst")))
-    return planning.trajectories(planning.routes(planning.corner_missions(n), planning.edge_costs(edges, n), n), n)
+    return _rounded(planning.trajectories(planning.routes(planning.corner_missions(n), planning.edge_costs(edges, n), n), n))

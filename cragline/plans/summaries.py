@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cragline.operators import graph as g
 from cragline.operators import planning, raster
 from cragline.plans.fixtures import elevation, nodes, pixels, scores, waypoints, with_tables
-from cragline.plans.graphs import ATT, PHYS, WEIGHTS, knn
+from cragline.plans.graphs import ATT, ATTENDED, KNN, PHYS, WEIGHTS, knn
 from cragline.plans.registry import query, r
 
 
@@ -46,7 +46,19 @@ def j16_j17_parameter_grid(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("g.name", "split").agg(r(F.avg(F.abs(F.col("p") * F.col("g.scale") - F.col("t")))).alias("mae"))
 
 
-@query()
+def _log_sql(rows: str, columns: list[str], layer: int) -> str:
+    """Energy over edges, mean cosine over all pairs and mean variance of a table of nodes."""
+    norm = lambda t: "greatest(sqrt(" + " + ".join(f"{t}.{c} * {t}.{c}" for c in columns) + "), 1e-12)"
+    return f"""SELECT v.tile, round(coalesce(energy, 0), 6) AS energy, round(coalesce(cosine, 1), 6) AS cosine, round(variance, 6) AS variance, {layer} AS layer
+ FROM (SELECT tile, ({" + ".join(f"var_samp({c})" for c in columns)}) / {len(columns)} AS variance FROM {rows} GROUP BY tile) v
+ LEFT JOIN (SELECT e.tile, sum({" + ".join(f"pow(a.{c} - b.{c}, 2)" for c in columns)}) / 2 AS energy FROM edge e JOIN {rows} a ON a.tile = e.tile AND a.id = src JOIN {rows} b ON b.tile = e.tile AND b.id = dst GROUP BY e.tile) e ON e.tile = v.tile
+ LEFT JOIN (SELECT a.tile, avg(({" + ".join(f"a.{c} * b.{c}" for c in columns)}) / {norm("a")} / {norm("b")}) AS cosine FROM {rows} a JOIN {rows} b ON a.tile = b.tile AND a.id <> b.id GROUP BY a.tile) c ON c.tile = v.tile"""
+
+
+HEADS = "heads AS (SELECT tile, id, " + ", ".join(f"max(CASE WHEN head = {h} THEN c{c} END) AS h{h}{c}" for h in (0, 1) for c in (0, 1)) + " FROM attended GROUP BY tile, id)"
+
+
+@query(with_tables(f"WITH {KNN}, {ATTENDED}, {HEADS} {_log_sql('node', PHYS, 0)} UNION ALL {_log_sql('heads', ['h00', 'h01', 'h10', 'h11'], 1)}", "node"))
 def h16_smoothing_log(spark: SparkSession, d: str) -> DataFrame:
     """Dirichlet energy, mean cosine and variance of the inputs and of the attention layer's outputs, by tile."""
     n, e = nodes(spark, d), knn(spark, d)
@@ -56,7 +68,7 @@ def h16_smoothing_log(spark: SparkSession, d: str) -> DataFrame:
         variance = rows.groupBy("tile").agg((sum((F.var_samp(c) for c in columns), F.lit(0.0)) / len(columns)).alias("variance"))
         rows = g.dirichlet_energy(rows, e, columns).join(g.mean_cosine(rows, columns), "tile").join(variance, "tile")
         logs.append(rows.withColumn("layer", F.lit(layer)))
-    return logs[0].union(logs[1])
+    return logs[0].union(logs[1]).select("tile", *[r(F.col(c)).alias(c) for c in ("energy", "cosine", "variance")], "layer")
 
 
 def applied(rows: DataFrame, run, names: list[str]) -> DataFrame:

@@ -81,6 +81,26 @@ def test_segments_are_whole_and_contiguous(seed, labels):
     assert len(np.unique(parts)) == out.max() + 1
 
 
+def test_adaptive_segments_of_a_large_tile():
+    y, x = np.indices((512, 512)) / 512
+    image = np.clip(0.5 + 0.5 * np.sin(9 * x) * np.cos(7 * y) + 0.02 * np.random.default_rng(2).standard_normal((512, 512)), 0, 1)
+    labels, stats = segment.adaptive_labels(image, None, True, 10.0, 32, 200, 80)
+    blocks = image.reshape(16, 32, 16, 32).mean((1, 3))
+    assert stats["budget"] == np.rint(8 + 56 * blocks**1.5).sum() and stats["refined"] > 0
+    assert stats["segments"] == labels.max() + 1 > stats["coarse"] >= 80
+    parts = segment.connected_parts(labels)
+    assert len(np.unique(parts)) == labels.max() + 1
+
+
+def test_segment_edge_cases():
+    assert (segment.clusters(np.ones((4, 4)), np.zeros((4, 4), bool), 3, 10.0) == -1).all()
+    labels, stats = segment.adaptive_labels(np.zeros((16, 16)), None, True, 10.0, 4, 12, 8)
+    assert stats["refined"] == 0 and stats["segments"] == labels.max() + 1
+    ring = np.zeros((5, 5), int)
+    ring[1:4, 1:4], ring[2, 2] = 1, 0  # a part inside another label takes that label
+    assert segment.one_piece(ring)[2, 2] == segment.one_piece(ring)[1, 1] != segment.one_piece(ring)[0, 0]
+
+
 def test_constant_tile():
     flat = np.full((16, 16), 0.4)
     for f in (raster.slope_proxy, raster.roughness_proxy):
