@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,53 +28,60 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("tile", "src", "dst").union(edges.select("tile", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
-    """Each node's ``k`` nearest others in its tile, both ways: weighted squared distance in place (over the tile's diagonal) and physics (over
-    the diagonal of the tile's ranges). The node itself never counts; ties go to the smaller id.
+def nearest_in_tile(nodes: DataFrame, columns: list[str], sizes: DataFrame, k: int, measure: Callable[[dict[str, np.ndarray], dict[str, np.ndarray], float], np.ndarray]) -> DataFrame:
+    """(tile, src, dst, far): each node's ``k`` others in its tile of least ``measure``, rounded to 12 digits; ties go to the smaller id, the node itself never counts.
 
+    ``measure`` takes the columns of some nodes (as a column vector each) and of others (as rows) and the tile's ``scale``; ``sizes`` has (tile, blocks, scale).
     A tile's nodes are dealt into blocks of about ``BLOCK``; each pair of blocks is one group, of which ``k`` rows a node leave. So a tile of a few
     thousand nodes moves each of them a few times, and no task holds more than two blocks, however many nodes a tile has.
     """
-    columns = [*place, *physics]
-    ranges = nodes.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), *[(F.max(c) - F.min(c)).alias(f"range_{c}") for c in physics])
-    spread = sum((F.pow(F.col(f"range_{c}"), 2) for c in physics), F.lit(0.0))
-    sizes = ranges.select("tile", "blocks", F.when(spread > 1e-16, spread).otherwise(F.lit(1.0)).alias("spread"))
     dealt = nodes.select("tile", "id", *columns).join(sizes, "tile").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    asks = dealt.select("tile", F.col("own").alias("p"), every.alias("q"), "id", "spread", *columns)
+    asks = dealt.select("tile", F.col("own").alias("p"), every.alias("q"), "id", "scale", *columns)
     held = dealt.select("tile", every.alias("p"), F.col("own").alias("q"), "id", *columns)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        src, dst, d2, tile = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        src, dst, far, tile = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
         if len(left) and len(right):
-            tile, spread = left["tile"][0].as_py(), left["spread"][0].as_py()
+            tile, scale = left["tile"][0].as_py(), left["scale"][0].as_py()
             right = right.sort_by("id")
             a, b = ({c: t[c].to_numpy().astype(np.float64) for c in columns} for t in (left, right))
             ids, others = left["id"].to_numpy(), right["id"].to_numpy()
-
-            def squares(names: list[str], rows: slice) -> np.ndarray:
-                total = np.zeros((len(ids[rows]), len(others)))
-                for c in names:
-                    total += np.square(a[c][rows, None] - b[c][None, :])
-                return total
-
             for at in range(0, len(ids), 256):
                 rows = slice(at, at + 256)
-                apart = np.round(weight * squares(place, rows) / diagonal**2 + (1 - weight) * squares(physics, rows) / spread, 12)
+                apart = np.round(measure({c: x[rows, None] for c, x in a.items()}, {c: x[None, :] for c, x in b.items()}, scale), 12)
                 apart[ids[rows, None] == others[None, :]] = np.inf
                 near = np.argsort(apart, axis=1, kind="stable")[:, :k]
-                far = np.take_along_axis(apart, near, 1)
-                keep = np.isfinite(far)
+                best = np.take_along_axis(apart, near, 1)
+                keep = np.isfinite(best)
                 src.append(np.repeat(ids[rows], keep.sum(1)))
                 dst.append(others[near[keep]])
-                d2.append(far[keep])
-        src, dst, d2 = map(np.concatenate, (src, dst, d2))
-        return pa.table([pa.array(np.full(len(src), tile, np.int64)), pa.array(src.astype(np.int64)), pa.array(dst.astype(np.int64)), pa.array(d2)], names=["tile", "src", "dst", "d2"])
+                far.append(best[keep])
+        src, dst, far = map(np.concatenate, (src, dst, far))
+        return pa.table([pa.array(np.full(len(src), tile, np.int64)), pa.array(src.astype(np.int64)), pa.array(dst.astype(np.int64)), pa.array(far)], names=["tile", "src", "dst", "far"])
 
     asks, held = asks.toDF(*asks.columns), held.toDF(*held.columns)
-    found = asks.groupBy("tile", "p", "q").cogroup(held.groupBy("tile", "p", "q")).applyInArrow(run, "tile long, src long, dst long, d2 double")
-    nearest = Window.partitionBy("tile", "src").orderBy("d2", "dst")
-    return symmetric(found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= k))
+    found = asks.groupBy("tile", "p", "q").cogroup(held.groupBy("tile", "p", "q")).applyInArrow(run, "tile long, src long, dst long, far double")
+    nearest = Window.partitionBy("tile", "src").orderBy("far", "dst")
+    return found.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= k).drop("k")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+
+
+def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
+    """Each node's ``k`` nearest others in its tile, both ways: weighted squared distance in place (over the tile's diagonal) and physics (over
+    the diagonal of the tile's ranges); see ``nearest_in_tile``."""
+    ranges = nodes.groupBy("tile").agg(_blocks(), *[(F.max(c) - F.min(c)).alias(f"range_{c}") for c in physics])
+    spread = sum((F.pow(F.col(f"range_{c}"), 2) for c in physics), F.lit(0.0))
+    sizes = ranges.select("tile", "blocks", F.when(spread > 1e-16, spread).otherwise(F.lit(1.0)).alias("scale"))
+
+    def measure(a: dict[str, np.ndarray], b: dict[str, np.ndarray], spread: float) -> np.ndarray:
+        squares = lambda names: sum(np.square(a[c] - b[c]) for c in names)
+        return weight * squares(place) / diagonal**2 + (1 - weight) * squares(physics) / spread
+
+    return symmetric(nearest_in_tile(nodes, [*place, *physics], sizes, k, measure))
 
 
 def affinity(distance: Column, slope: Column, rough: Column, uncertain: Column, hidden: list[list[float]], output: list[float], bias: float) -> Column:
@@ -81,12 +90,16 @@ def affinity(distance: Column, slope: Column, rough: Column, uncertain: Column,
     return 1 / (1 + F.exp(-(sum((u * o for u, o in zip(units, output)), F.lit(0.0)) + bias)))
 
 
-def affinity_edges(nodes: DataFrame, k: int, score: Column) -> DataFrame:
-    """Each node's ``k`` most affine others, both ways; ``score`` reads a_* and b_* columns of px, py, s, r, h."""
-    pairs = _paired(nodes, ["px", "py", "s", "r", "h"]).where("src <> dst")
-    best = Window.partitionBy("tile", "src").orderBy(F.desc("w"), "dst")
-    found = pairs.select("tile", "src", "dst", F.round(score, 12).alias("w")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= k)
-    return symmetric(found)
+def affinity_edges(nodes: DataFrame, k: int, hidden: list[list[float]], output: list[float], bias: float) -> DataFrame:
+    """Each node's ``k`` most affine others, both ways: ``affinity`` of distance in px, py and differences in s, r and h; see ``nearest_in_tile``."""
+    sizes = nodes.groupBy("tile").agg(_blocks(), F.lit(1.0).alias("scale"))
+
+    def measure(a: dict[str, np.ndarray], b: dict[str, np.ndarray], _: float) -> np.ndarray:
+        inputs = [np.sqrt(np.square(a["px"] - b["px"]) + np.square(a["py"] - b["py"])), *(np.abs(a[c] - b[c]) for c in ("s", "r", "h"))]
+        units = (np.maximum(sum(x * w for x, w in zip(inputs, row)) + row[4], 0) * o for row, o in zip(hidden, output))
+        return -1 / (1 + np.exp(-(sum(units) + bias)))
+
+    return symmetric(nearest_in_tile(nodes, ["px", "py", "s", "r", "h"], sizes, k, measure))
 
 
 def adjacency(pixels: DataFrame, label: str) -> DataFrame:

@@ -46,7 +46,7 @@ def _affinity() -> object:
 @query(with_tables(f"""WITH scored AS (SELECT tile, src, dst, {_AFF} AS w FROM (SELECT a.tile, a.id AS src, b.id AS dst, {_GAPS} FROM node a JOIN node b ON a.tile = b.tile AND a.id <> b.id)),
  near AS (SELECT tile, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY tile, src ORDER BY round(w, 12) DESC, dst) AS k FROM scored) WHERE k <= 3) SELECT tile, src, dst FROM near UNION SELECT tile, dst, src FROM near""", "node"))
 def j07_affinity_edges(spark: SparkSession, d: str) -> DataFrame:
-    return g.affinity_edges(nodes(spark, d), 3, _affinity())
+    return g.affinity_edges(nodes(spark, d), 3, HIDDEN, OUTPUT, BIAS)
 
 
 @query(with_tables(f"WITH {KNN} SELECT tile, src, dst, round({_AFF}, 6) AS affinity FROM (SELECT e.tile, src, dst, {_GAPS} FROM edge e JOIN node a ON a.tile = e.tile AND a.id = src JOIN node b ON b.tile = e.tile AND b.id = dst)", "node"))

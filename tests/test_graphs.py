@@ -84,9 +84,10 @@ def test_segments_are_whole_and_contiguous(seed, labels):
 def test_adaptive_segments_of_a_large_tile():
     y, x = np.indices((512, 512)) / 512
     image = np.clip(0.5 + 0.5 * np.sin(9 * x) * np.cos(7 * y) + 0.02 * np.random.default_rng(2).standard_normal((512, 512)), 0, 1)
-    labels, stats = segment.adaptive_labels(image, None, True, 10.0, 32, 200, 80)
+    labels, stats = segment.adaptive_labels(image, None, True, 10.0, 32, 60, 80)
     blocks = image.reshape(16, 32, 16, 32).mean((1, 3))
-    assert stats["budget"] == np.rint(8 + 56 * blocks**1.5).sum() and stats["refined"] > 0
+    assert stats["budget"] == np.rint(8 + 56 * blocks**1.5).sum()
+    assert stats["refined"] > 0
     assert stats["segments"] == labels.max() + 1 > stats["coarse"] >= 80
     parts = segment.connected_parts(labels)
     assert len(np.unique(parts)) == labels.max() + 1
@@ -168,3 +169,23 @@ def test_a_goal_without_edges_out_of_it_has_its_place(spark):
     missions = spark.createDataFrame([(1, 0, 3)], "tile long, start long, goal long")
     steps = planning.routes(missions, costs, nodes, guided=True).orderBy("seq").collect()
     assert [r.node for r in steps] == [0, 1, 3]
+
+
+def test_affinity_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK", 7)
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame({"tile": np.repeat([0, 1, 2], [30, 12, 1]), "id": [*range(30), *range(12), 0], **{c: draw.random(43) for c in ("px", "py", "s", "r", "h")}})
+    hidden, output, bias = [[-0.5, 0.2, -0.1, 0.3, 0.1], [0.4, -0.6, 0.2, 0.1, 0.3]], [0.7, -0.4], 0.1
+    got = {tuple(x) for x in g.affinity_edges(spark.createDataFrame(frame), 3, hidden, output, bias).collect()}
+    want = set()
+    for tile, rows in frame.groupby("tile"):
+        for a in rows.itertuples():
+            near = []
+            for b in rows.itertuples():
+                if a.id != b.id:
+                    x = (math.hypot(a.px - b.px, a.py - b.py), abs(a.s - b.s), abs(a.r - b.r), abs(a.h - b.h))
+                    z = sum(o * max(sum(w * v for w, v in zip(unit, x)) + unit[4], 0) for unit, o in zip(hidden, output)) + bias
+                    near.append((-round(1 / (1 + math.exp(-z)), 12), b.id))
+            for _, other in sorted(near)[:3]:
+                want |= {(tile, a.id, other), (tile, other, a.id)}
+    assert got == want
