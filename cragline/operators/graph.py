@@ -14,12 +14,6 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def _paired(nodes: DataFrame, columns: list[str]) -> DataFrame:
-    a = nodes.select("tile", F.col("id").alias("src"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = nodes.select("tile", F.col("id").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, "tile")
-
-
 def _squares(columns: list[str]) -> Column:
     return sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in columns), F.lit(0.0))
 
@@ -70,8 +64,8 @@ def _blocks() -> Column:
     return F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
 
 
-def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
-    """Each node's ``k`` nearest others in its tile, both ways: weighted squared distance in place (over the tile's diagonal) and physics (over
+def nearest_nodes(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
+    """(tile, src, dst, far): each node's ``k`` nearest others in its tile by weighted squared distance in place (over the tile's diagonal) and physics (over
     the diagonal of the tile's ranges); see ``nearest_in_tile``."""
     ranges = nodes.groupBy("tile").agg(_blocks(), *[(F.max(c) - F.min(c)).alias(f"range_{c}") for c in physics])
     spread = sum((F.pow(F.col(f"range_{c}"), 2) for c in physics), F.lit(0.0))
@@ -81,7 +75,12 @@ def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, di
         squares = lambda names: sum(np.square(a[c] - b[c]) for c in names)
         return weight * squares(place) / diagonal**2 + (1 - weight) * squares(physics) / spread
 
-    return symmetric(nearest_in_tile(nodes, [*place, *physics], sizes, k, measure))
+    return nearest_in_tile(nodes, [*place, *physics], sizes, k, measure)
+
+
+def knn_edges(nodes: DataFrame, place: list[str], physics: list[str], k: int, diagonal: float, weight: float = 0.5) -> DataFrame:
+    """Edges both ways between each node and its ``nearest_nodes``."""
+    return symmetric(nearest_nodes(nodes, place, physics, k, diagonal, weight))
 
 
 def affinity(distance: Column, slope: Column, rough: Column, uncertain: Column, hidden: list[list[float]], output: list[float], bias: float) -> Column:

@@ -73,13 +73,7 @@ REACH = "reach AS (SELECT tile, id, id AS seen FROM node UNION SELECT reach.tile
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d)
-    near = g.knn_edges(n, ["px", "py"], PHYS, 1, DIAGONAL)
-    # the first neighbour of the chosen nodes alone: recomputed one way, then made symmetric
-    pairs = g._paired(n.withColumn("spread", sum((F.pow(F.max(c).over(by_tile()) - F.min(c).over(by_tile()), 2) for c in PHYS), F.lit(0.0))), ["px", "py", *PHYS, "spread"]).where("src <> dst AND src % 3 = 0")
-    d2 = F.round(0.5 * g._squares(["px", "py"]) / DIAGONAL**2 + 0.5 * g._squares(PHYS) / F.col("a_spread"), 12)
-    first = pairs.groupBy("tile", "src").agg(F.min_by("dst", F.struct(d2, "dst")).alias("dst"))
-    return near.join(g.symmetric(first), ["tile", "src", "dst"], "left_semi")
+    return g.symmetric(g.nearest_nodes(nodes(spark, d), ["px", "py"], PHYS, 1, DIAGONAL).where("src % 3 = 0"))
 
 
 @query(with_tables(f"WITH RECURSIVE {SPARSE}, {REACH} SELECT tile, id, component FROM part", "node").replace("WITH node", "WITH RECURSIVE node", 1).replace(", RECURSIVE", ", ").replace("RECURSIVE  spread", "spread"))
