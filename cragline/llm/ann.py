@@ -99,14 +99,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def searched(table: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", vector: str = "embedding", cell_rows: int = CELL, probed: int | None = None) -> DataFrame:
-    """query_id, rank, key and score: for each row that the SQL ``is_query`` (on ``key``) selects, its ``k`` nearest other rows by cosine.
+    """query_id, rank, key and score: for each row that the SQL ``is_query`` (on any columns of ``table``) selects, its ``k`` nearest other rows by cosine.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
     null keys. Equal vectors are searched as one: of each the k + 1 least keys can be in a result, no others. Repeated
     keys are rows of their own. An empty table gives an empty result.
     """
     spark = table.sparkSession
-    rows = table.select(table[key].cast("long").alias("id"), table[vector].cast("array<double>").alias("v")).where(
+    rows = table.select(table[key].cast("long").alias("id"), table[vector].cast("array<double>").alias("v"), F.expr(is_query).alias("is_query")).where(
         "id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dims = dims[0]["d"] if dims else 1
@@ -133,7 +133,7 @@ def searched(table: DataFrame, is_query: str, k: int = 5, key: str = "vec_id", v
         return run
 
     held = distinct.mapInArrow(assign(1, ["v", "ids"]), "v array<double>, ids array<long>, cells array<int>").select("v", "ids", F.element_at("cells", 1).alias("cell"))
-    asked = rows.where(F.expr(is_query.replace(key, "id"))).mapInArrow(assign(min(probed, len(middle)), ["v", "id"]), "v array<double>, id long, cells array<int>").select("v", "id", F.explode("cells").alias("cell"))
+    asked = rows.where("is_query").mapInArrow(assign(min(probed, len(middle)), ["v", "id"]), "v array<double>, id long, cells array<int>").select("v", "id", F.explode("cells").alias("cell"))
     held, asked = pinned(held), pinned(asked)
     per_block = int(min(16_384, max(256, total // 32)))
     sizes = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))  # a row for each of at most 4,096 cells

@@ -49,6 +49,18 @@ def test_recall_and_scores(spark, cell_rows, probed, least):
     assert [v for v, _ in (got[50][k] for k in range(1, 6))] == [0, 51, 52, 53, 54]  # ties: the least ids of the common vector
 
 
+def test_queries_by_any_column_and_repeated_rows(spark):
+    x = vectors(120)
+    rows = [(i, [float(v) for v in r], i % 3 == 0, "id") for i, r in enumerate(x)]
+    rows += [rows[30], (31, [float(v) for v in x[30]], False, "v")]  # a row repeated whole, and an id that repeats with another row's vector
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, not_vec_id boolean, id string")
+    got = ann.searched(frame, "not_vec_id AND vec_id % 2 = 0", probed=100).collect()
+    assert {r.query_id for r in got} == {i for i in range(120) if i % 6 == 0}
+    assert [(r.vec_id, round(r.score, 12)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 30][:1] == [(31, 1.0)]
+    assert all(r.vec_id != r.query_id for r in got)
+    assert ann.searched(frame.where("false"), "vec_id % 50 = 0").count() == 0
+
+
 def test_bounds_hold_mostly():
     x = ann.unit(vectors().astype(float))
     codes = ann.Codes(x, x.mean(0))
