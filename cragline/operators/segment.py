@@ -99,11 +99,15 @@ def adaptive_labels(image: np.ndarray, n: int | None, refine: bool, compactness:
         by, bx = ((np.bincount(labels.ravel(), c.ravel()) / area).astype(int) // block for c in (ys, xs))
         held = np.zeros(means.shape, int)
         np.add.at(held, (by, bx), 1)
-        fresh = len(area)
+        fresh, order, ends = len(area), np.argsort(labels.ravel(), kind="stable"), np.cumsum(area)
         for s in np.flatnonzero((area > larger) & (means[by, bx] > 0.6)).tolist():
-            inside = labels == s
-            split = clusters(image, inside, max(2, budgets[by[s], bx[s]] // held[by[s], bx[s]]), compactness * 1.5)
-            labels = np.where(split > 0, fresh - 1 + split, labels)
+            y, x = np.divmod(order[ends[s] - area[s] : ends[s]], side)
+            y0, x0 = y.min(), x.min()
+            inside = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+            inside[y - y0, x - x0] = True
+            box = image[y0 : y0 + inside.shape[0], x0 : x0 + inside.shape[1]]
+            split = clusters(box, inside, max(2, budgets[by[s], bx[s]] // held[by[s], bx[s]]), compactness * 1.5)[y - y0, x - x0]
+            labels[y, x] = np.where(split > 0, fresh - 1 + split, s)
             fresh += split.max()
             stats["refined"] += 1
     labels = one_piece(labels)
