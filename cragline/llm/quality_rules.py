@@ -1,12 +1,14 @@
 """Quality rules in DataFrame and SQL functions only: fixed base rules, then robust multivariate outliers.
 
 A text's statistics become a vector of five (log words, characters a word, symbols a word, share of repeated words,
-share of repeated lines). For each language and source, and for each language, minimum-covariance-determinant
-estimates are made by concentration steps from the coordinates' medians and quartile ranges: distances, the
-three quarters of the rows with the least ones, their mean and covariance, again. The three quarters are cut
-on a histogram of distances, so every step is two aggregates with partial sums and no group is ever sorted or
-collected. A source's estimate is drawn towards its language's by ``PRIOR`` rows. A text is rejected beyond
-``CUTOFF`` in squared Mahalanobis distance.
+share of repeated lines). For each language and source, and for each language, the covariance of three quarters
+of the rows that has the least determinant is sought. The search starts from four estimates (medians and quartile ranges;
+all rows; rows drawn in by tanh; rows drawn to a sphere), makes two concentration steps from each (distances, the three quarters of the rows with
+the least ones, their mean and covariance), keeps the start with the least determinant and goes on from it until
+no group's determinant falls any more. Fixed small variances are added to every covariance (a regularised determinant), as clean texts
+have no spread at all in some statistics. The three quarters are cut on a histogram of distances, so every step is two
+aggregates with partial sums and no group is ever sorted or collected. A source's estimate is drawn towards its
+language's by ``PRIOR`` rows. A text is rejected beyond ``CUTOFF`` in squared Mahalanobis distance.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ SYMBOLS = "#*$%&|<>"
 DIMS = range(1, 6)
 #: Of each statistic: histogram width for the start, and standard deviation that is allowed besides the estimated one.
 WIDTHS, FLOORS = (0.05, 0.02, 0.005, 0.005, 0.005), (1.0, 0.35, 0.045, 0.12, 0.15)
-#: Share of the rows in an estimate, its consistency factor for five dimensions, concentration steps.
-CORE, CONSISTENT, STEPS = 0.75, 1.41, 3
+#: Share of the rows in an estimate, its consistency factor for five dimensions, distance bins an octave.
+CORE, CONSISTENT, BINS = 0.75, 1.41, 16
+#: Concentration steps from every start and at most from the best one, and the fall of a log determinant that counts as one.
+TRIALS, STEPS, FALL = 2, 10, 1e-3
 #: Rows that a language's estimate weighs in a source's; the 0.999999 quantile of chi-square with five degrees of freedom, rounded.
 PRIOR, CUTOFF = 50, 36.0
 #: Estimates that are broadcast at most (about 300 bytes each).
@@ -78,10 +82,9 @@ XS = ", ".join(f"x{i}" for i in DIMS)
 PAIRS = [(i, j) for i in DIMS for j in DIMS if j <= i]
 ROWS = f"SELECT lk AS mk, {XS} FROM {{features}} WHERE NOT base_failed UNION ALL SELECT gk, {XS} FROM {{features}} WHERE NOT base_failed"
 START = (
-    "SELECT mk, CAST(max(t) AS DOUBLE) AS n, "
+    "SELECT mk, 0 AS s, CAST(max(t) AS DOUBLE) AS n, "
     + ", ".join(f"max(CASE WHEN f = {i} THEN (q2 + 0.5E0) * {w}E0 END) AS m{i}" for i, w in zip(DIMS, WIDTHS)) + ", "
-    + ", ".join(f"max(CASE WHEN f = {i} THEN pow((q3 - q1) * {w}E0 / 1.349E0, 2) END) + {f * f:.6f}E0 AS c{i}{i}" for i, w, f in zip(DIMS, WIDTHS, FLOORS)) + ", "
-    + ", ".join(f"0E0 AS c{i}{j}" for i, j in PAIRS if i != j)
+    + ", ".join("0E0" + f" AS c{i}{j}" if i != j else f"max(CASE WHEN f = {i} THEN pow((q3 - q1) * {WIDTHS[i - 1]}E0 / 1.349E0, 2) END) + {FLOORS[i - 1] ** 2:.6f}E0 AS c{i}{i}" for i, j in PAIRS)
     + """ FROM (SELECT mk, f, max(t) AS t, min(CASE WHEN c >= 0.25E0 * t THEN b END) AS q1, min(CASE WHEN c >= 0.5E0 * t THEN b END) AS q2,
  min(CASE WHEN c >= 0.75E0 * t THEN b END) AS q3 FROM (SELECT mk, f, b, sum(n) OVER (PARTITION BY mk, f ORDER BY b) AS c, sum(n) OVER (PARTITION BY mk, f) AS t
  FROM (SELECT mk, f, b, count(*) AS n FROM ("""
@@ -90,27 +93,74 @@ START = (
 )
 
 
+def _moments(x: str, factor: float) -> str:
+    """Mean and covariance of the columns ``x``1 to 5."""
+    return ", ".join(f"avg({x}{i}) AS m{i}" for i in DIMS) + ", " + ", ".join(
+        f"{factor}E0 * covar_pop({x}{i}, {x}{j})" + (f" + {FLOORS[i - 1] ** 2:.6f}E0" if i == j else "") + f" AS c{i}{j}" for i, j in PAIRS)
+
+
+#: Three more starts from the first: all rows as they are, drawn in by tanh, and drawn to a sphere.
+DRAWN = ("SELECT mk, s, CAST(count(*) AS DOUBLE) AS n, " + _moments("y", 1.0) + " FROM (SELECT mk, s, "
+         + ", ".join(f"CASE s WHEN 1 THEN x{i} WHEN 2 THEN m{i} + w{i} * tanh(z{i}) ELSE m{i} + w{i} * z{i} * sqrt(5E0 / greatest(r2, 1E-12)) END AS y{i}" for i in DIMS)
+         + " FROM (SELECT mk, explode(array(1, 2, 3)) AS s, " + ", ".join(f"x{i}, m{i}, sqrt(c{i}{i}) AS w{i}, (x{i} - m{i}) / w{i} AS z{i}" for i in DIMS)
+         + ", " + " + ".join(f"z{i} * z{i}" for i in DIMS) + " AS r2 FROM {rows} r JOIN (SELECT mk AS fk, * EXCEPT (mk) FROM {start}) p ON r.mk = p.fk) scaled) drawn GROUP BY mk, s")
+
+
 def _minus(i: int, j: int) -> str:
     return "".join(f" - l{i}{k} * l{j}{k}" for k in range(1, j))
 
 
-#: Cholesky factors of the covariances, column by column.
-FACTORS = "SELECT mk AS fk, " + ", ".join(f"m{i}" for i in DIMS) + ", " + ", ".join(
+#: Cholesky factors of the covariances, column by column, and the logarithm of their determinants.
+FACTORS = "SELECT *, " + ", ".join(
     f"sqrt(c{j}{j}{_minus(j, j)}) AS l{j}{j}" if i == j else f"(c{i}{j}{_minus(i, j)}) / l{j}{j} AS l{i}{j}"
-    for j in DIMS for i in DIMS if i >= j) + " FROM {estimates}"
+    for j in DIMS for i in DIMS if i >= j) + ", 2 * (" + " + ".join(f"ln(l{i}{i})" for i in DIMS) + ") AS log_det FROM {estimates}"
 SOLVED = ", ".join(f"(x{i} - m{i}{''.join(f' - l{i}{k} * z{k}' for k in range(1, i))}) / l{i}{i} AS z{i}" for i in DIMS)
 D2 = " + ".join(f"z{i} * z{i}" for i in DIMS)
-DISTANCES = f"SELECT mk, {XS}, {SOLVED}, {D2} AS d2, CAST(floor(8 * log2(d2 + 0.001E0)) AS BIGINT) AS b FROM {{rows}} r JOIN {{factors}} p ON r.mk = p.fk"
-CUTS = f"""SELECT mk AS ck, max(t) AS n, min(CASE WHEN c >= {CORE}E0 * t THEN b END) AS cut FROM (SELECT mk, b, sum(n) OVER (PARTITION BY mk ORDER BY b) AS c,
- sum(n) OVER (PARTITION BY mk) AS t FROM (SELECT mk, b, count(*) AS n FROM {{distances}} GROUP BY mk, b) counts) sums GROUP BY mk"""
-ESTIMATES = "SELECT mk, CAST(max(n) AS DOUBLE) AS n, " + ", ".join(f"avg(x{i}) AS m{i}" for i in DIMS) + ", " + ", ".join(
-    f"{CONSISTENT}E0 * covar_pop(x{i}, x{j})" + (f" + {FLOORS[i - 1] ** 2:.6f}E0" if i == j else "") + f" AS c{i}{j}" for i, j in PAIRS
-) + " FROM {distances} d JOIN {cuts} k ON d.mk = k.ck WHERE b <= cut GROUP BY mk"
+DISTANCES = f"""SELECT mk, s, {XS}, {SOLVED}, {D2} AS d2, CAST(floor({BINS} * log2(d2 + 0.001E0)) AS BIGINT) AS b
+ FROM {{rows}} r JOIN (SELECT mk AS fk, * EXCEPT (mk) FROM {{factors}}) p ON r.mk = p.fk"""
+CUTS = f"""SELECT mk AS ck, s AS cs, min(CASE WHEN c >= {CORE}E0 * t THEN b END) AS cut FROM (SELECT mk, s, b, sum(n) OVER (PARTITION BY mk, s ORDER BY b) AS c,
+ sum(n) OVER (PARTITION BY mk, s) AS t FROM (SELECT mk, s, b, count(*) AS n FROM {{distances}} GROUP BY mk, s, b) counts) sums GROUP BY mk, s"""
+ESTIMATES = ("SELECT mk, s, CAST(count(*) / " + f"{CORE}E0 AS DOUBLE) AS n, " + _moments("x", CONSISTENT)
+             + " FROM {distances} d JOIN {cuts} k ON d.mk = k.ck AND d.s = k.cs WHERE b <= cut GROUP BY mk, s")
+#: The start of each group with the least determinant; the first among equals.
+LEAST = f"SELECT e.* FROM (SELECT mk, min_by(struct(*), struct(floor(log_det / {FALL}E0), s)) AS e FROM {{factors}} GROUP BY mk) best"
+#: A step's estimate where its determinant is less than the best known, else that.
+BETTER = f"""SELECT e.*, moved FROM (SELECT IF(moved, x, o) AS e, moved FROM (SELECT x, o, coalesce(x.log_det < o.log_det - {FALL}E0, false) AS moved
+ FROM (SELECT mk AS ok, struct(*) AS o FROM {{old}}) a JOIN (SELECT mk AS nk, struct(*) AS x FROM {{new}}) b ON ok = nk) both) chosen"""
 MIXED = "SELECT k.gk AS mk, " + ", ".join(
     f"(g.n * g.{c} + {PRIOR} * l.{c}) / (g.n + {PRIOR}) AS {c}" for c in [*(f"m{i}" for i in DIMS), *(f"c{i}{j}" for i, j in PAIRS)]
 ) + " FROM (SELECT DISTINCT lk, gk FROM {features} WHERE NOT base_failed) k JOIN {estimates} g ON k.gk = g.mk JOIN {estimates} l ON k.lk = l.mk"
 VERDICTS = f"""SELECT f.*, {SOLVED}, CASE WHEN base_failed THEN false ELSE coalesce({D2} <= {CUTOFF}E0, true) END AS kept
- FROM {{features}} f LEFT JOIN {{factors}} p ON f.gk = p.fk"""
+ FROM {{features}} f LEFT JOIN (SELECT mk AS fk, * EXCEPT (mk) FROM {{factors}}) p ON f.gk = p.fk"""
+
+
+def least_determinants(rows: DataFrame) -> DataFrame:
+    """For each mk the mean (m1 to m5), covariance (c11 to c55), Cholesky factors and log_det of the best three quarters found.
+
+    ``rows`` holds mk and x1 to x5, none null. A group of one row has that row as its mean and the fixed variances alone.
+    """
+    spark = rows.sparkSession
+    start = pinned(spark.sql(START, rows=rows))
+    few = start.count() <= FEW
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    def step(factors: DataFrame) -> DataFrame:
+        distances = spark.sql(DISTANCES, rows=rows, factors=small(factors))
+        return spark.sql(FACTORS, estimates=spark.sql(ESTIMATES, distances=distances, cuts=small(spark.sql(CUTS, distances=distances))))
+
+    starts = start.unionByName(spark.sql(DRAWN, rows=rows, start=small(start)))
+    tried = pinned(spark.sql(FACTORS, estimates=starts))
+    for _ in range(TRIALS):
+        tried = pinned(step(tried))
+    best = pinned(spark.sql(LEAST, factors=tried))
+    for _ in range(STEPS):
+        found = pinned(spark.sql(BETTER, old=best, new=step(best)))
+        best = found.drop("moved")
+        if not found.where("moved").limit(1).count():
+            break
+    return best
 
 
 def judged(docs: DataFrame, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
@@ -125,17 +175,10 @@ def judged(docs: DataFrame, text: str = "text", keep: list[Column] | None = None
     stats = text_statistics(docs, text, [*keep, F.col("lang").alias("lang"), F.col("source").alias("source")])
     stats = stats.withColumn("base_failed", F.expr(BASE_FAILED))
     features = pinned(spark.sql(FEATURES, stats=stats))
-    rows = spark.sql(ROWS, features=features)
-
-    def small(table: DataFrame) -> DataFrame:
-        table = pinned(table)
-        return F.broadcast(table) if table.count() <= FEW else table
-
-    estimates = pinned(spark.sql(START, rows=rows))
-    for _ in range(STEPS):
-        distances = spark.sql(DISTANCES, rows=rows, factors=small(spark.sql(FACTORS, estimates=estimates)))
-        estimates = pinned(spark.sql(ESTIMATES, distances=distances, cuts=small(spark.sql(CUTS, distances=distances))))
-    factors = small(spark.sql(FACTORS, estimates=spark.sql(MIXED, features=features, estimates=estimates)))
+    estimates = least_determinants(spark.sql(ROWS, features=features))
+    factors = pinned(spark.sql(FACTORS, estimates=spark.sql(MIXED, features=features, estimates=estimates)))
+    if factors.count() <= FEW:
+        factors = F.broadcast(factors)
     return spark.sql(VERDICTS, features=features, factors=factors)
 
 
@@ -162,11 +205,49 @@ stats AS (SELECT *, """ + BASE_FAILED + " AS base_failed FROM counted)"
 
 
 def duck_sql() -> str:
-    """The whole operator for DuckDB: its own base statistics, then the same steps as common table expressions."""
-    parts = [DUCK_STATS, f"features AS MATERIALIZED ({FEATURES.format(stats='stats')})", f"rows_ AS MATERIALIZED ({ROWS.format(features='features')})",
-             f"e0 AS MATERIALIZED ({START.format(rows='rows_')})"]
+    """The whole operator for DuckDB, written apart from the above: order statistics and elimination instead of histograms and factors."""
+    core = list(DIMS)
+
+    def moments(x: str, factor: float) -> str:
+        return ", ".join([*(f"avg({x}{i}) AS m{i}" for i in core), *(f"{factor} * covar_pop({x}{i}, {x}{j}) + {FLOORS[i - 1] ** 2 if i == j else 0} AS a{i}{j}_0" for i in core for j in core)])
+
+    # Gaussian elimination: after k pivots a{i}{j}_k is what is left of the covariance
+    solved = [f"a{i}{j}_{k - 1} - a{i}{k}_{k - 1} * a{k}{j}_{k - 1} / a{k}{k}_{k - 1} AS a{i}{j}_{k}" for k in core[:-1] for i in core[k:] for j in core[k:]]
+    solved.append(" + ".join(f"ln(a{k}{k}_{k - 1})" for k in core) + " AS log_det")
+    eliminated = "SELECT *, " + ", ".join(solved) + " FROM {}"
+    left = [f"v{i}_{k - 1} - a{i}{k}_{k - 1} / a{k}{k}_{k - 1} * v{k}_{k - 1} AS v{i}_{k}" for k in core[:-1] for i in core[k:]]
+    d2 = ", ".join([*(f"x{i} - m{i} AS v{i}_0" for i in core), *left, " + ".join(f"v{k}_{k - 1} ** 2 / a{k}{k}_{k - 1}" for k in core) + " AS d2"])
+    quartile = lambda i, q: f"quantile_disc(floor(x{i} / {WIDTHS[i - 1]}), {q})"
+    first = ", ".join([*(f"({quartile(i, 0.5)} + 0.5) * {WIDTHS[i - 1]} AS m{i}" for i in core), *(
+        f"(({quartile(i, 0.75)} - {quartile(i, 0.25)}) * {WIDTHS[i - 1]} / 1.349) ** 2 + {FLOORS[i - 1] ** 2} AS a{i}{j}_0" if i == j else f"0.0::DOUBLE AS a{i}{j}_0" for i in core for j in core)])
+    z = lambda i: f"((x{i} - m{i}) / sqrt(a{i}{i}_0))"
+    r2 = "greatest(" + " + ".join(f"{z(i)} ** 2" for i in core) + ", 1e-12)"
+    drawn = [("x", "x{i}"), ("t", "m{i} + sqrt(a{i}{i}_0) * tanh({z})"), ("u", "m{i} + sqrt(a{i}{i}_0) * {z} * sqrt(5 / r2)")]
+    parts = [DUCK_STATS, f"""feats AS MATERIALIZED (SELECT *, coalesce('=' || lang, '') AS lang_key, lang_key || '|' || coalesce('=' || source, '') AS source_key, ln(greatest(n_words, 1)) AS x1,
+ word_chars / greatest(n_words, 1) AS x2, n_symbols / greatest(n_words, 1) AS x3, n_repeat_words / greatest(n_words, 1) AS x4, n_dup_lines / greatest(n_lines, 1) AS x5 FROM stats)""",
+             "points AS MATERIALIZED (SELECT unnest([lang_key, source_key]) AS g, x1, x2, x3, x4, x5 FROM feats WHERE NOT base_failed)",
+             f"first AS MATERIALIZED (SELECT g, 0 AS s, count(*)::DOUBLE AS n, {first} FROM points GROUP BY g)"]
+    pulled = ", ".join(f"{form.format(i=i, z=z(i))} AS {x}{i}_" for x, form in drawn for i in core)
+    parts.append(f"pulled AS MATERIALIZED (SELECT g, {r2} AS r2, {pulled} FROM points JOIN first USING (g))")
+    renamed = [f"SELECT g, {s} AS s, " + ", ".join(f"{x}{i}_ AS y{i}" for i in core) + " FROM pulled" for s, (x, _) in enumerate(drawn, 1)]
+    parts.append(f"starts AS MATERIALIZED (SELECT * FROM first UNION ALL BY NAME SELECT g, s, count(*)::DOUBLE AS n, {moments('y', 1.0)} FROM ({' UNION ALL '.join(renamed)}) GROUP BY g, s)")
+    parts.append(f"t0 AS MATERIALIZED ({eliminated.format('starts')})")
+
+    def concentrated(before: str, name: str) -> list[str]:
+        return [f"d_{name} AS MATERIALIZED (SELECT g, s, x1, x2, x3, x4, x5, floor({BINS} * log2(d2 + 0.001)) AS b FROM (SELECT *, {d2} FROM points JOIN {before} USING (g)))",
+                f"n_{name} AS MATERIALIZED ({eliminated.format(f'(SELECT g, s, count(*) / {CORE} AS n, {moments(chr(120), CONSISTENT)} FROM (SELECT *, quantile_disc(b, {CORE}) OVER (PARTITION BY g, s) AS cut FROM d_{name}) WHERE b <= cut GROUP BY g, s)')})"]
+
+    at = "t0"
+    for k in range(TRIALS):
+        parts += concentrated(at, f"t{k + 1}")
+        at = f"n_t{k + 1}"
+    parts.append(f"b0 AS MATERIALIZED (SELECT * FROM {at} QUALIFY row_number() OVER (PARTITION BY g ORDER BY floor(log_det / {FALL}), s) = 1)")
     for k in range(STEPS):
-        parts += [f"f{k} AS MATERIALIZED ({FACTORS.format(estimates=f'e{k}')})", f"d{k} AS MATERIALIZED ({DISTANCES.format(rows='rows_', factors=f'f{k}')})",
-                  f"k{k} AS MATERIALIZED ({CUTS.format(distances=f'd{k}')})", f"e{k + 1} AS MATERIALIZED ({ESTIMATES.format(distances=f'd{k}', cuts=f'k{k}')})"]
-    parts += [f"mixed AS MATERIALIZED ({MIXED.format(features='features', estimates=f'e{STEPS}')})", f"factors AS MATERIALIZED ({FACTORS.format(estimates='mixed')})"]
-    return f"WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({VERDICTS.format(features='features', factors='factors')})"
+        parts += concentrated(f"b{k}", f"b{k + 1}")
+        parts.append(f"""b{k + 1} AS MATERIALIZED (SELECT n.* FROM n_b{k + 1} n JOIN b{k} o USING (g) WHERE n.log_det < o.log_det - {FALL}
+ UNION ALL BY NAME SELECT o.* FROM n_b{k + 1} n JOIN b{k} o USING (g) WHERE NOT n.log_det < o.log_det - {FALL})""")
+    drawn_to = ", ".join(f"(o.n * o.{c} + {PRIOR} * l.{c}) / (o.n + {PRIOR}) AS {c}" for c in [*(f"m{i}" for i in core), *(f"a{i}{j}_0" for i in core for j in core)])
+    parts.append(f"""mixed AS MATERIALIZED ({eliminated.format(f"""(SELECT source_key, {drawn_to} FROM (SELECT DISTINCT lang_key, source_key FROM feats WHERE NOT base_failed) k
+ JOIN b{STEPS} o ON o.g = source_key JOIN b{STEPS} l ON l.g = lang_key)""")})""")
+    return f"""WITH {', '.join(parts)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept
+ FROM (SELECT *, {d2} FROM feats LEFT JOIN mixed USING (source_key))"""

@@ -177,3 +177,42 @@ def test_captures_after_2100_meet_open_entries(spark):
     rows = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate(seen)], "page_id long, url string, at timestamp")
     got = {r.page_id: r.allowed for r in url_lists.evaluated(rows, history, "url", "at", "page_id").collect()}
     assert got == {0: True, 1: False, 2: True, 3: False, 4: False}
+
+
+def concentrated(x, start, fixed):
+    """(log determinant, mean, covariance) after concentration steps from ``start``, by sorting."""
+    h, best = math.ceil(0.75 * len(x)), None
+    mean, cov = x[start].mean(0), np.cov(x[start].T, bias=True) * quality_rules.CONSISTENT + fixed
+    while True:
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        near = np.argsort(d2, kind="stable")[:h]
+        mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) * quality_rules.CONSISTENT + fixed
+        now = np.linalg.slogdet(cov)[1]
+        if best is not None and now > best[0] - 1e-9:
+            return best
+        best = (now, mean, cov)
+
+
+def test_least_determinants_against_random_starts(spark):
+    draw = np.random.default_rng(4)
+    fixed = np.diag(np.square(quality_rules.FLOORS))
+    groups = {}
+    for name, n, bad in (("a", 400, 0.2), ("b", 300, 0.0), ("c", 250, 0.23)):
+        turn = draw.standard_normal((5, 5)) * [2, 0.5, 0.1, 0.2, 0.2]
+        x = draw.standard_normal((n, 5)) @ turn + [5, 5, 0, 0, 0]
+        far = int(n * bad)
+        x[:far] = draw.standard_normal((far, 5)) * 0.1 + [14, 9, 3, 3, 4]  # a tight cluster, which draws the mean of all rows
+        groups[name] = x
+    rows = [(k, *map(float, r)) for k, x in groups.items() for r in x] + [("lone", 1.0, 2.0, 3.0, 4.0, 5.0)] + [("same", 1.0, 1.0, 0.0, 0.0, 0.0)] * 40
+    got = {r.mk: r for r in quality_rules.least_determinants(spark.createDataFrame(rows, "mk string, x1 double, x2 double, x3 double, x4 double, x5 double")).collect()}
+    assert set(got) == {*groups, "lone", "same"}
+    for k, x in groups.items():
+        want = min((concentrated(x, draw.choice(len(x), 12, replace=False), fixed) for _ in range(60)), key=lambda e: e[0])
+        assert abs(got[k].log_det - want[0]) < 0.1, k
+        far = math.sqrt((np.array([got[k][f"m{i}"] for i in range(1, 6)]) - want[1]) @ np.linalg.inv(want[2]) @ (np.array([got[k][f"m{i}"] for i in range(1, 6)]) - want[1]))
+        assert far < 0.1, k
+    for k, x in (("lone", [1, 2, 3, 4, 5]), ("same", [1, 1, 0, 0, 0])):
+        assert np.allclose([got[k][f"m{i}"] for i in range(1, 6)], x)
+        assert abs(got[k].log_det - np.log(np.diag(fixed)).sum()) < 1e-4
+    none = quality_rules.least_determinants(spark.createDataFrame([], "mk string, x1 double, x2 double, x3 double, x4 double, x5 double"))
+    assert none.count() == 0
