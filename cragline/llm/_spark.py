@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def pinned(df: DataFrame) -> DataFrame:
     """Computes ``df`` once and cuts its lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of this machine is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only in local tests, where that is
+    unset, a temporary folder of this machine is used.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -21,9 +21,11 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local temporary one only where the cluster names none."""
+    """The folder all executors share; a temporary one of this machine only where Spark runs on it alone and none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cragline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -100,3 +100,16 @@ def test_the_query_encodes_added_tokens(spark, tmp_path):
     ids = [*Tokenizer.from_file(FILE).encode("a <|endoftext|> b", add_special_tokens=False).ids, 2]
     got = {r.doc_id: r for r in queries.op6_token_files(spark, f"file://{tmp_path}").collect()}
     assert (got[1].n_tokens, got[1].ids_crc32, got[2].start) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), len(ids))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from cragline.llm._spark import shared_folder
+
+    def session(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named, set=lambda key, value: None), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "hdfs://host/shared")) == "hdfs://host/shared"
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077", None))
