@@ -46,9 +46,9 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE) -> Iterator[pa.
         start = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the first word's index of each row (plus the total)."""
-    solid = ~BLANK[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes that aren't ``blank``), and the first word's index of each row (plus the total)."""
+    solid = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty_like(solid)
