@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cragline.llm import ann, chunks, divergence, mixing, pieces, quality_model, quality_rules, shards, simhash, substring, token_files, url_lists
+from cragline.llm import alignment, ann, chunks, divergence, mixing, pieces, quality_model, quality_rules, shards, simhash, substring, token_files, url_lists
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,10 @@ def op10_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(_table(spark, sf_dir, "documents"))
 
@@ -109,7 +113,7 @@ def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_groups, op2_one_bit_codes, op3_substring_dedup, op4_quality_model, op5_sentencepiece, op6_token_files, op7_rendezvous_shards,
-             op8_quality_rules, op9_dated_url_lists, op10_mixed_sources, op12_source_divergence, op13_chunk_recipes)
+             op8_quality_rules, op9_dated_url_lists, op10_mixed_sources, op11_token_alignment, op12_source_divergence, op13_chunk_recipes)
     return {f.__name__: f for f in found}
 
 
