@@ -28,17 +28,23 @@ from cragline.llm.token_files import byte_tokenizer
 
 #: Pairs whose counts every worker holds at most (16 bytes each); those of the others meet the texts by a shuffle.
 KNOWN = 1_000_000
-COUNTED = "n_a long, n_b long, n_groups long, n_links long"
-
-#: Tokens with the number of common ends before their own, and whether they end at one.
-GROUPED = """SELECT {i} AS place, ended, CAST(sum(ended) OVER (ORDER BY {i} ROWS UNBOUNDED PRECEDING) - ended AS BIGINT) AS grp
- FROM (SELECT x.{i}, CAST(y.e IS NOT NULL AS INTEGER) AS ended FROM {x} x LEFT JOIN {y} y ON x.e = y.e) ORDER BY place"""
-#: The pairs of overlapping tokens of each unit, and how often.
-OVERLAPS = """WITH spans AS (SELECT f.unit, f.id, f.lo, l.j AS hi FROM (SELECT a.i, a.unit, a.id, b.j AS lo FROM ta a ASOF JOIN tb b ON a.s >= b.s) f
- JOIN (SELECT a.i, b.j FROM ta a ASOF JOIN tb b ON a.e > b.s) l ON f.i = l.i),
-links AS (SELECT s.unit, s.id AS a, b.id AS b FROM spans s JOIN tb b ON b.j = s.lo WHERE lo = hi
- UNION ALL SELECT s.unit, s.id, b.id FROM (SELECT * FROM spans WHERE lo < hi) s JOIN tb b ON b.j >= s.lo AND b.j <= s.hi)
-SELECT unit, a * $wide + b AS pair, count(*) AS k FROM links GROUP BY ALL"""
+NAMES = ["n_a", "n_b", "n_groups", "n_links"]
+COUNTED = ", ".join(f"{c} long" for c in NAMES)
+
+#: Distinct units that a worker remembers at most, with their pairs and groups.
+REMEMBERED = 400_000
+
+#: Left tokens with the number of common ends before their own, and whether they end at one; then the byte offsets of these ends.
+GROUPED = """SELECT i, ended, CAST(sum(ended) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - ended AS BIGINT) AS grp, e
+ FROM (SELECT a.i, a.e, CAST(b.e IS NOT NULL AS INTEGER) AS ended FROM ta a LEFT JOIN tb b ON a.e = b.e) ORDER BY i"""
+#: The right token at which each left one starts, and all others that start before it ends. Steps are tables, so that each is planned by its true size.
+OVERLAPS = (
+    "CREATE OR REPLACE TEMP TABLE firsts AS SELECT a.unit, a.id AS a, a.e, b.id AS b, b.e AS b_e FROM ta a ASOF JOIN tb b ON a.s >= b.s",
+    "CREATE OR REPLACE TEMP TABLE longer AS SELECT unit, a, e, b_e FROM firsts WHERE e > b_e",
+    "CREATE OR REPLACE TEMP TABLE others AS SELECT x.unit, x.a, b.id AS b FROM longer x JOIN tb b ON b.s >= x.b_e AND b.s < x.e",
+    "CREATE OR REPLACE TEMP TABLE fresh AS SELECT unit, a * {wide} + b AS pair, count(*) AS k FROM (SELECT unit, a, b FROM firsts UNION ALL SELECT unit, a, b FROM others) GROUP BY ALL",
+    "INSERT INTO pairs SELECT * FROM fresh",
+)
 HELD = "SELECT doc, pair, CAST(sum(m * k) AS INTEGER) AS times FROM used JOIN pairs USING (unit) GROUP BY ALL ORDER BY doc, pair"
 
 
@@ -66,6 +72,13 @@ class Aligner:
         self.signs = np.frombuffer(b"".join(written), np.uint8)
         self.folder = tempfile.TemporaryDirectory()
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.folder.name})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.good, self.counts = np.zeros(0, bool), np.zeros((4, 0), np.int64)
+        self.text, self.at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.con.execute("CREATE OR REPLACE TEMP TABLE pairs (unit BIGINT, pair BIGINT, k BIGINT)")
 
     def _sides(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, offsets by unit, byte lengths) of either side, of units whose bytes both give back; no tokens for others."""
@@ -89,10 +102,40 @@ class Aligner:
             sides.append((ids.astype(np.int64), at, lengths[ids]))
         return [*sides, good]
 
-    def _table(self, side: tuple[np.ndarray, np.ndarray, np.ndarray], place: str) -> pa.Table:
-        ids, at, lengths = side
-        ends = np.cumsum(lengths)
-        return pa.table({place: np.arange(len(ids)), "unit": np.repeat(np.arange(len(at) - 1), np.diff(at)), "id": ids, "s": ends - lengths, "e": ends})
+    def _align(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Adds the groups, links and counts of new units to what is known."""
+        a, b, good = self._sides(data, offsets)
+        begin, many, ends = len(self.known), len(good), [np.cumsum(x[2]) for x in (a, b)]
+        for name, (ids, at, lengths), e in zip(("ta", "tb"), (a, b), ends):
+            self.con.register("given", pa.table({"i": np.arange(len(ids)), "unit": begin + np.repeat(np.arange(many), np.diff(at)), "id": ids, "s": e - lengths, "e": e}))
+            self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
+        grouped = self.con.execute(GROUPED).fetchnumpy()
+        group, ended = np.asarray(grouped["grp"]), np.asarray(grouped["ended"])
+        of_right = np.searchsorted(np.asarray(grouped["e"])[ended > 0], ends[1])  # common ends before a right token's own
+        for step in OVERLAPS:
+            self.con.execute(step.format(wide=self.right.size))
+        links = self.con.execute("SELECT unit, CAST(sum(k) AS BIGINT) AS k FROM fresh GROUP BY unit").fetchnumpy()
+        found = np.zeros((4, many), np.int64)
+        found[0], found[1] = np.diff(a[1]), np.diff(b[1])
+        np.add.at(found[2], np.repeat(np.arange(many), found[0]), ended)
+        found[3][np.asarray(links["unit"]) - begin] = np.asarray(links["k"])
+        text, at = self._written(a, b, [group, of_right])
+        self.good, self.counts = np.r_[self.good, good], np.concatenate([self.counts, found], 1)
+        self.text, self.at = np.r_[self.text, text], np.r_[self.at, at[1:] + len(self.text)]
+
+    def _units(self, column: pa.Array) -> np.ndarray:
+        """The number of each distinct unit."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        units = column.to_pylist()
+        place = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            data, offsets = flat(column)
+            self._align(*gather(data, offsets[new], np.diff(offsets)[new]))
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update((units[i], k) for i, k in zip(new.tolist(), place[new].tolist()))
+        return place
 
     def _written(self, a: tuple, b: tuple, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Groups of all units as text, each with ``;`` behind, and each unit's offset in it."""
@@ -112,26 +155,18 @@ class Aligner:
         offsets = offsets + np.r_[0, np.cumsum(np.diff(offsets) > 0)]
         rows = len(offsets) - 1
         if not len(data):
-            return {c: np.zeros(rows, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}, [""] * rows, np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return {c: np.zeros(rows, np.int64) for c in NAMES}, [""] * rows, np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         cuts = self.left.cuts(data, offsets)
         coded = binary(data, cuts).dictionary_encode()
-        which, first = coded.indices.to_numpy(), np.searchsorted(cuts, offsets)
-        a, b, good = self._sides(*flat(coded.dictionary))
-        doc, many = np.repeat(np.arange(rows), np.diff(first)), len(good)
+        which, first = self._units(coded.dictionary)[coded.indices.to_numpy()], np.searchsorted(cuts, offsets)
+        doc, many = np.repeat(np.arange(rows), np.diff(first)), len(self.good)
         bad = np.zeros(rows, bool)
-        bad[doc[~good[which]]] = True
+        bad[doc[~self.good[which]]] = True
         held, times = np.unique((doc * many + which)[~bad[doc]], return_counts=True)
-        for name, table in (("ta", self._table(a, "i")), ("tb", self._table(b, "j")), ("used", pa.table({"doc": held // many, "unit": held % many, "m": times}))):
-            self.con.register(name, table)
-        groups = [self.con.execute(GROUPED.format(i=i, x=x, y=y)).fetchnumpy() for i, x, y in (("i", "ta", "tb"), ("j", "tb", "ta"))]
-        self.con.execute("CREATE OR REPLACE TEMP TABLE pairs AS " + OVERLAPS, {"wide": self.right.size})
-        links = self.con.execute("SELECT unit, CAST(sum(k) AS BIGINT) AS k FROM pairs GROUP BY unit").fetchnumpy()
+        self.con.register("used", pa.table({"doc": held // many, "unit": held % many, "m": times}))
         found = self.con.execute(HELD).fetchnumpy()
-        text, at = self._written(a, b, [np.asarray(g["grp"], np.int64) for g in groups])
-        by_unit_counts = {"n_a": np.diff(a[1]), "n_b": np.diff(b[1]), "n_groups": np.bincount(np.repeat(np.arange(many), np.diff(a[1])), np.asarray(groups[0]["ended"]), many).astype(np.int64), "n_links": np.zeros(many, np.int64)}
-        by_unit_counts["n_links"][np.asarray(links["unit"])] = np.asarray(links["k"])
-        counts = {c: np.where(bad, 0, np.diff(np.r_[0, np.cumsum(x[which])][first])) for c, x in by_unit_counts.items()}
-        raw, ends = gather(text, at[which], np.diff(at)[which])
+        counts = {c: np.where(bad, 0, np.diff(np.r_[0, np.cumsum(x[which])][first])) for c, x in zip(NAMES, self.counts)}
+        raw, ends = gather(self.text, self.at[which], np.diff(self.at)[which])
         raw, ends = raw.tobytes(), ends[first].tolist()
         digests = [hashlib.sha256(raw[x : y - 1]).hexdigest() if n else "" for x, y, n in zip(ends[:-1], ends[1:], counts["n_a"].tolist())]
         ends = np.searchsorted(np.asarray(found["doc"]), np.arange(rows + 1))
@@ -195,7 +230,6 @@ def aligned_counts(docs: DataFrame, byte_path: str, piece_path: str, text: str =
     known = pinned(counted.orderBy(F.desc("n"), "pair").limit(KNOWN)) if more else counted
     sent = known.toArrow().sort_by("pair")
     shared = spark.sparkContext.broadcast((sent["pair"].to_numpy(), sent["n"].to_numpy(), best))
-    names = [c.split()[0] for c in COUNTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, best = shared.value
@@ -209,13 +243,13 @@ def aligned_counts(docs: DataFrame, byte_path: str, piece_path: str, text: str =
             n = np.where(hit, counts[at], 1) if len(codes) else np.ones(len(code), np.int64)  # a pair that isn't known counts once; more is added below
             sums = [np.diff(np.r_[0, np.cumsum(x)][ends]) for x in (np.where(n == best[code // wide], m, 0), n * m)]
             rest = np.diff(np.r_[0, np.cumsum(~hit)][ends])
-            yield pa.record_batch([*(batch.column(c) for c in ("row", "key", *names, "groups_sha256")), *map(pa.array, sums), *_lists(np.r_[0, np.cumsum(rest)], code[~hit], m[~hit])],
-                                  names=["row", "key", *names, "groups_sha256", "n_best", "count_sum", "rest", "rest_times"])
+            yield pa.record_batch([*(batch.column(c) for c in ("row", "key", *NAMES, "groups_sha256")), *map(pa.array, sums), *_lists(np.r_[0, np.cumsum(rest)], code[~hit], m[~hit])],
+                                  names=["row", "key", *NAMES, "groups_sha256", "n_best", "count_sum", "rest", "rest_times"])
 
     out = held.mapInArrow(run, f"row long, key long, {COUNTED}, groups_sha256 string, n_best long, count_sum long, rest array<long>, rest_times array<long>")
     if more:
         out = with_rest(out, counted.join(known, "pair", "left_anti"), spark.createDataFrame(tops.rename_columns(["a", "top"])) if len(tops) else None, wide)
-    return out.select("key", *names, "n_best", "count_sum", "groups_sha256").toDF(key, *names, "n_best", "count_sum", "groups_sha256")
+    return out.select("key", *NAMES, "n_best", "count_sum", "groups_sha256").toDF(key, *NAMES, "n_best", "count_sum", "groups_sha256")
 
 
 def with_rest(out: DataFrame, counted: DataFrame, tops: DataFrame, wide: int) -> DataFrame:
