@@ -32,7 +32,7 @@ NAMES = ["n_a", "n_b", "n_groups", "n_links"]
 COUNTED = ", ".join(f"{c} long" for c in NAMES)
 
 #: Distinct units that a worker remembers at most, with their pairs and groups.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: Left tokens with the number of common ends before their own, and whether they end at one; then the byte offsets of these ends.
 GROUPED = """SELECT i, ended, CAST(sum(ended) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - ended AS BIGINT) AS grp, e
