@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cragline.functions import hazard as hz
 from cragline.operators import graph as g
-from cragline.operators import neural, planning, segment
+from cragline.operators import neural, planning, replanning, segment
 from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
 from cragline.plans.rasters import _image
 from cragline.plans.registry import query, r
@@ -240,6 +240,28 @@ def h12_rerouted(spark: SparkSession, d: str) -> DataFrame:
     return planning.rerouted(missions, costs)
 
 
+#: The start moves over its cheapest edge and the edges behind it become dear, then once more; costs of all three steps by rounds of relaxation.
+MOVES = """first AS (SELECT m.tile, m.start, m.goal, arg_min(c.dst, (c.cost, c.dst)) AS n1 FROM mission m JOIN cost c ON c.tile = m.tile AND c.src = m.start GROUP BY ALL),
+ second AS (SELECT f.tile, f.start, f.goal, f.n1, arg_min(c.dst, (c.cost, c.dst)) AS n2 FROM first f JOIN cost c ON c.tile = f.tile AND c.src = f.n1 AND c.dst <> f.start GROUP BY ALL),
+ stepcost AS (SELECT k AS step, c.tile, c.src, c.dst, CASE WHEN k >= 1 AND c.src = s.start THEN 999 WHEN k = 2 AND c.src = s.n1 THEN 5 * c.cost ELSE c.cost END AS cost FROM cost c JOIN second s ON s.tile = c.tile, range(0, 3) g(k)),
+ places AS (SELECT tile, start, goal, unnest([0, 1, 2]) AS step, unnest([start, n1, n2]) AS spot FROM second),
+ walk AS (SELECT p.step, p.tile, p.spot AS node, 0.0::DOUBLE AS cost, 0 AS i FROM places p UNION ALL SELECT step, tile, node, min(cost), i FROM (SELECT b.step, b.tile, c.dst AS node, b.cost + c.cost AS cost, b.i + 1 AS i
+ FROM walk b JOIN stepcost c ON c.step = b.step AND c.tile = b.tile AND c.src = b.node WHERE b.i < 14) GROUP BY step, tile, node, i)
+ SELECT p.tile, p.start, p.goal, CAST(p.step AS INTEGER) AS step, p.spot AS at, round(min(w.cost), 6) AS cost FROM places p JOIN walk w ON w.step = p.step AND w.tile = p.tile AND w.node = p.goal GROUP BY ALL"""
+
+
+@query(recursive(f"{KNN}, {COST}, {MISSION}, {MOVES}", "node"))
+def h12_moving_start(spark: SparkSession, d: str) -> DataFrame:
+    missions, costs, n = _costs(spark, d)
+    cheapest = F.min_by("dst", F.struct("cost", "dst"))
+    first = missions.join(costs.withColumnRenamed("src", "start"), ["tile", "start"]).groupBy("tile", "start", "goal").agg(cheapest.alias("n1"))
+    second = first.join(costs.withColumnRenamed("src", "n1"), ["tile", "n1"]).where("dst <> start").groupBy("tile", "start", "goal", "n1").agg(cheapest.alias("n2"))
+    moves = second.select("tile", "start", "goal", F.inline(F.array(*[F.struct(F.lit(k).alias("step"), F.col(to).alias("node"), F.col(behind).alias("src")) for k, to, behind in ((1, "n1", "start"), (2, "n2", "n1"))])))
+    events = moves.join(costs, ["tile", "src"]).select("tile", "start", "goal", "step", "node", "src", "dst", F.when(F.col("step") == 1, F.lit(999.0)).otherwise(5 * F.col("cost")).alias("cost"))
+    out = replanning.replanned(second.select("tile", "start", "goal"), events, costs, n).where("found")
+    return out.select("tile", "start", "goal", "step", "at", r(F.col("cost")).alias("cost"))
+
+
 _SQ = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in PHYS)
 
 
