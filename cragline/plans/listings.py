@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cragline.plans.fixtures import nodes, scores, table, with_tables
 from cragline.plans.registry import query, r
+from cragline.sources.shared import new_folder
 from cragline.sources import catalog as c
 
 CAT = "cat AS (SELECT p_partkey, trim('  ' || p_name || ' ') AS alias, p_brand AS dem_id, p_type AS terrain, CASE WHEN p_size % 4 = 0 THEN 'Pending' ELSE 'Verified' END AS status FROM part)"
@@ -121,13 +122,7 @@ def s23_scaled_heights(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("SELECT tile, count(*) AS n, max(p) AS most FROM score WHERE split = 'F' GROUP BY tile", "score"))
 def s07_s12_s13_store_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Predictions written by split and read back: one split, three columns."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{shared or 'file://' + tempfile.mkdtemp(prefix='cragline-')}/store-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "store")
     c.save_quads(scores(spark, d), folder)
     return c.read_store(spark, folder, "F", ["tile", "p"]).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("most"))
 

@@ -1,19 +1,12 @@
-"""Event streams: windowed metrics with watermarks, sessions, and route repair as keyed state.
+"""Event streams: windowed metrics with watermarks, sessions, deduplication.
 
 The same functions take a streaming or a batch DataFrame.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from cragline.operators.planning import Graph, Replanner
 
 
 def _timed(rows: DataFrame, late: str) -> DataFrame:
@@ -39,25 +32,3 @@ def sessions(rows: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
 def deduplicated(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """First row of each event id."""
     return _timed(rows, late).dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else rows.dropDuplicates(["event_id"])
-
-
-ROUTE = "mission long, found boolean, cost double, path array<long>"
-
-
-def repaired_routes(updates: DataFrame, graph: dict[int, pd.DataFrame], ends: dict[int, tuple[int, int]]) -> DataFrame:
-    """A stream of cost changes (mission, src, dst, cost) to each mission's repaired route.
-
-    ``graph``: edges (src, dst, cost) of each mission, a few thousand rows each; ``ends``: its start and goal. A mission's search state is kept between
-    batches, so a change costs what it touches. Changes of one batch are applied together, in the order of (src, dst, cost).
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mission = int(key[0])
-        start, goal = ends[mission]
-        plan = pickle.loads(state.get[0]) if state.exists else Replanner(Graph(graph[mission]), goal)
-        changes = pd.concat(list(batches)).sort_values(["src", "dst", "cost"])
-        plan.change([(int(s), int(d), float(c)) for s, d, c in changes[["src", "dst", "cost"]].itertuples(index=False)])
-        state.update((pickle.dumps(plan),))
-        found = plan.path(start)
-        yield pd.DataFrame({"mission": [mission], "found": [found is not None], "cost": [found[0] if found else None], "path": [found[1] if found else []]})
-
-    return updates.groupBy("mission").applyInPandasWithState(step, ROUTE, "plan binary", "append", GroupStateTimeout.NoTimeout)
