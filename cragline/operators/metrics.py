@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.functions.hazard import clip
+from cragline.operators.ranks import running
 
 EPS = 1e-6
 
@@ -42,21 +43,20 @@ def soft_dice(p: Column, t: Column) -> Column:
 def auc(rows: DataFrame, by: list[str], p: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by mid-ranks; 0 where a group has one class only.
 
-    Equal scores are summed first, so only distinct scores are ranked: with rounded scores that bounds a group's window.
+    Equal scores are summed first, so only distinct scores are ranked, and no task ranks a large group alone (see ``ranks.running``).
     """
     counts = rows.groupBy(*by, F.col(p).alias("__p")).agg(F.count_if(positive).alias("__a"), F.count_if(~positive).alias("__b"))
-    below = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__below", F.coalesce(F.sum("__b").over(below), F.lit(0)))
-    area = F.sum(F.col("__a") * (F.col("__below") + F.col("__b") / 2.0)) / (F.sum("__a").cast("double") * F.sum("__b"))
+    counts = running(counts, by, "__p", ["__b"])
+    area = F.sum(F.col("__a") * (F.col("before___b") + F.col("__b") / 2.0)) / (F.sum("__a").cast("double") * F.sum("__b"))
     return counts.groupBy(*by).agg(F.when((F.sum("__a") > 0) & (F.sum("__b") > 0), area).otherwise(F.lit(0.0)).alias("auc"))
 
 
 def average_precision(rows: DataFrame, by: list[str], p: str, positive: Column) -> DataFrame:
     """Sum of precision times the step in recall, by descending distinct score."""
-    counts = rows.groupBy(*by, F.col(p).alias("__p")).agg(F.count_if(positive).alias("__a"), F.count(F.lit(1)).alias("__n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__prec", F.sum("__a").over(down) / F.sum("__n").over(down))
-    return counts.groupBy(*by).agg(F.coalesce(F.sum(F.col("__a") * F.col("__prec")) / F.nullif(F.sum("__a"), F.lit(0)), F.lit(0.0)).alias("ap"))
+    counts = rows.groupBy(*by, (-F.col(p)).alias("__p")).agg(F.count_if(positive).alias("__a"), F.count(F.lit(1)).alias("__n"))
+    counts = running(counts, by, "__p", ["__a", "__n"])
+    precision = (F.col("before___a") + F.col("__a")) / (F.col("before___n") + F.col("__n"))
+    return counts.groupBy(*by).agg(F.coalesce(F.sum(F.col("__a") * precision) / F.nullif(F.sum("__a"), F.lit(0)), F.lit(0.0)).alias("ap"))
 
 
 def _edges(bins: int) -> list[float]:

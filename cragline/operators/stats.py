@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cragline.operators.ranks import running
+
 
 def bootstrap_interval(rows: DataFrame, by: list[str], value: str, order: list[str], draws: int = 200, level: float = 0.95) -> DataFrame:
     """mean, low and high of each group from ``draws`` means of resamples with replacement.
@@ -33,13 +35,14 @@ def paired_t(d: Column) -> dict[str, Column]:
 
 
 def wilcoxon(rows: DataFrame, by: list[str], d: str) -> DataFrame:
-    """Signed-rank statistic min(W+, W-) and the number of differences other than 0, by mid-ranks of absolute differences."""
-    rows = rows.where(F.col(d) != 0).withColumn("__a", F.abs(d))
-    low = F.rank().over(Window.partitionBy(*by).orderBy("__a"))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, "__a"))
-    rows = rows.withColumn("__r", low + (ties - 1) / 2.0)
-    plus, minus = F.sum(F.when(F.col(d) > 0, F.col("__r")).otherwise(0.0)), F.sum(F.when(F.col(d) < 0, F.col("__r")).otherwise(0.0))
-    return rows.groupBy(*by).agg(F.least(plus, minus).alias("w"), F.count(F.lit(1)).alias("n"))
+    """Signed-rank statistic min(W+, W-) and the number of differences other than 0, by mid-ranks of absolute differences.
+
+    Equal absolute differences are counted first and share their mid-rank; no task ranks a large group alone (see ``ranks.running``).
+    """
+    counts = rows.where(F.col(d) != 0).groupBy(*by, F.abs(d).alias("__a")).agg(F.count_if(F.col(d) > 0).alias("__plus"), F.count(F.lit(1)).alias("__n"))
+    rank = F.col("before___n") + (F.col("__n") + 1) / 2.0
+    plus, minus = F.sum(F.col("__plus") * rank), F.sum((F.col("__n") - F.col("__plus")) * rank)
+    return running(counts, by, "__a", ["__n"]).groupBy(*by).agg(F.least(plus, minus).alias("w"), F.sum("__n").alias("n"))
 
 
 def _beta(a: float, b: float, x: float) -> float:
