@@ -5,27 +5,41 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cragline.operators.ranks import running
 
 
-def bootstrap_interval(rows: DataFrame, by: list[str], value: str, order: list[str], draws: int = 200, level: float = 0.95) -> DataFrame:
-    """mean, low and high of each group from ``draws`` means of resamples with replacement.
+#: Modulus, multiplier and shift of the numbers that draw weights (the first powers of the multiplier are too small to mix), and the bounds below which Poisson's distribution with mean 1 gives 0, 1, 2, ...
+PRIME, STEP, FIRST, SHIFT = 2**31 - 1, 48271, 16, 16807
+BOUNDS = [int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
 
-    Position i of draw b takes row (b * 7919 + i * 104729 + b * i * 31) mod n, so that any engine draws the same. Groups are small tables of
-    results (one row for each tile, seed or path), numbered in ``order``.
+
+def drawn_weight(key: Column, draw: Column, draws: int) -> Column:
+    """How often a row is in a resample: Poisson with mean 1, from (key * STEP^(draw + FIRST) + SHIFT * (draw + 1)) mod PRIME, so that any engine draws the same."""
+    powers = F.array(*[F.lit(pow(STEP, b + FIRST, PRIME)).cast("long") for b in range(draws)])
+    number = F.pmod(F.pmod(key, F.lit(PRIME)) * F.get(powers, draw) + SHIFT * (draw + 1), F.lit(PRIME))
+    out = F.when(number < BOUNDS[0], 0)
+    for k, bound in enumerate(BOUNDS[1:], 1):
+        out = out.when(number < bound, k)
+    return out.otherwise(len(BOUNDS))
+
+
+def bootstrap_interval(rows: DataFrame, by: list[str], value: str, key: str, draws: int = 200, level: float = 0.95) -> DataFrame:
+    """mean, low and high of each group from the means of ``draws`` resamples in which each row has a whole weight of its own.
+
+    A row's weights follow from its integer ``key`` alone (see ``drawn_weight``; rows of one key share them), so resamples are weighted sums: summed
+    where the rows lie, a row for each group, resample and task is shuffled, and nothing is joined, ordered or numbered, whatever a group's size. Null values
+    don't count; resamples without a row are left out, limits are linear between the nearest means. Draw -1 stands for the rows themselves.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = rows.select(*by, F.col(value).alias("__v"), (F.row_number().over(w) - 1).cast("long").alias("__i"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("__n"))
-    b = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("__b")
-    asked = rows.select(*by, "__i", "__n", b).withColumn("__i", (F.col("__b") * 7919 + F.col("__i") * 104729 + F.col("__b") * F.col("__i") * 31) % F.col("__n"))
-    means = asked.join(rows.drop("__n"), [*by, "__i"]).groupBy(*by, "__b").agg(F.avg("__v").alias("__m"))
-    edge = (1 - level) / 2
-    limits = means.groupBy(*by).agg(F.percentile("__m", F.lit(edge)).alias("low"), F.percentile("__m", F.lit(1 - edge)).alias("high"))
-    return rows.groupBy(*by).agg(F.avg("__v").alias("mean")).join(limits, by) if by else rows.agg(F.avg("__v").alias("mean")).crossJoin(limits)
+    given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), F.col(key).cast("long").alias("__k"), F.explode(F.sequence(F.lit(-1), F.lit(draws - 1))).alias("__b"))
+    given = given.select(*by, "__b", "__v", F.when(F.col("__b") < 0, 1).otherwise(drawn_weight(F.col("__k"), F.col("__b"), draws)).alias("__w")).where("__w > 0")
+    means = given.groupBy(*by, "__b").agg((F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("__m"))
+    drawn, edge = F.when(F.col("__b") >= 0, F.col("__m")), (1 - level) / 2
+    found = means.groupBy(*by).agg(F.max(F.when(F.col("__b") < 0, F.col("__m"))).alias("mean"), F.percentile(drawn, F.lit(edge)).alias("low"), F.percentile(drawn, F.lit(1 - edge)).alias("high"))
+    return found.where("mean IS NOT NULL")
 
 
 def paired_t(d: Column) -> dict[str, Column]:

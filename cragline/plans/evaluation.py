@@ -104,12 +104,17 @@ def m12_temperature_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(stats.fitted_temperature(rows, "z", "y"),)], "temperature double").select(r(F.col("temperature")).alias("temperature"))
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS v FROM customer GROUP BY 1), o AS (SELECT k % 5 AS g, v, row_number() OVER (PARTITION BY k % 5 ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY k % 5) AS n FROM c),
- b AS (SELECT a.g, b, avg(o.v) AS mean FROM (SELECT g, b, (b * 7919 + i * 104729 + b * i * 31) % n AS i FROM o, range(0, 200) r(b)) a JOIN o ON o.g = a.g AND o.i = a.i GROUP BY a.g, b)
+#: Resamples of the rows of o (g, k, v): each row's whole weight in each, by the same numbers as in Spark.
+RESAMPLED = f"""draws AS (SELECT 0 AS b, {pow(stats.STEP, stats.FIRST, stats.PRIME)}::BIGINT AS m UNION ALL SELECT b + 1, (m * {stats.STEP}) % {stats.PRIME} FROM draws WHERE b < 199),
+ drawn AS (SELECT g, b, v, (k * m + {stats.SHIFT} * (b + 1)) % {stats.PRIME} AS u FROM o, draws),
+ b AS (SELECT g, b, sum(w * v) / nullif(sum(w), 0) AS mean FROM (SELECT g, b, v, {' + '.join(f'CAST(u >= {x} AS INT)' for x in stats.BOUNDS)} AS w FROM drawn) GROUP BY g, b)"""
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT c_nationkey % 5 AS g, c_custkey AS k, c_acctbal AS v FROM customer), {RESAMPLED}
  SELECT CAST(g AS INT) AS g, round(max(o.v), 4) AS mean, round(quantile_cont(b.mean, 0.025), 4) AS low, round(quantile_cont(b.mean, 0.975), 4) AS high FROM b JOIN (SELECT g, avg(v) AS v FROM o GROUP BY g) o USING (g) GROUP BY g""")
 def m13_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 6).alias("v")).withColumn("g", (F.col("k") % 5).cast("int"))
-    return stats.bootstrap_interval(rows, ["g"], "v", ["k"]).select("g", *[r(F.col(c), 4).alias(c) for c in ("mean", "low", "high")])
+    rows = table(spark, d, "customer").select((F.col("c_nationkey") % 5).cast("int").alias("g"), "c_custkey", "c_acctbal")
+    return stats.bootstrap_interval(rows, ["g"], "c_acctbal", "c_custkey").select("g", *[r(F.col(c), 4).alias(c) for c in ("mean", "low", "high")])
 
 
 PAIRS = "pairs AS (SELECT k, a - b AS d, k % 2 AS g FROM (SELECT c_nationkey AS k, avg(c_acctbal) AS a FROM customer GROUP BY 1) JOIN (SELECT s_nationkey AS k, avg(s_acctbal) AS b FROM supplier GROUP BY 1) USING (k))"
@@ -133,8 +138,7 @@ def m15_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Student's t by its finite sums for whole degrees of freedom (v), and the error function by its series; independent of the operator's continued fraction.
-SIGNIFICANCE = f"""WITH {PAIRS}, o AS (SELECT g, d AS v, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM pairs),
- b AS (SELECT a.g, b, avg(o.v) AS mean FROM (SELECT g, b, (b * 7919 + i * 104729 + b * i * 31) % n AS i FROM o, range(0, 200) r(b)) a JOIN o ON o.g = a.g AND o.i = a.i GROUP BY a.g, b),
+SIGNIFICANCE = f"""WITH RECURSIVE {PAIRS}, o AS (SELECT g, k, d AS v FROM pairs), {RESAMPLED},
  ends AS (SELECT g, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM b GROUP BY g),
  t AS (SELECT g, avg(d) AS mean, atan(abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) / sqrt(count(*) - 1)) AS a, count(*) - 1 AS v FROM pairs GROUP BY g),
  terms AS (SELECT g, a, v, CASE WHEN v % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos(a), 2 * j) ELSE sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos(a), 2 * j + 1) END AS term
@@ -152,7 +156,7 @@ def m16_significance_table(spark: SparkSession, d: str) -> DataFrame:
     """Mean difference, interval, p-values of both tests and stars for each condition."""
     pairs = _pairs(spark, d)
     t = stats.paired_t(F.col("d"))
-    out = pairs.groupBy("g").agg(t["t"].alias("t"), t["df"].alias("df")).join(stats.bootstrap_interval(pairs, ["g"], "d", ["k"]), "g").join(stats.wilcoxon(pairs, ["g"], "d"), "g")
+    out = pairs.groupBy("g").agg(t["t"].alias("t"), t["df"].alias("df")).join(stats.bootstrap_interval(pairs, ["g"], "d", "k"), "g").join(stats.wilcoxon(pairs, ["g"], "d"), "g")
     out = out.withColumn("p", stats.t_p_value("t", "df")).withColumn("p_rank", stats.wilcoxon_p_value("w", "n"))
     return out.select("g", *[r(F.col(c), 4).alias(c) for c in ("mean", "low", "high")], r(F.col("p")).alias("p"), r(F.col("p_rank")).alias("p_rank"), hz.stars(F.col("p")).alias("stars"),
                       F.format_string("%.4f [%.4f, %.4f]", "mean", "low", "high").alias("text"))

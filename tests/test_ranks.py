@@ -56,3 +56,30 @@ def test_one_group_of_different_scores_is_spread(spark, by_ranges, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = [r[1] for r in seen[0].groupBy("__part").count().collect()]
     assert total == rows.where("y").count() and len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
+def test_resamples_in_one_aggregate(spark):
+    draw = np.random.default_rng(2)
+    values = {1: draw.normal(5, 2, 400), 2: draw.exponential(1, 900), 3: np.array([4.0])}
+    rows = [(g, 1000 * g + i, float(v)) for g, x in values.items() for i, v in enumerate(x)] + [(1, 5000, None)]
+    table = spark.createDataFrame(rows, "g int, k long, v double").repartition(6)
+    frame = stats.bootstrap_interval(table, ["g"], "v", "k")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") == 2  # the second is of a row for each group and resample
+    got = {r.g: r for r in frame.collect()}
+    for g, x in values.items():
+        if len(x) > 1:  # the spread is that of the mean
+            error = x.std() / np.sqrt(len(x))
+            assert np.isclose(got[g].mean, x.mean()) and abs((got[g].high - got[g].low) / (2 * 1.96 * error) - 1) < 0.25
+    assert (got[3].mean, got[3].low, got[3].high) == (4.0, 4.0, 4.0)
+    whole = stats.bootstrap_interval(table.where("g = 1"), [], "v", "k").first()
+    assert np.allclose([whole.low, whole.high], [got[1].low, got[1].high])
+    assert stats.bootstrap_interval(table.limit(0), ["g"], "v", "k").count() == 0
+
+
+def test_weights_are_those_of_poisson(spark):
+    keys = spark.range(20_000)
+    row = keys.select(*[stats.drawn_weight(F.col("id"), F.lit(b), 200).alias(f"w{b}") for b in (0, 7, 199)]).toPandas()
+    for c in row:
+        assert abs(row[c].mean() - 1) < 0.03 and abs(row[c].var() - 1) < 0.06
+    assert abs(np.corrcoef(row.T.to_numpy())[0, 1]) < 0.03
