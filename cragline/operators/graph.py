@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragline.operators.nearest import nearest_lower
 
 #: Nodes of a tile that are compared with as many others in one task, about.
 BLOCK = 2048
@@ -137,21 +138,10 @@ def bridges(touching: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def nearest_bridges(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """For tiles without bridges: components joined one by one to the one of the least id, by their nearest pair of nodes."""
+    """For tiles without bridges: each component joined to those of lesser ids by its nearest pair of nodes (see ``nearest.nearest_lower``)."""
     def run(table: pa.Table) -> pa.Table:
-        ids, part = table["id"].to_numpy(), table["component"].to_numpy()
-        at = np.stack([table["px"].to_numpy(), table["py"].to_numpy()], 1)
-        order = np.argsort(ids)
-        ids, part, at = ids[order], part[order], at[order]
-        src, dst, joined = [], [], part == part.min()
-        for c in np.unique(part)[1:]:
-            other = np.flatnonzero(part == c)
-            mine = np.flatnonzero(joined)
-            d2 = ((at[other][:, None] - at[mine][None]) ** 2).sum(-1)
-            i, j = np.unravel_index(np.argmin(d2), d2.shape)
-            src += [ids[mine[j]], ids[other[i]]]
-            dst += [ids[other[i]], ids[mine[j]]]
-            joined[other] = True
+        _, other, mine = nearest_lower(table["id"].to_numpy(), table["component"].to_numpy(), np.stack([table["px"].to_numpy(), table["py"].to_numpy()], 1))
+        src, dst = np.stack([mine, other], 1).ravel(), np.stack([other, mine], 1).ravel()
         return pa.table([pa.array([table["tile"][0].as_py()] * len(src), pa.int64()), pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["tile", "src", "dst"])
 
     rows = nodes.select("tile", "id", "px", "py").join(parts, ["tile", "id"])
