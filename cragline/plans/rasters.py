@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.functions import hazard as hz
-from cragline.operators import raster
+from cragline.operators import grids, raster
 from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
 from cragline.plans.registry import query, r
 
@@ -197,3 +197,33 @@ def flagship_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Image tiles to physics maps, block complexity and the number of blocks of each tier."""
     complexity = raster.block_mean(physics_bundle(_image(spark, d)), 4, "h_physics", 16)
     return complexity.groupBy("tile", hz.tier(F.round("mean", 5)).alias("tier")).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+#: Target pixels with their place in the source: other pixel sizes, offsets and, for bilinear, those of the four neighbours that hold a value.
+_PLACED = """g AS (SELECT DISTINCT tile, 100.0 + tile % 7 AS s0, 50.0 AS s3, 100.0 + tile % 7 - 1.30311 AS t0, 51.17371 AS t3 FROM elevation),
+ ask AS (SELECT tile, a.row, b.col, (t0 + 1.37189 * (b.col + 0.5) - s0) / 2.0 AS u, (t3 - 1.43317 * (a.row + 0.5) - s3) / -2.0 AS w FROM g, range(0, 25) a(row), range(0, 24) b(col)),"""
+
+
+@query(with_tables(f"""WITH {_PLACED} near AS (SELECT q.tile, q.row, q.col, sum(z * wt) / sum(wt) AS v FROM (SELECT tile, row, col, CAST(floor(w - 0.5) AS INT) + i AS y, CAST(floor(u - 0.5) AS INT) + j AS x,
+ (CASE WHEN i = 1 THEN w - 0.5 - floor(w - 0.5) ELSE 1 - (w - 0.5 - floor(w - 0.5)) END) * (CASE WHEN j = 1 THEN u - 0.5 - floor(u - 0.5) ELSE 1 - (u - 0.5 - floor(u - 0.5)) END) AS wt
+ FROM ask, range(0, 2) p(i), range(0, 2) s(j) WHERE u >= 0 AND u < 16 AND w >= 0 AND w < 16) q JOIN elevation e ON e.tile = q.tile AND e.y = q.y AND e.x = q.x WHERE z IS NOT NULL AND wt > 0 GROUP BY ALL)
+ SELECT tile AS raster, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(v, 6) AS v FROM ask LEFT JOIN near USING (tile, row, col)""", "elevation"))
+def r08_aligned_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Elevation rasters (2 m pixels) on another grid of each (1.37189 m by 1.43317 m, shifted), in tiles of 8 by 8 with borrowed borders."""
+    return grids.aligned(*_gridded(spark, d), "bilinear", 8).withColumn("v", r(F.col("v")))
+
+
+@query(with_tables(f"""WITH {_PLACED} near AS (SELECT q.tile, q.row, q.col, z AS v FROM ask q JOIN elevation e ON e.tile = q.tile AND e.y = floor(w) AND e.x = floor(u))
+ SELECT tile AS raster, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(v, 6) AS v FROM ask LEFT JOIN near USING (tile, row, col)""", "elevation"))
+def r08_nearest_grid(spark: SparkSession, d: str) -> DataFrame:
+    return grids.aligned(*_gridded(spark, d), "nearest", 8).withColumn("v", r(F.col("v")))
+
+
+def _gridded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = elevation(spark, d)
+    number = lambda x: F.lit(float(x))
+    left = 100.0 + F.col("tile") % 7
+    source, target = (left, number(2), number(0), number(50), number(0), number(-2)), (left - 1.30311, number(1.37189), number(0), number(51.17371), number(0), number(-1.43317))
+    table = rows.select("tile").distinct().select(F.col("tile").alias("raster"), F.lit(16).alias("height"), F.lit(16).alias("width"), *[c.alias(f"s{i}") for i, c in enumerate(source)],
+                                                  F.lit(25).alias("to_height"), F.lit(24).alias("to_width"), *[c.alias(f"t{i}") for i, c in enumerate(target)])
+    return rows.select(F.col("tile").alias("raster"), F.col("y").alias("row"), F.col("x").alias("col"), F.col("z").alias("v")), table
