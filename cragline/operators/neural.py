@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,32 @@ def fusion_maps(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]) ->
     return rows.select("tile", "y", "x", "v", "h_learned").groupBy("tile").applyInArrow(run, "tile long, y int, x int, h_physics double, alpha double, h_final double")
 
 
+MAPS = ("slope", "roughness", "discontinuity", "h_physics", "h_learned", "alpha", "h_final")
+
+
+def end_to_end(rows: DataFrame, learn: Callable[[np.ndarray], np.ndarray], weigh: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], share: float = 0.1) -> DataFrame:
+    """(tile, y, x, maps, penalty): all hazard maps of each image tile (tile, y, x, v) as one struct, from one pass over the tile.
+
+    ``learn`` gives the learned risk of an image and ``weigh`` the fusion weight from the image, the physics map and the learned one; both are injected and travel
+    with the tasks. ``penalty`` is ``share`` times the tile's mean of weight times (1 - weight). Pixels a tile doesn't hold count as 0.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        image = np.zeros((y.max() + 1, x.max() + 1))
+        image[y, x] = table["v"].to_numpy()
+        slope, rough, broken = slope_proxy(image), roughness_proxy(image), discontinuity_proxy(image)
+        physics = np.clip(0.4 * slope + 0.3 * rough + 0.3 * broken, 0, 1)
+        learned = learn(image)
+        alpha = weigh(image, physics, learned)
+        found = (slope, rough, broken, physics, learned, alpha, alpha * learned + (1 - alpha) * physics)
+        maps = pa.StructArray.from_arrays([pa.array(m[y, x]) for m in found], names=list(MAPS))
+        penalty = share * float((alpha * (1 - alpha)).mean())
+        return pa.table([table["tile"], table["y"], table["x"], maps, pa.array(np.full(len(y), penalty))], names=["tile", "y", "x", "maps", "penalty"])
+
+    kind = ", ".join(f"{m}: double" for m in MAPS)
+    return rows.select("tile", "y", "x", "v").groupBy("tile").applyInArrow(run, f"tile long, y int, x int, maps struct<{kind}>, penalty double")
+
+
 def gelu(x: np.ndarray) -> np.ndarray:
     return 0.5 * x * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
 

@@ -315,11 +315,31 @@ def m43_capped_sample(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(r(F.avg("p")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a / 10.0 AS w1, b / 10.0 AS w2, (10 - a - b) / 10.0 AS w3 FROM range(0, 11) x(a), range(0, 11) y(b) WHERE 10 - a - b >= 0.5 AND 10 - a - b <= 5 AND a >= 1 AND b >= 1")
+def weight_grid() -> list[tuple[float, float, float]]:
+    """Weights that sum to 1 with the third from 0.05 to 0.5, from whole tenths."""
+    return [(a / 10, b / 10, (10 - a - b) / 10) for a in range(1, 11) for b in range(1, 11) if 0.5 <= 10 - a - b <= 5]
+
+
+_GRID = ", ".join(map(str, weight_grid()))
+
+
+@query(with_tables(f"""SELECT w1, w2, w3, round(avg(h), 6) AS mean, round(corr(h, f7), 6) AS r, round(avg(CASE WHEN f7 > 0.7 THEN h END) - avg(CASE WHEN f7 <= 0.7 THEN h END), 6) AS gap
+ FROM (SELECT w1, w2, w3, f7, least(greatest(CAST(w1 AS DOUBLE) * s + CAST(w2 AS DOUBLE) * r + CAST(w3 AS DOUBLE) * d, 0), 1) AS h FROM node, (VALUES {_GRID}) g(w1, w2, w3)) GROUP BY w1, w2, w3""", "node"))
 def o03_weight_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Weights that sum to 1 with the third between 0.05 and 0.5, from whole tenths."""
-    grid = spark.range(1, 11).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("b"))
-    return grid.where("10 - a - b >= 0.5 AND 10 - a - b <= 5").select((F.col("a") / 10.0).alias("w1"), (F.col("b") / 10.0).alias("w2"), ((10 - F.col("a") - F.col("b")) / 10.0).alias("w3"))
+    """Every setting of the grid scored on all nodes: its mean, correlation with the risk, and gap between hazardous and safe ones. One aggregate; the grid is a literal in each row."""
+    grid = F.array(*[F.struct(*[F.lit(v).alias(f"w{i + 1}") for i, v in enumerate(w)]) for w in weight_grid()])
+    rows = nodes(spark, d).select("s", "r", "d", "f7", F.explode(grid).alias("w")).select("f7", "w.*", hz.clip(F.col("w.w1") * F.col("s") + F.col("w.w2") * F.col("r") + F.col("w.w3") * F.col("d"), 0.0, 1.0).alias("h"))
+    gap = F.avg(F.when(F.col("f7") > 0.7, F.col("h"))) - F.avg(F.when(F.col("f7") <= 0.7, F.col("h")))
+    return rows.groupBy("w1", "w2", "w3").agg(r(F.avg("h")).alias("mean"), r(F.corr("h", "f7")).alias("r"), r(gap).alias("gap"))
+
+
+@query(with_tables("""SELECT i.tile AS tile, i.split AS inside, o.split AS outside, round(i.mae, 6) AS mae_inside, round(o.mae, 6) AS mae_outside, round(o.mae - i.mae, 6) AS gap FROM (SELECT tile, split, avg(abs(p - t)) AS mae FROM score WHERE split = 'F' GROUP BY ALL) i
+ JOIN (SELECT tile, split, avg(abs(p - t)) AS mae FROM score WHERE split <> 'F' GROUP BY ALL) o USING (tile)""", "score"))
+def j16_domain_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The error of each tile inside the distribution beside that of each outside split of it."""
+    errors = scores(spark, d).groupBy("tile", "split").agg(F.avg(F.abs(F.col("p") - F.col("t"))).alias("mae"))
+    inside, outside = (errors.where(w).select("tile", F.col("split").alias(n), F.col("mae").alias(f"mae_{n}")) for n, w in (("inside", "split = 'F'"), ("outside", "split <> 'F'")))
+    return inside.join(outside, "tile").select("tile", "inside", "outside", r(F.col("mae_inside")).alias("mae_inside"), r(F.col("mae_outside")).alias("mae_outside"), r(F.col("mae_outside") - F.col("mae_inside")).alias("gap"))
 
 
 ABLATION = "p > th AND t > 0.7"

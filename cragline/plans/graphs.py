@@ -11,7 +11,7 @@ from cragline.functions import hazard as hz
 from cragline.operators import graph as g
 from cragline.operators import neural, planning, replanning, segment
 from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
-from cragline.plans.rasters import _image
+from cragline.plans.rasters import BUNDLE, _image
 from cragline.plans.registry import query, r
 
 DIAGONAL = math.sqrt(2 * 16**2)
@@ -303,10 +303,36 @@ def n05_graph_attention(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tile", "id", "head", r(F.col("c0")).alias("c0"), r(F.col("c1")).alias("c1"))
 
 
-@query()
+def _layer_sql(k: int, layer: tuple, source: str) -> str:
+    """A convolution with mirrored borders of the maps ``source`` (tile, y, x, vals) in SQL, as products of patches with rows of weights; rectified, or the logistic function after the last."""
+    weights, _ = layer
+    reach = weights.shape[-1] // 2
+    rows = "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in w.transpose(1, 2, 0).ravel()) + "]" for w in weights) + "]"
+    fold = lambda c: f"15 - abs(15 - abs(c.{c} + k.d{c}))"
+    value = "1 / (1 + exp(-list_inner_product(patch, w)))" if weights.shape[0] == 1 else "greatest(list_inner_product(patch, w), 0)"
+    return (f"l{k} AS MATERIALIZED (SELECT tile, y, x, [{value} FOR w IN {rows}] AS vals FROM (SELECT c.tile, c.y, c.x, flatten(list(p.vals ORDER BY k.dy, k.dx)) AS patch FROM {source} c"
+            f" CROSS JOIN (SELECT dy, dx FROM range({-reach}, {reach + 1}) a(dy), range({-reach}, {reach + 1}) b(dx)) k JOIN {source} p ON p.tile = c.tile AND p.y = {fold('y')} AND p.x = {fold('x')} GROUP BY c.tile, c.y, c.x))")
+
+
+FUSION = neural.seeded_fusion(1)
+FUSED = (f"{BUNDLE}, l0 AS MATERIALIZED (SELECT tile, y, x, [m.v, b.h, 1 - m.v] AS vals FROM image m JOIN bundle b USING (tile, y, x)), "
+         + ", ".join(_layer_sql(k + 1, layer, f"l{k}") for k, layer in enumerate(FUSION))
+         + ", fused AS (SELECT b.*, 1 - m.v AS learned, a.vals[1] AS alpha, a.vals[1] * (1 - m.v) + (1 - a.vals[1]) * b.h AS final FROM bundle b JOIN image m USING (tile, y, x) JOIN l3 a USING (tile, y, x))")
+
+
+@query(with_tables(f"WITH {FUSED} SELECT tile, y, x, round(h, 5) AS h_physics, round(alpha, 5) AS alpha, round(final, 5) AS h_final FROM fused", "pixel"))
 def n03_fusion_map(spark: SparkSession, d: str) -> DataFrame:
     """Fusion weights of a tile's image, physics and learned maps by the three small convolutions, and the fused map."""
-    return neural.fusion_maps(_image(spark, d).withColumn("h_learned", 1 - F.col("v")), neural.seeded_fusion(1))
+    out = neural.fusion_maps(_image(spark, d).withColumn("h_learned", 1 - F.col("v")), FUSION)
+    return out.select("tile", "y", "x", *[r(F.col(c), 5).alias(c) for c in ("h_physics", "alpha", "h_final")])
+
+
+@query(with_tables(f"WITH {FUSED} SELECT tile, y, x, round(s, 5) AS slope, round(r, 5) AS roughness, round(d, 5) AS discontinuity, round(h, 5) AS h_physics, round(learned, 5) AS h_learned, round(alpha, 5) AS alpha, round(final, 5) AS h_final,"
+                   " round(0.1 * avg(alpha * (1 - alpha)) OVER (PARTITION BY tile), 6) AS penalty FROM fused", "pixel"))
+def n04_u05_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """All maps of a tile from one pass, with an injected risk model (dark pixels are risky) and fusion model."""
+    out = neural.end_to_end(_image(spark, d), lambda image: 1 - image, lambda image, physics, learned: neural.fusion_weight(image, physics, learned, FUSION))
+    return out.select("tile", "y", "x", *[r(F.col(f"maps.{c}"), 5).alias(c) for c in neural.MAPS], r(F.col("penalty")).alias("penalty"))
 
 
 @query()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cragline.plans.fixtures import nodes, scores, table, with_tables
+from cragline.plans.fixtures import elevation, nodes, scores, table, with_tables
 from cragline.plans.registry import query, r
+from cragline.sources.rasters import RasterFolder, as_rasters
 from cragline.sources.shared import new_folder
 from cragline.sources import catalog as c
 
@@ -163,3 +164,22 @@ def o01_split_capacity(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT to_json({'tile': label, 'n': count(*)}) AS record FROM embeddings GROUP BY label")
 def s15_json_records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct(F.col("label").alias("tile"), "n")).alias("record"))
+
+
+@query("SELECT p_brand AS folder, p_name || '-' || p_partkey || '.tif' AS file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_name || '-' || p_partkey || '.tif') AS INT) AS place FROM part WHERE p_size % 4 <> 0")
+def t04_sorted_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each folder in the order of their names, as a scan meets them."""
+    files = table(spark, d, "part").where("p_size % 4 <> 0").select(F.col("p_brand").alias("folder"), F.concat("p_name", F.lit("-"), "p_partkey", F.lit(".tif")).alias("file"))
+    return files.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("file")))
+
+
+@query(with_tables("SELECT CAST(tile AS VARCHAR) AS raster, 16 AS height, 16 AS width, count(z) AS n, round(sum(z), 4) AS total FROM elevation GROUP BY tile", "elevation"))
+def s06_s10_raster_files(spark: SparkSession, d: str) -> DataFrame:
+    """Elevation tiles written as typed rasters with a no-data value, and the folder scanned back."""
+    spark.dataSource.register(RasterFolder)
+    folder = new_folder(spark, "rasters")
+    tiles = elevation(spark, d).select(F.col("tile").alias("raster"), F.col("y").alias("row"), F.col("x").alias("col"), F.col("z").alias("v"))
+    as_rasters(tiles, 16, 16).write.format("raster_folder").mode("append").option("dtype", "float64").option("nodata", -9999).save(folder)
+    found = spark.read.format("raster_folder").option("path", folder).option("size", 16).load().where("status = 'ok'")
+    rows = found.select(F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("raster"), "height", "width", F.explode("values").alias("z"))
+    return rows.groupBy("raster", "height", "width").agg(F.count("z").alias("n"), r(F.sum("z"), 4).alias("total"))

@@ -46,14 +46,6 @@ class Scan(DataSourceReader):
         self.size = int(size) if size else None
         self.wanted: dict[str, object] = {}
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Equalities on height, width and status are answered here: a file of another size is known by its header and not read on."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("height",), ("width",), ("status",)) and f.attribute[0] not in self.wanted:
-                self.wanted[f.attribute[0]] = f.value
-            else:
-                yield f
-
     def partitions(self) -> Sequence[InputPartition]:
         """Files in the order of their names, ``files`` a task; a directory that isn't there is reported by a row."""
         out: list[InputPartition] = []
@@ -117,6 +109,18 @@ class Scan(DataSourceReader):
             return json.loads(file.read().decode()).get("nodata")
 
 
+class PushedScan(Scan):
+    """A scan that takes filters; Spark allows one only with ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Equalities on height, width and status are answered here: a file of another size is known by its header and not read on."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute in (("height",), ("width",), ("status",)) and f.attribute[0] not in self.wanted:
+                self.wanted[f.attribute[0]] = f.value
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Staged files and the names they get."""
@@ -188,7 +192,7 @@ class Sink(DataSourceArrowWriter):
 class RasterFolder(DataSource):
     """format("raster_folder").
 
-    Reading: ``dirs`` ("a;b"), ``ending``, ``size`` (files of another side length are reported, not read), ``files`` (of a task). A row for each raster row of a file with status
+    Reading: ``dirs`` ("a;b"), ``ending``, ``size`` (files of another side length are reported, not read), ``files`` (of a task), ``push`` (filters on size and status go into the scan; needs the session's setting for it). A row for each raster row of a file with status
     ``ok``, and one row for each directory that is missing and each file of the wrong size or that can't be read. Pixels of the no-data value are null.
     Writing (append or overwrite): rows (raster string, values array<array<double>>), a file each; ``path``, ``dtype``, ``nodata``.
     """
@@ -201,7 +205,7 @@ class RasterFolder(DataSource):
         return SCANNED
 
     def reader(self, schema) -> DataSourceReader:
-        return Scan(self.options)
+        return PushedScan(self.options) if self.options.get("push") == "true" else Scan(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return Sink(self.options, overwrite)

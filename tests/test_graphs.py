@@ -189,3 +189,23 @@ def test_affinity_in_several_blocks(spark, monkeypatch):
             for _, other in sorted(near)[:3]:
                 want |= {(tile, a.id, other), (tile, other, a.id)}
     assert got == want
+
+
+def test_all_maps_from_one_pass(spark):
+    from cragline.functions import hazard as hz
+
+    draw = np.random.default_rng(3)
+    rows = [(t, y, x, float(draw.random())) for t in (1, 2) for y in range(12) for x in range(12)]
+    image = spark.createDataFrame(rows, "tile long, y int, x int, v double")
+    layers = neural.seeded_fusion(4)
+    out = neural.end_to_end(image, lambda v: v**2, lambda v, h, c: neural.fusion_weight(v, h, c, layers))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    got = {(r.tile, r.y, r.x): (*r.maps, r.penalty) for r in out.collect()}
+    parts = raster.stencils(image, ["slope", "roughness", "discontinuity"]).withColumn("h", hz.physics(F.col("slope"), F.col("roughness"), F.col("discontinuity")))
+    weights = {(r.tile, r.y, r.x): r for r in neural.fusion_maps(image.withColumn("h_learned", F.col("v") ** 2), layers).collect()}
+    penalty = {t: 0.1 * np.mean([w.alpha * (1 - w.alpha) for k, w in weights.items() if k[0] == t]) for t in (1, 2)}
+    value = {r[:3]: r[3] for r in rows}
+    for p in parts.collect():
+        w = weights[p.tile, p.y, p.x]
+        assert np.allclose(got[p.tile, p.y, p.x], (p.slope, p.roughness, p.discontinuity, p.h, value[p.tile, p.y, p.x] ** 2, w.alpha, w.alpha * value[p.tile, p.y, p.x] ** 2 + (1 - w.alpha) * p.h, penalty[p.tile]), atol=1e-12)

@@ -13,7 +13,7 @@ from cragline.sources.rasters import RasterFolder, as_rasters
 def source(spark):
     spark.dataSource.register(RasterFolder)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    yield spark.read.format("raster_folder")
+    yield spark.read.format("raster_folder").option("push", "true")
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
