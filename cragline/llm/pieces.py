@@ -5,7 +5,8 @@ character to a space mark, or holds a line feed, so a text falls into units ther
 unit of a slice is encoded once. Units are encoded together by merge rounds over one flat symbol array: the best
 pair rank of each unit, all its leftmost non-overlapping pairs of that rank merged at once, compaction, until
 no pair remains. Where a merged piece could form a pair of an equal or better rank than its own, only
-the leftmost pair is merged in that round, as a priority queue would. Characters that are no piece become byte pieces.
+the leftmost pair is merged in that round, as a priority queue would. A very long unit, such as a page of
+base64, is merged from such a queue itself. Characters that are no piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from cragline.llm._units import SLICE, by_unit, written
 from cragline.llm._words import flat, gather, pieces
 
 MARK = "▁"
+#: Symbols of a unit from which its merges are taken from a queue of its own: rounds over it would cost the square of its length.
+LONG = 512
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -60,6 +64,7 @@ class PieceModel:
                             self.hasty[part] = True
         self.pairs = np.array(sorted(pairs), np.int64)
         self.made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+        self.made_of = pairs
         self.ranks = np.r_[ranks, np.zeros(self.symbols - size, ranks.dtype)].astype(np.int64)
         self.codes = np.full(0x110000, self.symbols - 1, np.int64)
         for p, i in symbol.items():
@@ -89,6 +94,15 @@ class PieceModel:
         inner = np.flatnonzero(unit[:-1] == unit[1:])
         piece[inner] = self._pairs(symbols[inner], symbols[inner + 1])
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if (lengths >= LONG).any():
+            ends = np.cumsum(lengths)
+            for k in np.flatnonzero(lengths >= LONG).tolist():
+                own = slice(ends[k] - lengths[k], ends[k])
+                left = self._merged(symbols[own].tolist(), piece[own].tolist())
+                at = np.flatnonzero(left >= 0)
+                done.append((left[at], np.full(len(at), k), place[own][at]))
+            short = (lengths < LONG)[unit]
+            symbols, unit, place, piece = (x[short] for x in (symbols, unit, place, piece))
         while len(symbols):
             rank = np.where(piece >= 0, self.ranks[piece], NO_PAIR)
             head = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -129,6 +143,25 @@ class PieceModel:
         place = np.flatnonzero(whole >= 0)
         return self._split(whole[place], first[place], points[place], len(lengths))
 
+    def _merged(self, symbols: list[int], piece: list[int]) -> np.ndarray:
+        """The symbols of one long unit after all merges, each at its first character's place and -1 elsewhere: pairs wait in a queue by rank and place."""
+        rank, size, n = self.ranks, self.symbols, len(symbols)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        queue = [(int(rank[p]), i, symbols[i], symbols[i + 1], p) for i, p in enumerate(piece) if p >= 0]
+        heapify(queue)
+        while queue:
+            _, i, a, b, p = heappop(queue)
+            j = after[i]
+            if symbols[i] != a or j < 0 or symbols[j] != b:
+                continue  # one of the two has been merged meanwhile
+            symbols[i], symbols[j], after[i] = p, -1, after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (q := self.made_of.get(symbols[x] * size + symbols[y])) is not None:
+                    heappush(queue, (int(rank[q]), x, symbols[x], symbols[y], q))
+        return np.array(symbols, np.int64)
+
     def _split(self, symbols: np.ndarray, unit: np.ndarray, points: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and unit offsets; symbols that are no piece are single characters and become their bytes."""
         bare = np.flatnonzero(symbols >= self.size)

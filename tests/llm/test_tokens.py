@@ -34,6 +34,23 @@ def test_pieces_equal_the_library():
     assert len(model.encode(pa.array([], pa.string()))[0]) == 0
 
 
+def test_long_words_equal_the_library_in_bounded_time(monkeypatch):
+    import time
+
+    model, library = pieces.piece_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    draw = random.Random(8)
+    long = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=60_000)), "".join(draw.choices("ABCabc0189+/=", k=20_000)), "x" * 9000, "ab" * 5000, "中文é😀" * 1000, "=-" * 3000 + " short " + "the" * 3000, "▁" * 2000]
+    began = time.perf_counter()
+    model.encode(pa.array(long[:1], pa.string()))
+    assert time.perf_counter() - began < 5
+    for few in (512, 2):  # all words from the queue, too
+        monkeypatch.setattr(pieces, "LONG", few)
+        rows = long + texts()[:400]
+        ids, offsets = model.encode(pa.array(rows, pa.string()))
+        for k, t in enumerate(rows):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t or ""), t and t[:80]
+
+
 def test_byte_tokens_equal_the_library():
     mine, library = token_files.byte_tokenizer(FILE), Tokenizer.from_file(FILE)
     library.encode_special_tokens = True
