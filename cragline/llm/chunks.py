@@ -2,7 +2,7 @@
 
 A text is cut behind line feeds and before words with a rare first letter, so an equal stretch of two texts gives equal chunks
 wherever it lies. The 64-bit keys of a text's chunks, in order, are its recipe. A recipe that one row alone has is that
-of a different text, and its text isn't moved at all. The chunks of all others are deduplicated by key and bytes, in their task first:
+of a different text (its chunks aren't moved unless very many recipes are repeated). The chunks of all others are deduplicated by key and bytes, in their task first:
 a key under which a single chunk is found is a verified identifier, and equal lists of such identifiers are equal texts. Where different chunks share a key, the
 texts of the recipes that hold it are compared as they are.
 """
