@@ -195,6 +195,7 @@ class RasterFolder(DataSource):
     Reading: ``dirs`` ("a;b"), ``ending``, ``size`` (files of another side length are reported, not read), ``files`` (of a task), ``push`` (filters on size and status go into the scan; needs the session's setting for it). A row for each raster row of a file with status
     ``ok``, and one row for each directory that is missing and each file of the wrong size or that can't be read. Pixels of the no-data value are null.
     Writing (append or overwrite): rows (raster string, values array<array<double>>), a file each; ``path``, ``dtype``, ``nodata``.
+    A write that fails leaves no raster; what tasks stage that still run then lies in a folder ``_staging-...`` that no scan reads.
     """
 
     @classmethod
