@@ -335,18 +335,6 @@ def n04_u05_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return out.select("tile", "y", "x", *[r(F.col(f"maps.{c}"), 5).alias(c) for c in neural.MAPS], r(F.col("penalty")).alias("penalty"))
 
 
-@query()
-def n06_n07_node_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Node risks of the two-layer graph network with seeded weights."""
-    return neural.node_scores(nodes(spark, d), knn(spark, d), PHYS, neural.seeded_network(4, 2))
-
-
-@query()
-def n09_stochastic_passes(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and sample variance of node risks over passes with seeded dropout."""
-    return neural.stochastic_scores(nodes(spark, d), knn(spark, d), PHYS, neural.seeded_network(4, 2), passes=5)
-
-
 @query()
 def g01_g05_segments(spark: SparkSession, d: str) -> DataFrame:
     """Superpixels whose number follows from each tile's budget."""
