@@ -346,7 +346,7 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int
     found = pinned(same_shingles(docs, words, share, found.distinct(), distinct, text, key))
     roots = pinned(components(found))
     nodes = pinned(rooted(distinct, roots))
-    rows = pinned(shared_firsts(marked, nodes))
+    rows = pinned(shared_firsts(marked, nodes, share))
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same_shingles(docs, words, share, all_pairs(rows, share), distinct, text, key))
     found = pinned(found.union(links_to_large(docs, words, share, rows, nodes, text, key)))
     return named(marked.select("key", "node", "fp"), distinct.select("node", "least"), found)
@@ -361,51 +361,66 @@ def rooted(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     return distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def shared_firsts(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, root, size, pos, shingle): the first shingles of each set, where nodes of different components have them among theirs.
+def shared_firsts(marked: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
+    """(node, n, root, size, pos, shingle, early): the first shingles of each set, where nodes of different components have them among theirs.
 
-    Rows that repeat a key and a text repeat theirs; so counts of common shingles are never too small.
+    ``early`` ones are enough for the smaller set of a pair: a set at least as large holds 2 share / (1 + share) of it, so not all of that can lie beyond
+    them. Shingles that are early in no set are left out. Rows that repeat a key and a text repeat theirs; so counts of common shingles are never too small.
     """
     if nodes.count() <= FEW_NODES:  # else they meet by a shuffle
         nodes = F.broadcast(nodes)
     firsts = marked.select(F.col("node").alias("of"), "key", "firsts").join(nodes, (F.col("of") == F.col("node")) & (F.col("key") == F.col("least")))
     rows = firsts.select("node", "n", "root", "size", F.posexplode("firsts").alias("pos", "shingle"))
-    several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"))
+    rows = rows.withColumn("early", F.col("pos") <= F.col("n") - F.ceil(2 * share / (1 + share) * F.col("n") - TINY))
+    several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("early")).where("low <> high AND early").select("shingle"))
     if several.count() <= SHARED:  # else they meet by a shuffle
         several = F.broadcast(several)
     return rows.join(several, "shingle", "left_semi")
 
 
 def fitting(pairs: DataFrame, share: float) -> DataFrame:
-    """(a, b, c, need): pairs (x, y) of rows with different roots whose numbers of shingles, and of those from the first common one on, allow ``share``.
+    """(a, b, c, need): pairs of rows (x, the smaller set's early one, and y) whose numbers of shingles, and of those from the first common one on, allow ``share``.
 
-    c is the number of rows that a pair has. ``need`` is what c must be if it is the number of all first shingles that both have:
-    beyond the first ones of the set whose last one comes earlier, no more can be common than that set still has.
+    c is the number of rows that a pair has. ``need`` is what c must be at least: no more can be common beyond the early shingles
+    of x and the first ones of y than the set still has whose last one comes earlier.
     """
     least = F.lit(share / (1 + share)) * (F.col("x.n") + F.col("y.n")) - TINY
-    sizes = (F.col("x.root") != F.col("y.root")) & (F.col("y.n") + TINY >= share * F.col("x.n")) & (F.col("x.n") + TINY >= share * F.col("y.n"))
-    beyond = F.ceil(share * F.greatest("x.n", "y.n") - TINY) - 1
+    beyond = F.greatest(F.ceil(2 * share / (1 + share) * F.col("x.n") - TINY), F.ceil(share * F.col("y.n") - TINY)) - 1
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - least
-    met = pairs.where(sizes).groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).agg(
+    met = pairs.groupBy(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).agg(
         F.count(F.lit(1)).alias("c"), F.max(least - beyond).alias("need"), F.max(room).alias("room"))
     return met.where("room >= 0").drop("room")
 
 
 def with_top(rows: DataFrame) -> DataFrame:
-    """``rows`` with the root, and the number of nodes, of the component that has the most nodes at each shingle."""
-    top = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size")).groupBy("shingle")
-    return rows.join(top.agg(F.max(F.struct("c", "root", "size")).alias("e")).select("shingle", F.col("e.root").alias("top"), F.col("e.size").alias("top_size")), "shingle")
+    """``rows`` with the root, and the number of nodes, of the component that has the most nodes at each shingle, and whether it is early in one of them."""
+    top = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"), F.max("size").alias("size"), F.max("early").alias("early")).groupBy("shingle")
+    top = top.agg(F.max(F.struct("c", "root", "size", "early")).alias("e"))
+    return rows.join(top.select("shingle", F.col("e.root").alias("top"), F.col("e.size").alias("top_size"), F.col("e.early").alias("top_early")), "shingle")
 
 
-def all_pairs(rows: DataFrame, share: float) -> DataFrame:
-    """(a, b): pairs of nodes of different components that have enough first shingles in common to be links.
+def meetings(rows: DataFrame, share: float) -> DataFrame:
+    """Pairs of rows (structs x and y) with one shingle in common, of different components and fitting sizes: x is an early row of the smaller set (of equal ones the lesser node).
 
     For each shingle only nodes outside its largest component meet others. Where that component has over ``LARGE`` nodes they
-    don't meet its nodes here but in ``links_to_large``; so no node meets more than ``LARGE`` of a component.
+    don't meet its nodes here but in ``links_to_large``; so no node meets more than ``LARGE`` of a component. Sets of one size that have less
+    than ``share`` in common and differ in rare shingles have no early one in common, so a family just below ``share`` doesn't meet at all.
     """
-    near = with_top(rows)
-    pairs = near.where("root <> top").alias("x").join(near.where(f"root <> top OR top_size <= {LARGE}").alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-    return fitting(pairs.where("y.root = y.top OR x.node < y.node"), share).where("c >= need").select("a", "b")
+    near = with_top(rows).select("shingle", (F.col("root") == F.col("top")).alias("at_top"), "top_size", F.struct("node", "n", "root", "pos", "early").alias("z"))
+    free = near.where(f"NOT at_top OR top_size <= {LARGE}")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        left, right = left.where("z.early").select("shingle", F.col("z").alias("x")), right.select(F.col("shingle").alias("same"), F.col("z").alias("y"))
+        order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+        fit = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") + TINY >= share * F.col("y.n"))
+        return left.join(right, (F.col("shingle") == F.col("same")) & order & fit).select("x", "y")
+
+    return joined(near.where("NOT at_top"), free).union(joined(free.where("at_top"), near.where("NOT at_top")))
+
+
+def all_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b): pairs of nodes of different components that have enough first shingles in common to be links, but for those left to ``links_to_large``."""
+    return fitting(meetings(rows, share), share).where("c >= need").select("a", "b")
 
 
 def links_to_large(docs: DataFrame, words: int, share: float, rows: DataFrame, nodes: DataFrame, text: str, key: str) -> DataFrame:
@@ -414,7 +429,7 @@ def links_to_large(docs: DataFrame, words: int, share: float, rows: DataFrame, n
     A component's nodes are dealt into blocks and those that ask for it into parts; each block counts the common shingles of
     all its pairs in one task, exactly, and gives one link for each node and block that has one.
     """
-    asked = pinned(with_top(rows).where(f"root <> top AND top_size > {LARGE}").select("node", "top").distinct())
+    asked = pinned(with_top(rows).where(f"root <> top AND top_size > {LARGE} AND (early OR top_early)").select("node", "top").distinct())
     sizes = asked.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / LARGE).cast("int").alias("parts"))
     members = nodes.join(sizes, nodes["root"] == sizes["top"]).select("node", "top", F.ceil(F.col("size") / LARGE).cast("int").alias("blocks"), "parts")
     members = pinned(members)

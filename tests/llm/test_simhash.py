@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cragline.llm import components as comp
 from cragline.llm import simhash
@@ -198,3 +200,47 @@ def test_first_shingles_meet(seed, share):
     both = len(np.intersect1d(x, y))
     met = np.intersect1d(*(simhash.first_shingles(z, share, known, many) for z in (x, y)))
     assert len(met) or both < share * (len(x) + len(y) - both)
+
+
+def test_a_family_below_the_share_does_not_meet(spark):
+    """1,500 texts of one template, 0.72 in common: no row of one meets a row of another, though all have first shingles of the template."""
+    template = [f"t{i}" for i in range(500)]
+    rows = []
+    for k in range(1500):
+        words = list(template)
+        for at in range(20, 340, 20):  # 16 words take 80 of 496 shingles with them
+            words[at] = f"own{k}w{at}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = simhash.shingled(docs, 5, 0.8, "text", "doc_id")
+    nodes = marked.select("node", F.col("key").alias("least"), "n", F.col("node").alias("root"), F.lit(1).alias("size"))
+    firsts = marked.select(F.explode("firsts").alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
+    assert firsts > 100  # the plain prefix filter would bring all of these together
+    found = simhash.shared_firsts(marked, nodes, 0.8)
+    assert simhash.meetings(found, 0.8).count() < 20 * len(rows)
+    sets = [set(shingles(t, 5)) for _, t in rows[:60]]
+    shares = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.7 < min(shares) and max(shares) < 0.75
+    got = simhash.near_copies(docs)
+    assert got.where("key <> component").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
+def test_early_shingles_meet_often_enough(seed, share):
+    """What ``fitting`` asks of counted rows, in plain sets: no pair at the share has fewer early ones of the smaller among the first of the larger."""
+    draw = np.random.default_rng(seed)
+    universe = draw.permutation(1 << 20)[:200].astype(np.uint64)
+    many = draw.integers(1, 4, 200)
+    order = np.argsort(universe)
+    known, many = universe[order], many[order]
+    x = draw.permutation(universe)[: int(draw.integers(1, 120))]
+    y = np.unique(np.r_[draw.permutation(x)[: max(1, int(len(x) * draw.uniform(share, 1)))], draw.permutation(universe)[: int(draw.integers(0, 12))]])
+    x, y = sorted((np.unique(x), y), key=len)
+    both = len(np.intersect1d(x, y))
+    if both + simhash.TINY < share * (len(x) + len(y) - both):
+        return
+    early = simhash.first_shingles(x, share, known, many)[: len(x) - math.ceil(2 * share / (1 + share) * len(x) - simhash.TINY) + 1]
+    c = len(np.intersect1d(early, simhash.first_shingles(y, share, known, many)))
+    beyond = max(math.ceil(2 * share / (1 + share) * len(x) - simhash.TINY), math.ceil(share * len(y) - simhash.TINY)) - 1
+    assert c >= max(1, share / (1 + share) * (len(x) + len(y)) - simhash.TINY - beyond)
