@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cragline.llm._spark import pinned
 
+#: Links in a partition, as the number of partitions follows the links that are left.
+ROWS = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): each node that has a link, with the smallest node it can reach.
@@ -14,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has two long columns, ``a`` and ``b``; loops, repeats and either direction are allowed, nulls
     are not. Every round moves each node's larger neighbours to its smallest one (large star), then its
     smaller ones (small star). Minima are partial aggregates and a hub's rows meet its minimum in a join that
-    adaptive execution can split, so no node's neighbours are ever collected. An empty table gives an empty one.
+    adaptive execution can split, so no node's neighbours are ever collected. A round runs in as many partitions as its links
+    fill, without further shuffles, so few links write few files. An empty table gives an empty one.
     """
     stars = (
         links.where("a <> b")
@@ -30,18 +34,20 @@ def components(links: DataFrame) -> DataFrame:
                 stars.select(F.col("small").alias("node"), F.col("small").alias("root"))
             ).distinct()
         seen = (mark["n"], mark["h"])
+        parts = -(-mark["n"] // ROWS)
+        stars = stars.coalesce(parts)
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (itself included)
         lowest = (
             stars.select(F.col("small").alias("centre"), F.col("small").alias("low"))
             .union(stars.select(F.col("big").alias("centre"), F.col("small").alias("low")))
             .groupBy("centre").agg(F.min("low").alias("low"))
         )
-        wide = stars.join(lowest, stars["small"] == lowest["centre"]).select("big", F.col("low").alias("small")).distinct()
+        wide = stars.join(lowest, stars["small"] == lowest["centre"]).select("big", F.col("low").alias("small")).distinct().coalesce(parts)
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
         least = wide.groupBy(F.col("big").alias("centre")).agg(F.min("small").alias("low"))
         met = wide.join(least, wide["big"] == least["centre"])
         stars = pinned(
             met.where("small <> low").select(F.col("small").alias("big"), F.col("low").alias("small"))
             .union(least.select(F.col("centre").alias("big"), F.col("low").alias("small")))
-            .distinct()
+            .coalesce(parts).distinct().coalesce(parts)
         )
