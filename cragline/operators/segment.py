@@ -119,13 +119,18 @@ def segmented(rows: DataFrame, side: int, n: int | None = None, refine: bool = T
 
     Without ``n`` the first pass makes 0.4 of the tile's node budget (the sum of its blocks' budgets), ``least`` at least. With ``refine``, segments over ``larger``
     pixels whose centre lies in a block of mean over 0.6 are split into their part of that block's budget, two or more.
+    ``side`` must be a multiple of ``block``, and a tile must hold each of its pixels once, with a value: others are an error.
     """
+    if side % block:
+        raise ValueError(f"side {side} is not a multiple of block {block}")
     numbers = ("budget", "coarse", "refined", "segments")
 
     def run(table: pa.Table) -> pa.Table:
         y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        image = np.zeros((side, side))
+        image = np.full((side, side), np.nan)
         image[y, x] = table["v"].to_numpy()
+        if len(y) != side * side or np.isnan(image).any():
+            raise ValueError(f"tile {table['tile'][0]} doesn't hold each of its {side * side} pixels once, with a value")
         labels, stats = adaptive_labels(image, n, refine, compactness, block, larger, least)
         return pa.table([table["tile"], table["y"], table["x"], table["v"], pa.array(labels[y, x].astype(np.int64)), *(pa.array(np.full(len(y), stats[c], np.int32)) for c in numbers)],
                         names=["tile", "y", "x", "v", "seg", *numbers])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -209,3 +210,14 @@ def test_all_maps_from_one_pass(spark):
     for p in parts.collect():
         w = weights[p.tile, p.y, p.x]
         assert np.allclose(got[p.tile, p.y, p.x], (p.slope, p.roughness, p.discontinuity, p.h, value[p.tile, p.y, p.x] ** 2, w.alpha, w.alpha * value[p.tile, p.y, p.x] ** 2 + (1 - w.alpha) * p.h, penalty[p.tile]), atol=1e-12)
+
+
+def test_segments_refuse_odd_blocks_and_missing_pixels(spark):
+    full = [(1, y, x, 0.5) for y in range(8) for x in range(8)]
+    frame = lambda rows: spark.createDataFrame(rows, "tile long, y int, x int, v double")
+    assert segment.segmented(frame(full), 8).count() == 64
+    with pytest.raises(ValueError, match="multiple"):
+        segment.segmented(frame(full), 8, block=3)
+    for rows in (full[1:], full[:-1] + full[:1], full[1:] + [(1, 0, 0, None)], full[1:] + [(1, 0, 0, float("nan"))]):
+        with pytest.raises(Exception, match="each of its 64 pixels"):
+            segment.segmented(frame(rows), 8).collect()
