@@ -9,7 +9,7 @@ from cragline.operators import planning
 from cragline.plans.fixtures import nodes, table
 from cragline.plans.graphs import COST, KNN, MISSION, knn, recursive
 from cragline.plans.registry import query, r
-from cragline.sources.shared import new_folder
+from cragline.sources.shared import new_folder, pinned
 from cragline.streaming import events, missions
 
 
@@ -52,14 +52,17 @@ REPLANNED = f"""told AS (SELECT event_id % (SELECT count(*) FROM node) AS src, m
 
 @query(recursive(f"{KNN}, {COST}, {MISSION}, {REPLANNED}", "node"))
 def w05_streamed_replanning(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream of cost changes to the missions of all tiles, each kept in the state store; the last route of each."""
+    """Events as a stream of cost changes to the missions of all tiles, each kept in the state store; the last route of each.
+
+    Of each node's events in a micro-batch the last one counts, so they are reduced to it before they meet the node's edges."""
     n = nodes(spark, d)
-    costs = planning.edge_costs(knn(spark, d), n)
+    costs = pinned(planning.edge_costs(knn(spark, d), n))
     graphs = planning.corner_missions(n).withColumnRenamed("tile", "mission")
     edges = costs.select(F.col("tile").alias("mission"), "src", "dst", "cost").unionByName(n.select(F.col("tile").alias("mission"), F.col("id").alias("src"), "px", "py"), allowMissingColumns=True)
     total = n.agg(F.count(F.lit(1)).alias("total"))
     told = _streamed(spark, d, "events").select("event_id", "ts")
     told = told.join(F.broadcast(total)).select((F.col("event_id") % F.col("total")).alias("src"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    told = events.latest(told, ["src"], "seq", new_folder(spark, "told"))
     messages = told.join(costs.select(F.col("tile").alias("mission"), "src", "dst", F.col("cost").alias("base")), "src")
     messages = messages.select("mission", "seq", "ts", F.lit(None).cast("long").alias("node"), "src", "dst", (F.col("base") * (1 + F.col("seq") % 7)).alias("cost"))
     rows = missions.into_table(missions.kept_routes(messages, edges.join(graphs, "mission")), new_folder(spark, "routes"))

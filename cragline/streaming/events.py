@@ -1,6 +1,6 @@
 """Event streams: windowed metrics with watermarks, sessions, deduplication.
 
-The same functions take a streaming or a batch DataFrame.
+The same functions take a streaming or a batch DataFrame; ``latest`` runs a stream.
 """
 
 from __future__ import annotations
@@ -32,3 +32,19 @@ def sessions(rows: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
 def deduplicated(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """First row of each event id."""
     return _timed(rows, late).dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else rows.dropDuplicates(["event_id"])
+
+
+def latest(stream: DataFrame, keys: list[str], order: str, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now; of each micro-batch the row of greatest ``order`` of each key goes into a Parquet table in ``folder``, a folder a batch.
+
+    Returns the table as a stream. Rows are reduced where they lie and then by key, so what follows meets a row for each key, not for each event. A batch that runs again replaces its own folder.
+    """
+    others = [c for c in stream.columns if c not in keys]
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("last"))
+        last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in others]).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.readStream.schema(stream.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/rows")

@@ -1,6 +1,6 @@
 """Route repair as keyed state: each mission's search lives in the state store and goes on with the messages of its key.
 
-Graphs come as initial state, a row for each edge and each placed node; they are held as a list until a mission's first message, so no
+Graphs come as initial state, a row for each edge and each placed node; they are held as a list of packed parts until a mission's first message, so no
 driver or closure holds them. Messages move the start or set the costs of edges (new ones too). A timer ends missions without messages.
 """
 
@@ -32,25 +32,25 @@ class RouteKeeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.given = handle.getListState("given", GIVEN)
+        self.given = handle.getListState("given", "part binary")
         self.plan = handle.getValueState("plan", "plan binary, seq long, ends long")
 
     def handleInitialState(self, key: tuple, rows: pd.DataFrame, timer: object) -> None:
-        """A large graph comes in several parts."""
+        """A large graph comes in several parts; each is one value of the state, as a row a value costs a call each."""
         names = [c.split()[0] for c in GIVEN.split(", ")]
-        plain = rows[names].astype(object).where(rows[names].notna(), None)
-        for row in plain.itertuples(index=False):
-            self.given.appendValue(tuple(None if v is None else int(v) if n in ("start", "goal", "src", "dst") else float(v) for n, v in zip(names, row)))
+        self.given.appendValue((pickle.dumps(rows[names].astype(dict.fromkeys(names[:4], "Int64") | dict.fromkeys(names[4:], "float64"))),))
 
     def _opened(self) -> MovingReplanner | None:
-        rows = [tuple(r) for r in self.given.get()]
-        if not rows:
+        parts = [pickle.loads(part) for (part,) in self.given.get()]
+        if not parts:
             return None
         self.given.clear()
-        edges = pd.DataFrame([(s, d, c) for _, _, s, d, c, _, _ in rows if d is not None], columns=["src", "dst", "cost"])
-        places = {s: (x, y) for _, _, s, d, _, x, y in rows if d is None and s is not None and x is not None and y is not None}
-        start, goal = next((a, b) for a, b, *_ in rows if a is not None and b is not None)
-        return MovingReplanner(Graph(edges), places, start, goal)
+        rows = pd.concat(parts, ignore_index=True)
+        edge, ends = rows["dst"].notna(), rows.dropna(subset=["start", "goal"])
+        edges = rows.loc[edge, ["src", "dst", "cost"]].astype({"src": "int64", "dst": "int64"})
+        placed = rows.loc[~edge, ["src", "px", "py"]].dropna()
+        places = {int(s): (x, y) for s, x, y in placed.itertuples(index=False)}
+        return MovingReplanner(Graph(edges), places, int(ends["start"].iloc[0]), int(ends["goal"].iloc[0]))
 
     def handleInputRows(self, key: tuple, batches: Iterator[pd.DataFrame], timer: object) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
@@ -61,7 +61,7 @@ class RouteKeeper(StatefulProcessor):
         plan = pickle.loads(held[0]) if held else self._opened()
         if plan is None:  # unknown or ended: its messages have nothing to act on
             return
-        before, moves, changes = plan.visited, rows["node"].dropna(), rows[rows["src"].notna()]
+        before, moves, changes = plan.visited, rows["node"].dropna(), rows[rows["src"].notna()].drop_duplicates(["src", "dst"], keep="last")
         found = plan.replan(int(moves.iloc[-1]) if len(moves) else None, [(int(s), int(d), float(c)) for s, d, c in changes[["src", "dst", "cost"]].itertuples(index=False)])
         ends = None if self.idle is None else int(rows["ts"].max().timestamp() * 1000) + self.idle
         self.plan.update((pickle.dumps(plan), int(rows["seq"].iloc[-1]), ends))
