@@ -14,11 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _keyed(rows: DataFrame, key: str, side: int, values: dict[str, Column]) -> DataFrame:
+    """Consecutive keys as places in square tiles."""
+    area = side * side
+    return rows.select(F.floor(F.col(key) / area).cast("long").alias("tile"), F.floor((F.col(key) % area) / side).cast("int").alias("y"), (F.col(key) % side).cast("int").alias("x"), *[c.alias(n) for n, c in values.items()])
+
+
 def _tiles(rows: DataFrame, key: str, side: int, values: dict[str, Column]) -> DataFrame:
     """Consecutive keys as square tiles; only full tiles stay."""
-    area = side * side
-    rows = rows.select(F.floor(F.col(key) / area).cast("long").alias("tile"), F.floor((F.col(key) % area) / side).cast("int").alias("y"), (F.col(key) % side).cast("int").alias("x"), *[c.alias(n) for n, c in values.items()])
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where(F.col("n") == area).drop("n")
+    rows = _keyed(rows, key, side, values)
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where(F.col("n") == side * side).drop("n")
 
 
 def _tiles_sql(name: str, source: str, key: str, side: int, values: dict[str, str]) -> str:
@@ -39,6 +44,11 @@ def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles(table(spark, sf_dir, "orders"), "o_orderkey", 16, {"z": z})
 
 
+def elevation_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tile) of ``elevation``, by partial counts: without values a window would sort all of its pixels in the few partitions that keys alone fill."""
+    return _keyed(table(spark, sf_dir, "orders"), "o_orderkey", 16, {}).groupBy("tile").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 256).select("tile")
+
+
 FEATURES = {"s": 2, "r": 3, "d": 4, "h": 5, "f7": 6, "alpha": 7}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cragline.functions import hazard as hz
 from cragline.operators import grids, raster
-from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
+from cragline.plans.fixtures import by_tile, elevation, elevation_tiles, nodes, pixels, with_tables
 from cragline.plans.registry import query, r
 
 FOLD = {"reflect": "15 - abs(15 - abs({c} + k.d{c}))", "symmetric": "CASE WHEN {c} + k.d{c} < 0 THEN -({c} + k.d{c}) - 1 WHEN {c} + k.d{c} >= 16 THEN 31 - ({c} + k.d{c}) ELSE {c} + k.d{c} END"}
@@ -224,6 +224,6 @@ def _gridded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     number = lambda x: F.lit(float(x))
     left = 100.0 + F.col("tile") % 7
     source, target = (left, number(2), number(0), number(50), number(0), number(-2)), (left - 1.30311, number(1.37189), number(0), number(51.17371), number(0), number(-1.43317))
-    table = rows.select("tile").distinct().select(F.col("tile").alias("raster"), F.lit(16).alias("height"), F.lit(16).alias("width"), *[c.alias(f"s{i}") for i, c in enumerate(source)],
-                                                  F.lit(25).alias("to_height"), F.lit(24).alias("to_width"), *[c.alias(f"t{i}") for i, c in enumerate(target)])
+    table = elevation_tiles(spark, d).select(F.col("tile").alias("raster"), F.lit(16).alias("height"), F.lit(16).alias("width"), *[c.alias(f"s{i}") for i, c in enumerate(source)],
+                                             F.lit(25).alias("to_height"), F.lit(24).alias("to_width"), *[c.alias(f"t{i}") for i, c in enumerate(target)])
     return rows.select(F.col("tile").alias("raster"), F.col("y").alias("row"), F.col("x").alias("col"), F.col("z").alias("v")), table
