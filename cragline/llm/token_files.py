@@ -7,10 +7,12 @@ let a reader skip to the rows or the columns it needs: positions and lengths are
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,32 @@ REMEMBERED = 1_000_000
 UNSAFE = BLANK.copy()
 UNSAFE[0x1C:0x20] = True
 UNSAFE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Letters of a byte; single marks that may end a plain unit.
+LETTER = np.zeros(256, bool)
+LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+MARKS = np.zeros(256, bool)
+MARKS[[*b".,;:!?"]] = True
+
+
+def _written() -> dict[int, str]:
+    """Bytes as the byte-level alphabet writes them, each word of a plain unit behind a blank."""
+    shown = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    shown |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return shown | {0x20: " " + shown[0x20]} | {b: " " + shown[b] for b in np.flatnonzero(MARKS).tolist()}
+
+
+WRITTEN = _written()
+
+
+def plain_units(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Which of the units (a byte and more each) are a blank, then letters (ASCII, or of two bytes up to U+00FF), then one mark or none."""
+    letter = LETTER[data]
+    wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    letter[wide], letter[wide + 1] = True, True
+    begin, end = offsets[units], offsets[units + 1]
+    end = end - MARKS[data[end - 1]]
+    others = np.r_[0, np.cumsum(~letter)]
+    return (data[begin] == 0x20) & (end > begin + 1) & (others[end] == others[begin + 1])
 
 
 class ByteTokenizer:
@@ -38,12 +66,19 @@ class ByteTokenizer:
 
     The pre-tokenizer always splits between a character and a single space that another word follows, so
     texts fall into units there; distinct units that such splits bound are encoded as one string.
+    Of plain units (a space and letters, perhaps a mark) the words of the pre-tokenizer are known, so they go to the merges without it (where the file has the usual byte-level one).
     """
 
     def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        usual = made["normalizer"] is None and made["pre_tokenizer"] | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.merger = Tokenizer(self.tokenizer.model) if usual else None  # the same model, not a copy
+        if usual:
+            self.merger.pre_tokenizer = CharDelimiterSplit(" ")
         self.tokenizer.encode_special_tokens = not added
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -75,13 +110,13 @@ class ByteTokenizer:
         if len(self.known) > REMEMBERED:
             self._forget()
         units = binary(data, offsets).to_pylist()
-        place = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(place < 0)
         if len(new):
             lengths = np.diff(offsets)[new]
             ids, ends = self.encode_units(*gather(data, offsets[new], lengths))
             place[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update((units[i], k) for i, k in zip(new.tolist(), place[new].tolist()))
+            self.known.update(zip(map(units.__getitem__, new.tolist()), place[new].tolist()))
             self.ids, self.offsets = np.r_[self.ids, ids], np.r_[self.offsets, ends[1:] + len(self.ids)]
         return gather(self.ids, self.offsets[place], np.diff(self.offsets)[place])
 
@@ -93,11 +128,15 @@ class ByteTokenizer:
         alone = np.ones(len(lengths), bool)
         alone[bound] = False
         alone = np.flatnonzero(alone)
+        plain = plain_units(data, offsets, bound) if self.merger else np.zeros(len(bound), bool)
+        bound = bound[np.argsort(plain, kind="stable")]  # plain units last
+        first = len(bound) - int(plain.sum())
         text, at = gather(data, offsets[bound], lengths[bound])
         ids, many = [], np.zeros(len(lengths), np.int64)
-        steps = np.r_[np.arange(0, len(bound), 4096), len(bound)]
-        for a, b in zip(steps[:-1], steps[1:]):
-            found = self.tokenizer.encode_batch_fast([text[at[a] : at[b]].tobytes().decode()], add_special_tokens=False)
+        steps = np.unique(np.r_[np.arange(0, len(bound), 4096), first, len(bound)])
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
+            part = text[at[a] : at[b]].tobytes()
+            found = self.tokenizer.encode_batch_fast([part.decode()], add_special_tokens=False) if a < first else self.merger.encode_batch_fast([part.decode("latin-1").translate(WRITTEN)], add_special_tokens=False)
             found = np.array(found[0].ids, np.int32)
             ends = np.searchsorted(np.cumsum(self.lengths[found]), at[a + 1 : b + 1] - at[a]) + 1
             many[bound[a:b]] = np.diff(np.r_[0, ends])

@@ -130,3 +130,17 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     assert shared_folder(session("spark://host:7077", "hdfs://host/shared")) == "hdfs://host/shared"
     with pytest.raises(ValueError):
         shared_folder(session("spark://host:7077", None))
+
+
+def test_plain_units_skip_the_pre_tokenizer_with_the_same_ids(monkeypatch):
+    units = [" word", " Wörter,", " ÀÉÿ", " it's", " a×b", " x÷", " a1", " !", " end.", " two..", " straße?", " Ǆx", " naïve;", " ", "lone", " ét", " 日本", " tab\tx", " <|endoftext|>"]
+    mine, library = token_files.ByteTokenizer(FILE), Tokenizer.from_file(FILE)
+    library.encode_special_tokens = True
+    data, offsets = np.frombuffer("".join(units).encode(), np.uint8), np.r_[0, np.cumsum([len(u.encode()) for u in units])]
+    plain = token_files.plain_units(data, offsets, np.arange(len(units)))
+    assert [u for u, p in zip(units, plain) if p] == [" word", " Wörter,", " ÀÉÿ", " end.", " straße?", " naïve;"]
+    seen = []
+    monkeypatch.setattr(mine, "tokenizer", type("Told", (), {"encode_batch_fast": lambda self, texts, **k: seen.extend(texts) or library.encode_batch_fast(texts, **k)})())
+    ids, ends = mine.encode_units(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(u, add_special_tokens=False).ids for u in units]
+    assert not any("word" in t or "Wörter" in t or "naïve" in t for t in seen)
