@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.operators.nearest import nearest_lower
+from cragline.sources.shared import pinned
 
 #: Nodes of a tile that are compared with as many others in one task, about.
 BLOCK = 2048
@@ -150,8 +151,8 @@ def nearest_bridges(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 def connected_edges(nodes: DataFrame, edges: DataFrame, touching: DataFrame) -> DataFrame:
     """Edges with bridges between components: all touching pairs across them in a tile that has any, else nearest pairs."""
-    parts = components(nodes, edges)
-    found = bridges(touching, parts)
+    parts = pinned(components(nodes, edges))  # read four times, and the bridges twice
+    found = pinned(bridges(touching, parts))
     open_tiles = parts.groupBy("tile").agg(F.countDistinct("component").alias("n")).where("n > 1").join(found.select("tile").distinct(), "tile", "left_anti")
     far = nearest_bridges(nodes.join(open_tiles.select("tile"), "tile", "left_semi"), parts)
     return edges.select("tile", "src", "dst").union(found).union(far).distinct()

@@ -13,6 +13,7 @@ from cragline.operators import neural, planning, replanning, segment
 from cragline.plans.fixtures import by_tile, elevation, nodes, pixels, with_tables
 from cragline.plans.rasters import BUNDLE, _image
 from cragline.plans.registry import query, r
+from cragline.sources.shared import pinned
 
 DIAGONAL = math.sqrt(2 * 16**2)
 K = 5
@@ -146,10 +147,11 @@ def h05_j09_node_features(spark: SparkSession, d: str) -> DataFrame:
 def h06_built_graph(spark: SparkSession, d: str) -> DataFrame:
     """Tiles to segments, node features and weighted edges: the whole build in one plan, a row for each edge."""
     image = _image(spark, d).withColumnRenamed("user", "seg")
-    labelled = segment.segmented(image, 16)
+    labelled = pinned(segment.segmented(image, 16))  # what follows reads it many times
     rows = g.node_features(labelled, "seg", "v", 16, 4)
     n = rows.select("tile", "id", (F.col("f0") * 15).alias("px"), (F.col("f1") * 15).alias("py"), F.col("f11").alias("s"), F.col("f9").alias("r"), F.col("f7").alias("d"), F.col("f7").alias("h"), "f7")
-    edges = g.connected_edges(n, g.knn_edges(n, ["px", "py"], PHYS, K, DIAGONAL), g.adjacency(labelled, "seg"))
+    n = pinned(n)
+    edges = g.connected_edges(n, pinned(g.knn_edges(n, ["px", "py"], PHYS, K, DIAGONAL)), g.adjacency(labelled, "seg"))
     return g.edge_weights(edges, n, DIAGONAL)
 
 

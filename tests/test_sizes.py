@@ -53,3 +53,8 @@ def test_the_grids_of_tiles_come_from_partial_counts(spark):
     rows, moved = shuffled(spark, lambda: rasters._gridded(spark, SF)[1].collect())
     full = spark.read.parquet(f"{SF}/orders.parquet").groupBy(F.expr("o_orderkey div 256")).count().where("count = 256").count()
     assert len(rows) == len({r.raster for r in rows}) == full > 0 and max(moved) <= 4 * (full + 2)  # 1,500 orders; no window over all of them
+
+
+def test_the_built_graph_segments_its_tiles_once(spark):
+    plan = registered.queries()["h06_built_graph"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") <= 1 and "FlatMapCoGroupsInArrow" not in plan  # bridges of the nearest nodes; segments, neighbours and components are read
