@@ -12,7 +12,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +22,12 @@ from pyspark.sql import functions as F
 
 from cragline.llm._spark import parallelism, shared_folder, text_volume
 from cragline.llm._units import SLICE, by_unit
-from cragline.llm._words import BLANK, binary, flat, gather, pieces
+from cragline.llm._words import BLANK, flat, gather, pieces, span_hashes
 
 #: Text bytes of a file; bytes of a row group and of a page.
 FILE_BYTES, GROUP_BYTES, PAGE_BYTES = 16 << 20, 8 << 20, 256 << 10
 #: Distinct units that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Bytes that can't stand next to a cut: blanks, separators and the lead bytes of wide blanks.
 UNSAFE = BLANK.copy()
 UNSAFE[0x1C:0x20] = True
@@ -48,16 +47,23 @@ def _written() -> dict[int, str]:
 
 
 WRITTEN = _written()
+#: The same for words without a blank, each behind a line feed.
+BARE = WRITTEN | {0x0A: " "}
 
 
-def plain_units(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """Which of the units (a byte and more each) are a blank, then letters (ASCII, or of two bytes up to U+00FF), then one mark or none."""
+def letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is (of) a letter: ASCII, or of two bytes up to U+00FF."""
     letter = LETTER[data]
     wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7))
     letter[wide], letter[wide + 1] = True, True
+    return letter
+
+
+def plain_units(data: np.ndarray, offsets: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Which of the units (a byte and more each) are a blank, then letters (ASCII, or of two bytes up to U+00FF), then one mark or none."""
     begin, end = offsets[units], offsets[units + 1]
     end = end - MARKS[data[end - 1]]
-    others = np.r_[0, np.cumsum(~letter)]
+    others = np.r_[0, np.cumsum(~letters(data))]
     return (data[begin] == 0x20) & (end > begin + 1) & (others[end] == others[begin + 1])
 
 
@@ -65,8 +71,9 @@ class ByteTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library. Strings of special tokens in a text are ordinary text, or with ``added`` (as in the library) those tokens.
 
     The pre-tokenizer always splits between a character and a single space that another word follows, so
-    texts fall into units there; distinct units that such splits bound are encoded as one string.
-    Of plain units (a space and letters, perhaps a mark) the words of the pre-tokenizer are known, so they go to the merges without it (where the file has the usual byte-level one).
+    texts fall into units there; distinct units that such splits bound are encoded as one string. The usual byte-level one (``usual``)
+    also splits between a letter and a mark, and on both sides of a single line feed between other characters.
+    Of plain units (a space and letters, perhaps a mark; or letters alone) the words of that pre-tokenizer are known, so they go to the merges without it.
     """
 
     def __init__(self, path: str, added: bool = False):
@@ -76,6 +83,7 @@ class ByteTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         usual = made["normalizer"] is None and made["pre_tokenizer"] | {"trim_offsets": True} == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.usual = usual
         self.merger = Tokenizer(self.tokenizer.model) if usual else None  # the same model, not a copy
         if usual:
             self.merger.pre_tokenizer = CharDelimiterSplit(" ")
@@ -88,13 +96,24 @@ class ByteTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        #: hashes of remembered units, ascending, with each one's place; their bytes; their ids
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.units, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def cuts(self, data: np.ndarray, offsets: np.ndarray, marks: bool = True) -> np.ndarray:
+        """Where units begin and end; with ``marks`` also between letters and marks, where the file's pre-tokenizer splits there."""
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
-        cut[1:-1] |= (data[1:] == 0x20) & self._ended(data)[:-1] & np.r_[~UNSAFE[data[2:]], False][: max(len(data) - 1, 0)]
+        single = self._ended(data)[:-1] & np.r_[~UNSAFE[data[2:]], False][: max(len(data) - 1, 0)]
+        cut[1:-1] |= (data[1:] == 0x20) & single
+        if self.usual:
+            line = (data[1:] == 0x0A) & single
+            cut[1:-1] |= line
+            cut[2:] |= line
+        if self.usual and marks:
+            letter, mark = letters(data), MARKS[data]
+            cut[1:-1] |= letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
         return np.flatnonzero(cut)
 
     @staticmethod
@@ -106,20 +125,38 @@ class ByteTokenizer:
         return ~bad
 
     def remembered(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and offsets of distinct units; a worker remembers up to ``REMEMBERED`` of them."""
-        if len(self.known) > REMEMBERED:
+        """Ids and offsets of distinct units (a byte and more each); a worker remembers up to ``REMEMBERED`` of them, found by a hash and compared by their bytes."""
+        if len(self.places) > REMEMBERED:
             self._forget()
-        units = binary(data, offsets).to_pylist()
-        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        lengths = np.diff(offsets)
+        hashes = span_hashes(data, offsets[:-1], offsets[1:])
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        place = np.where(self.hashes[at] == hashes, self.places[at], -1) if len(self.hashes) else np.full(len(lengths), -1)
+        place[place >= 0] = np.where(self._same(data, offsets, place), place[place >= 0], -1)
         new = np.flatnonzero(place < 0)
         if len(new):
-            lengths = np.diff(offsets)[new]
-            ids, ends = self.encode_units(*gather(data, offsets[new], lengths))
-            place[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(map(units.__getitem__, new.tolist()), place[new].tolist()))
+            fresh, fresh_ends = gather(data, offsets[new], lengths[new])
+            ids, ends = self.encode_units(fresh, fresh_ends)
+            place[new] = np.arange(len(self.places), len(self.places) + len(new))
+            order = new[np.argsort(hashes[new])]
+            to = np.searchsorted(self.hashes, hashes[order])
+            self.hashes, self.places = np.insert(self.hashes, to, hashes[order]), np.insert(self.places, to, place[order])
+            self.units, self.ends = np.r_[self.units, fresh], np.r_[self.ends, fresh_ends[1:] + len(self.units)]
             self.ids, self.offsets = np.r_[self.ids, ids], np.r_[self.offsets, ends[1:] + len(self.ids)]
         return gather(self.ids, self.offsets[place], np.diff(self.offsets)[place])
 
+    def _same(self, data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each unit with a place has the bytes of the unit remembered there."""
+        found = np.flatnonzero(place >= 0)
+        held, lengths = place[found], np.diff(offsets)[found]
+        same = self.ends[held + 1] - self.ends[held] == lengths
+        found, held, lengths = found[same], held[same], lengths[same]
+        mine, ends = gather(data, offsets[found], lengths)
+        theirs, _ = gather(self.units, self.ends[held], lengths)
+        if not np.array_equal(mine, theirs):
+            same[np.flatnonzero(same)] = np.logical_and.reduceat(mine == theirs, ends[:-1])
+        return same
+
     def encode_units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.diff(offsets)
         long = lengths > 2
@@ -129,14 +166,22 @@ class ByteTokenizer:
         alone[bound] = False
         alone = np.flatnonzero(alone)
         plain = plain_units(data, offsets, bound) if self.merger else np.zeros(len(bound), bool)
-        bound = bound[np.argsort(plain, kind="stable")]  # plain units last
-        first = len(bound) - int(plain.sum())
+        bound = bound[np.argsort(plain, kind="stable")]  # plain units after others, bare words last
+        first, bare = len(bound) - int(plain.sum()), len(bound)
+        if self.merger:
+            others = np.r_[0, np.cumsum(~letters(data))][offsets]
+            word = (np.diff(others)[alone] == 0) & (lengths[alone] > 0)
+            bound, alone = np.r_[bound, alone[word]], alone[~word]
         text, at = gather(data, offsets[bound], lengths[bound])
         ids, many = [], np.zeros(len(lengths), np.int64)
-        steps = np.unique(np.r_[np.arange(0, len(bound), 4096), first, len(bound)])
+        steps = np.unique(np.r_[np.arange(0, len(bound), 4096), first, bare, len(bound)])
         for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
-            part = text[at[a] : at[b]].tobytes()
-            found = self.tokenizer.encode_batch_fast([part.decode()], add_special_tokens=False) if a < first else self.merger.encode_batch_fast([part.decode("latin-1").translate(WRITTEN)], add_special_tokens=False)
+            part = text[at[a] : at[b]]
+            if a < first:
+                found = self.tokenizer.encode_batch_fast([part.tobytes().decode()], add_special_tokens=False)
+            else:
+                part = np.insert(part, at[a:b] - at[a], 0x0A) if a >= bare else part
+                found = self.merger.encode_batch_fast([part.tobytes().decode("latin-1").translate(BARE if a >= bare else WRITTEN)], add_special_tokens=False)
             found = np.array(found[0].ids, np.int32)
             ends = np.searchsorted(np.cumsum(self.lengths[found]), at[a + 1 : b + 1] - at[a]) + 1
             many[bound[a:b]] = np.diff(np.r_[0, ends])

@@ -144,3 +144,44 @@ def test_plain_units_skip_the_pre_tokenizer_with_the_same_ids(monkeypatch):
     ids, ends = mine.encode_units(data, offsets)
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(u, add_special_tokens=False).ids for u in units]
     assert not any("word" in t or "Wörter" in t or "naïve" in t for t in seen)
+
+
+def test_a_word_is_one_unit_whatever_mark_or_line_follows():
+    library, mine = Tokenizer.from_file(FILE), token_files.ByteTokenizer(FILE)
+    library.encode_special_tokens = True
+    rows = ["The oak, the oak. the oak\nThe oak; the oak!", "été,été.\n\nété \n été\n", "a.b,c\n.d\n", "x's. 'll,it's\n's", "1.5,a1.b2", "中,文.ñ×,÷.ÿ", "\n", "\n.", ".\n", " \n."]
+    ids, offsets = mine.encode(pa.array(rows))
+    for k, t in enumerate(rows):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    mine._forget()
+    mine.encode(pa.array(rows[:1]))
+    assert len(mine.places) == 8  # The, oak, the, four marks and the line feed
+
+
+def test_bare_words_skip_the_pre_tokenizer_with_the_same_ids():
+    library = Tokenizer.from_file(FILE)
+    draw = random.Random(6)
+    units = sorted({"".join(draw.choices("abcdeTHéÿ", k=draw.randint(1, 9))) for _ in range(9000)} | {",", "\n", "don't", "a1", " the"})
+    data, offsets = np.frombuffer("".join(units).encode(), np.uint8), np.r_[0, np.cumsum([len(u.encode()) for u in units])]
+    mine = token_files.ByteTokenizer(FILE)
+    batches, merger = [], mine.merger
+
+    class Counted:
+        def encode_batch_fast(self, texts, **named):
+            batches.append(texts[0].count(" "))
+            return merger.encode_batch_fast(texts, **named)
+
+    mine.merger = Counted()
+    ids, ends = mine.encode_units(data, offsets)
+    for k, u in enumerate(units):
+        assert ids[ends[k] : ends[k + 1]].tolist() == library.encode(u, add_special_tokens=False).ids, u
+    assert sum(batches) >= len(units) - 4
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    library, mine = Tokenizer.from_file(FILE), token_files.ByteTokenizer(FILE)
+    for rows in (["one two six", "two ten"], ["ten six one", "three"], ["one"]):
+        ids, offsets = mine.encode(pa.array(rows))
+        for k, t in enumerate(rows):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
