@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,13 +129,13 @@ class Aligner:
         if len(self.known) > REMEMBERED:
             self._forget()
         units = column.to_pylist()
-        place = np.fromiter((self.known.get(u, -1) for u in units), np.int64, len(units))
+        place = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(place < 0)
         if len(new):
             data, offsets = flat(column)
             self._align(*gather(data, offsets[new], np.diff(offsets)[new]))
             place[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update((units[i], k) for i, k in zip(new.tolist(), place[new].tolist()))
+            self.known.update(zip(map(units.__getitem__, new.tolist()), place[new].tolist()))
         return place
 
     def _written(self, a: tuple, b: tuple, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +157,7 @@ class Aligner:
         rows = len(offsets) - 1
         if not len(data):
             return {c: np.zeros(rows, np.int64) for c in NAMES}, [""] * rows, np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        cuts = self.left.cuts(data, offsets)
+        cuts = self.left.cuts(data, offsets, self.right.marks_apart)
         coded = binary(data, cuts).dictionary_encode()
         which, first = self._units(coded.dictionary)[coded.indices.to_numpy()], np.searchsorted(cuts, offsets)
         doc, many = np.repeat(np.arange(rows), np.diff(first)), len(self.good)

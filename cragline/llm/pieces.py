@@ -12,6 +12,7 @@ base64, is merged from such a queue itself. Characters that are no piece become
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -25,6 +26,8 @@ from cragline.llm._units import SLICE, by_unit, written
 from cragline.llm._words import flat, gather, pieces
 
 MARK = "▁"
+#: Letters and marks as sets of a pattern (those of ``token_files``).
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 #: Symbols of a unit from which its merges are taken from a queue of its own: rounds over it would cost the square of its length.
 LONG = 512
 NO_PAIR = np.iinfo(np.int64).max
@@ -44,6 +47,8 @@ class PieceModel:
         piece = {p: i for i, p in enumerate(names) if not special[i]}
         if any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in piece):
             raise ValueError("pieces that go on over a space or a line feed aren't supported")
+        #: whether no piece goes on from a letter to a mark or from a mark to a letter
+        self.marks_apart = not any(re.search(rf"[{LETTERS}][{MARKS}]|[{MARKS}][{LETTERS}]", p) for p in piece)
         # symbols: ids of pieces, then single characters that are no piece but part of one
         symbol = dict(piece)
         for p in piece:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -95,3 +96,10 @@ def test_empty_table(spark):
 def test_query_by_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op11_token_alignment(spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_a_word_is_aligned_once_whatever_mark_or_line_follows():
+    both = alignment.Aligner(LEFT, RIGHT)
+    both.aligned(pa.array(["The oak, the oak. the oak\nThe oak; the oak!"]))
+    # " The" opens the text, "The" a line; " oak", " the", four marks and the line feed
+    assert both.right.marks_apart and len(both.known) == 9
