@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, **more: Column) -> tuple[DataFrame, dict]:
+    """``pinned(df)`` with its number of rows (``n``) and other aggregates, observed while the checkpoint is written: no job of their own."""
+    seen = Observation()
+    kept = pinned(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in more.items())))
+    return kept, seen.get
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one of this machine only where Spark runs on it alone and none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cragline.llm._spark import pinned
+from cragline.llm._spark import counted, pinned
 from cragline.llm._words import flat, gather, joined, mixed, pieces, word_spans
 from cragline.llm.components import components
 
@@ -34,7 +34,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Members of one tree; larger shards are cut into chunks.
 CROWD = 4096
-#: Crowded shards that are broadcast at most.
+#: Crowded shards, or links whose ends are broadcast, at most.
 FEW = 20_000
 #: Keys or groups, and nodes with their numbers, that are broadcast at most.
 FEW_KEYS, FEW_NODES = 1_000_000, 300_000
@@ -217,8 +217,8 @@ def candidate_links(distinct: DataFrame, tables: list[int], links: Callable[[pa.
         rows.groupBy("table", "bits").agg(F.count(F.lit(1)).alias("many"))
         .where(F.col("many") > CROWD).withColumn("chunks", F.ceil(F.col("many") / CROWD).cast("int")).drop("many")
     )
-    crowds = pinned(crowds)
-    if crowds.count() <= FEW:  # else they meet by a shuffle
+    crowds, found = counted(crowds)
+    if found["n"] <= FEW:  # else they meet by a shuffle
         crowds = F.broadcast(crowds)
     rows = rows.join(crowds, ["table", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -258,8 +258,8 @@ def named(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame
     """(key, fp, component): each row of ``marked`` (key, node, fp) with the least key (``least`` of ``distinct``) that its node reaches."""
     roots = components(links).withColumnRenamed("node", "linked")
     linked = pinned(distinct.join(roots, distinct["node"] == roots["linked"]).select("linked", "least", "root"))
-    least = pinned(linked.groupBy("root").agg(F.min("least").alias("component")))
-    if least.count() <= FEW_KEYS:  # else they meet by a shuffle
+    least, found = counted(linked.groupBy("root").agg(F.min("least").alias("component")))
+    if found["n"] <= FEW_KEYS:  # else they meet by a shuffle
         least = F.broadcast(least)
     linked = linked.join(least, "root").select("linked", "component")
     every = distinct.join(linked, distinct["node"] == linked["linked"], "left").select(F.col("node").alias("of"), F.coalesce("component", "least").alias("component"))
@@ -273,9 +273,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, text: str
     least one while another is reachable; an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     marked = pinned(fingerprints(docs, words, text, key))
-    distinct = pinned(marked.groupBy("node").agg(F.min("key").alias("least")))
+    distinct, many = counted(marked.groupBy("node").agg(F.min("key").alias("least")))
     members = distinct.select("node", F.col("node").alias("fp"))
-    found = candidate_links(members, masks(radius, distinct.count()), lambda members: forest_links(members, radius))
+    found = candidate_links(members, masks(radius, many["n"]), lambda members: forest_links(members, radius))
     return named(marked.withColumn("fp", F.col("node")), distinct, found)
 
 
@@ -340,13 +340,13 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int
     of a text of their least key: what only rows with a null key hold gets no links. Otherwise as ``near_duplicates``.
     """
     marked = pinned(shingled(docs, words, share, text, key))
-    distinct = pinned(marked.groupBy("node").agg(*(F.min(c).alias(x) for c, x in (("key", "least"), ("fp", "fp"), ("second", "second"), ("n", "n")))))
+    distinct, many = counted(marked.groupBy("node").agg(*(F.min(c).alias(x) for c, x in (("key", "least"), ("fp", "fp"), ("second", "second"), ("n", "n")))))
     apart = math.acos(2 * share / (1 + share)) / math.pi
-    found = candidate_links(distinct.select("node", "fp", "second", "n"), sampled_masks(apart, distinct.count(), recall), lambda members: nearest_links(members, radius, share))
+    found = candidate_links(distinct.select("node", "fp", "second", "n"), sampled_masks(apart, many["n"], recall), lambda members: nearest_links(members, radius, share))
     found = pinned(same_shingles(docs, words, share, found.distinct(), distinct, text, key))
     roots = pinned(components(found))
     nodes = pinned(rooted(distinct, roots))
-    rows = pinned(shared_firsts(marked, nodes, share))
+    rows = pinned(shared_firsts(marked, nodes, share, many["n"]))
     found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same_shingles(docs, words, share, all_pairs(rows, share), distinct, text, key))
     found = pinned(found.union(links_to_large(docs, words, share, rows, nodes, text, key)))
     return named(marked.select("key", "node", "fp"), distinct.select("node", "least"), found)
@@ -355,25 +355,25 @@ def near_copies(docs: DataFrame, words: int = 5, share: float = 0.8, radius: int
 def rooted(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, least, n, root, size): each node with the root of its component and how many nodes that has."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    roots = pinned(roots.join(sizes, "root").withColumnRenamed("node", "linked"))
-    if roots.count() <= FEW_KEYS:  # else they meet by a shuffle
+    roots, many = counted(roots.join(sizes, "root").withColumnRenamed("node", "linked"))
+    if many["n"] <= FEW_KEYS:  # else they meet by a shuffle
         roots = F.broadcast(roots)
     return distinct.join(roots, distinct["node"] == roots["linked"], "left").select("node", "least", "n", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def shared_firsts(marked: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """(node, n, root, size, pos, shingle, early): the first shingles of each set, where nodes of different components have them among theirs.
+def shared_firsts(marked: DataFrame, nodes: DataFrame, share: float, many: int | None = None) -> DataFrame:
+    """(node, n, root, size, pos, shingle, early): the first shingles of each set, where nodes (``many`` in all, else they are counted) of different components have them among theirs.
 
     ``early`` ones are enough for the smaller set of a pair: a set at least as large holds 2 share / (1 + share) of it, so not all of that can lie beyond
     them. Shingles that are early in no set are left out. Rows that repeat a key and a text repeat theirs; so counts of common shingles are never too small.
     """
-    if nodes.count() <= FEW_NODES:  # else they meet by a shuffle
+    if (nodes.count() if many is None else many) <= FEW_NODES:  # else they meet by a shuffle
         nodes = F.broadcast(nodes)
     firsts = marked.select(F.col("node").alias("of"), "key", "firsts").join(nodes, (F.col("of") == F.col("node")) & (F.col("key") == F.col("least")))
     rows = firsts.select("node", "n", "root", "size", F.posexplode("firsts").alias("pos", "shingle"))
     rows = rows.withColumn("early", F.col("pos") <= F.col("n") - F.ceil(2 * share / (1 + share) * F.col("n") - TINY))
-    several = pinned(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("early")).where("low <> high AND early").select("shingle"))
-    if several.count() <= SHARED:  # else they meet by a shuffle
+    several, found = counted(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("early")).where("low <> high AND early").select("shingle"))
+    if found["n"] <= SHARED:  # else they meet by a shuffle
         several = F.broadcast(several)
     return rows.join(several, "shingle", "left_semi")
 
@@ -429,13 +429,15 @@ def links_to_large(docs: DataFrame, words: int, share: float, rows: DataFrame, n
     A component's nodes are dealt into blocks and those that ask for it into parts; each block counts the common shingles of
     all its pairs in one task, exactly, and gives one link for each node and block that has one.
     """
-    asked = pinned(with_top(rows).where(f"root <> top AND top_size > {LARGE} AND (early OR top_early)").select("node", "top").distinct())
+    asked, found = counted(with_top(rows).where(f"root <> top AND top_size > {LARGE} AND (early OR top_early)").select("node", "top").distinct())
+    if not found["n"]:
+        return asked.toDF("a", "b")
     sizes = asked.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / LARGE).cast("int").alias("parts"))
     members = nodes.join(sizes, nodes["root"] == sizes["top"]).select("node", "top", F.ceil(F.col("size") / LARGE).cast("int").alias("blocks"), "parts")
     members = pinned(members)
     sizes = members.groupBy("top").agg(F.max("blocks").alias("blocks"), F.max("parts").alias("parts"))
     chosen = nodes.join(asked.select("node").union(members.select("node")).distinct(), "node", "left_semi").select(F.col("least").alias("k"))
-    held = pinned(shingle_sets(docs, words, pinned(chosen), text, key))
+    held = pinned(shingle_sets(docs, words, chosen, text, key))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -476,7 +478,8 @@ def shingle_sets(docs: DataFrame, words: int, keys: DataFrame, text: str, key: s
                     held.append(different.tobytes())
                 yield pa.record_batch([pa.array(made, pa.int64()), pa.array(held, pa.binary())], names=["node", "shingles"])
 
-    if keys.count() <= FEW_KEYS:  # else they meet by a shuffle
+    keys, many = counted(keys)
+    if many["n"] <= FEW_KEYS:  # else they meet by a shuffle
         keys = F.broadcast(keys)
     chosen = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).join(keys, "k", "left_semi")
     return chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -497,9 +500,13 @@ def same_shingles(docs: DataFrame, words: int, share: float, links: DataFrame, d
                 keep.append(both + TINY >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = pinned(links)
+    links, many = counted(links)
+    if not many["n"]:
+        return links.select("a", "b")
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    held = shingle_sets(docs, words, pinned(distinct.join(ends, "node", "left_semi").select(F.col("least").alias("k"))), text, key)
+    if many["n"] <= FEW:  # else they meet by a shuffle
+        ends = F.broadcast(ends)
+    held = shingle_sets(docs, words, distinct.join(ends, "node", "left_semi").select(F.col("least").alias("k")), text, key)
     met = links.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     met = met.join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(compare, "a long, b long")
